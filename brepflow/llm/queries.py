@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brepflow.llm import content, neardup, overlap
+from brepflow.llm import bpe, content, neardup, overlap, packing, splitting, truncation
 from brepflow.session import table
 
 
@@ -36,6 +36,58 @@ def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.cross_split_counts(*_overlaps(spark, folder))
 
 
+def _specs(spark: SparkSession, folder: str) -> dict[str, tuple[int, int]]:
+    """(max_size, overlap) by target; the table of limits has a row per target and does not grow."""
+    return {r["target"]: (r["max_size"], r["overlap"] or 0) for r in table(spark, folder, "size_specs").collect()}
+
+
+def _oversized(spark: SparkSession, folder: str) -> DataFrame:
+    specs = _specs(spark, folder)
+    limits = {name: specs[f"train_with_rag.{name}"] for name in ("step", "retrieved_step")}
+    return splitting.oversized(table(spark, folder, "train_with_rag"), limits)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The values that are split: those of more than one piece."""
+    return splitting.cut_table(_oversized(spark, folder)).filter("piece_no = 1 and n_pieces > 1").select("row_id", "field").distinct()
+
+
+def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """All pieces of the values above their limit."""
+    return splitting.pieces(_oversized(spark, folder))
+
+
+def p5_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of each document."""
+    return bpe.token_ids(table(spark, folder, "documents"))
+
+
+def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
+    capacity, _ = _specs(spark, folder)["documents.text"]
+    return packing.pack(packing.sized(table(spark, folder, "documents")), capacity), capacity
+
+
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of each document, or of each of its parts above the capacity."""
+    return _packed(spark, folder)[0]
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers used and the share of them that is filled."""
+    return packing.fill_report(*_packed(spark, folder))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose text was cut off."""
+    return truncation.cut_off(table(spark, folder, "documents")).filter("cut").select("doc_id").distinct()
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of cut texts per source."""
+    documents = table(spark, folder, "documents")
+    return truncation.cut_shares(documents, truncation.cut_off(documents))
+
+
 _CONTENT = r"""
 with plain as (
   select row_id, regexp_replace(step, '(''[^'']*'')|/\*[\s\S]*?\*/', '\1', 'g') as code from train_with_rag where step <> ''
@@ -82,13 +134,15 @@ _SPLIT = r""", split as (
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_counts": p3_counts}
+    return {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_counts, p4_found, p4_pieces, p5_ids, p6_containers, p6_fill, p7_found, p7_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _CONTENT + "select field, ra as row_id_a, rb as row_id_b from measured where c >= 0.8 * greatest(na, nb)",
         "p3_found": _CONTENT + _SPLIT + "select distinct field, ra as row_id_a, rb as row_id_b from hit",
+        "p4_found": """select t.row_id, s.field from train_with_rag t, (values ('step'), ('retrieved_step')) s(field)
+          join size_specs z on z.target = 'train_with_rag.' || s.field where length(if(s.field = 'step', step, retrieved_step)) > max_size""",
         "p3_counts": _CONTENT + _SPLIT + """, held as (
           select field, split, source, count(distinct row_id) as n_rows from member, (values ('step'), ('caption')) f(field)
           where split <> 'train' group by all
