@@ -47,11 +47,11 @@ BITMAP_WORDS = 1 << 20
 #: A language with fewer texts than this uses the threshold of all languages.
 LEAST_TEXTS = 500
 #: Range in which a threshold is searched, and its step.
-GAP_RANGE, GAP_STEP = (-3.0, 1.0), 0.25
+GAP_RANGE, GAP_STEP = (-2.5, 0.5), 0.25
 
 #: Marks in place of the rest; fixed values.
 MARK = re.compile(r"\s*(?:\[\s*(?:\.\.\.|…)\s*\]|\(\s*(?:\.\.\.|…)\s*\)|…|\.\.\.+)\s*\Z")
-_DIGITS = re.compile(r"\d+")
+_LONG_NUMBER, _NUMBER = re.compile(r"\d{4,}"), re.compile(r"\d+")
 _BLANKS = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n\s*")
 _STOPS = np.array([ord(c) for c in ".!?。！？"], np.uint32)
@@ -61,11 +61,16 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+def _numbers(text: str) -> str:
+    """Numbers of one to three digits as 0, longer ones as 00."""
+    return _NUMBER.sub("0", _LONG_NUMBER.sub("\0\0", text)).replace("\0", "0")
+
+
 def folded(text: str) -> tuple[str, bool]:
-    """The text as contexts see it (numbers as 0, blanks and line ends as one each), and whether a mark ended it."""
+    """The text as contexts see it (short numbers as 0, long ones as 00, blanks and line ends as one each), and whether a mark ended it."""
     cut = MARK.search(text)
     body = text[: cut.start()] if cut else text
-    return _LINES.sub("\n", _BLANKS.sub(" ", _DIGITS.sub("0", body))).strip(), bool(cut)
+    return _LINES.sub("\n", _BLANKS.sub(" ", _numbers(body))).strip(), bool(cut)
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
