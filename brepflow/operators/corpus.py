@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brepflow.functions import text as T
+from brepflow.session import stage
 
 MAX_ENTITIES = 500
 #: Order in which splits win where a uid is listed in several; fixed values.
@@ -56,14 +57,15 @@ def retrieved_text(output: Column, cap: int = MAX_ENTITIES) -> Column:
 def with_index(records: DataFrame, *order: str) -> DataFrame:
     """A gap-free ``idx`` from 0 in the given order.
 
-    Ranges are sorted in parallel; only one count per partition is added up, so no task sees all rows.
+    Ranges are sorted in parallel and written once; then one count per range is added up, so no
+    task sees all rows.
     """
-    part = F.spark_partition_id()
-    ranged = records.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", part).withColumn("_m", F.monotonically_increasing_id())
-    local = ranged.withColumn("_i", F.col("_m") - F.shiftleft(F.col("_p").cast("bigint"), 33))
+    ranged = records.repartitionByRange(*order).sortWithinPartitions(*order)
+    marked = ranged.withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()})
+    local = stage(marked.withColumn("_i", F.col("_m") - F.shiftleft(F.col("_p").cast("bigint"), 33)).drop("_m"), "ranges")
     sizes = local.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
-    return local.join(F.broadcast(before), "_p").withColumn("idx", F.col("_i") + F.col("_before")).drop("_p", "_m", "_i", "_before")
+    return local.join(before, "_p").withColumn("idx", F.col("_i") + F.col("_before")).drop("_p", "_i", "_before")
 
 
 def guard_rows(records: DataFrame, least: int, what: str) -> DataFrame:

@@ -24,6 +24,11 @@ def points(v: Column, n: int = 21) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.transform(F.slice(v, i * 3 + 1, F.lit(3)), lambda x: x.cast("double")))
 
 
+def on_axis(k: int) -> Callable[[Column], Column]:
+    """The k-th coordinate of a point."""
+    return lambda p: p[k]
+
+
 def axis_mean(cloud: Column, axis: int) -> Column:
     return F.aggregate(cloud, F.lit(0.0), lambda a, p: a + p[axis]) / F.size(cloud)
 

@@ -126,7 +126,7 @@ def structure_stats(texts: DataFrame, column: str = "step") -> DataFrame:
     )
     lost = wide.withColumn("lost", F.array_except("refs", "defined"))
     return lost.select(
-        "row_id", "terminated", F.size("defined").alias("n_entities"), F.size(F.filter("refs", lambda r: F.array_contains("lost", r))).alias("n_dangling"),
+        "row_id", "terminated", F.size("defined").alias("n_entities"), F.aggregate("lost", F.lit(0), lambda n, m: n + F.size(F.filter("refs", lambda r: r == m))).alias("n_dangling"),
         "n_complex", (F.size("defined") == 0).alias("empty"), "types",
     )
 

@@ -1,7 +1,7 @@
 """Exact top-1 retrieval by inner product, without the query itself.
 
-The index is cut into blocks of rows and the queries into slices; each pair of a block and a slice
-is one matrix product in a worker that keeps the best candidate of each query, and a last
+The index is cut into blocks of about BLOCK_ROWS rows and the queries into slices of as many; each
+pair of a block and a slice is one task-sized group and one matrix product in a worker that keeps the best candidate of each query, and a last
 aggregation takes the best over the blocks. Ties go to the smaller id. A fixed query set
 against all rows in blocks is no all-pairs join: only one row per query and block is kept.
 
@@ -27,12 +27,13 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double")))
 
 
-def top_one(queries: DataFrame, index: DataFrame, blocks: int | None = None) -> DataFrame:
+def top_one(queries: DataFrame, index: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, best_id, score) over tables (id, v); the id itself is no candidate."""
-    if blocks is None:
-        blocks = max(1, -(-index.count() // BLOCK_ROWS))
-    numbered = index.filter("v is not null").select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"))
-    asked = queries.filter("v is not null").select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint").alias("b"))
+    blocks, slices = (max(1, -(-side.count() // block_rows)) for side in (index, queries))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    numbered = index.filter("v is not null").select("id", "v", place(blocks).alias("b"), numbers(slices).alias("s"))
+    asked = queries.filter("v is not null").select("id", "v", place(slices).alias("s"), numbers(blocks).alias("b"))
 
     def matched(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("id", pa.int64()), ("best_id", pa.int64()), ("score", pa.float64())])
@@ -53,7 +54,7 @@ def top_one(queries: DataFrame, index: DataFrame, blocks: int | None = None) ->
         keep = np.isfinite(score)
         return pa.table({"id": ids[keep], "best_id": best[keep], "score": score[keep]}, schema=schema)
 
-    found = asked.groupBy("b").cogroup(numbered.groupBy("b")).applyInArrow(matched, "id bigint, best_id bigint, score double")
+    found = asked.groupBy("b", "s").cogroup(numbered.groupBy("b", "s")).applyInArrow(matched, "id bigint, best_id bigint, score double")
     top = found.groupBy("id").agg(F.max(F.struct("score", (-F.col("best_id")).alias("n"))).alias("t"))
     return top.select("id", (-F.col("t.n")).alias("best_id"), F.col("t.score").alias("score"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def trailing_mean(x: Column, by: WindowSpec, width: int = 100) -> Column:
     """Mean of the last ``width`` rows; a shorter prefix counts as it is."""
-    return F.round(F.avg(x).over(by.rowsBetween(-(width - 1), 0)), 6)
+    return F.round(F.avg(x).over(by.rowsBetween(-(width - 1), 0)), 8)
 
 
 def running_rate(x: Column, by: WindowSpec) -> Column:

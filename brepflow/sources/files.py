@@ -24,8 +24,8 @@ EPOCH_LINE = r"EPOCH\s+(\d+)\s+COMPLETE\s*\|.*?(\d+\.\d+)\s*min.*?loss avg=([\d.
 
 def read_steps(spark: SparkSession, folder: str, first: int | None = None, recursive: bool = False) -> DataFrame:
     """(path, rel_path, uid, text) of the STEP files of a folder; optionally the first n by path."""
-    reader = spark.read.option("pathGlobFilter", "*.step").option("recursiveFileLookup", str(recursive).lower()).option("wholetext", True)
-    files = reader.text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    reader = spark.read.option("pathGlobFilter", "*.step").option("recursiveFileLookup", str(recursive).lower())
+    files = reader.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     rel = F.regexp_replace("path", "^.*?" + re.escape(folder.removeprefix("file://").rstrip("/")) + "/", "")
     uid = F.replace(F.regexp_extract("path", r"([^/]+)\.step$", 1), F.lit("_"), F.lit("/"))
     out = files.select("path", rel.alias("rel_path"), uid.alias("uid"), "text")
