@@ -6,21 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brepflow.llm import bpe, content, neardup, overlap, packing, splitting, truncation
-from brepflow.session import table
+from brepflow.session import spread, table
+
+
+def _train(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "train_with_rag").select("row_id", "uid", "source", "step", "caption"), "row_id")
+
+
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents"), "doc_id")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of rows with nearly the same step or caption."""
-    return neardup.near_duplicate_pairs(content.contents(table(spark, folder, "train_with_rag")))
+    return neardup.near_duplicate_pairs(content.contents(_train(spark, folder)))
 
 
 def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Each value's class, group and number of links."""
-    return neardup.near_duplicate_groups(content.contents(table(spark, folder, "train_with_rag")))
+    return neardup.near_duplicate_groups(content.contents(_train(spark, folder)))
 
 
 def _overlaps(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    train = table(spark, folder, "train_with_rag")
+    train = _train(spark, folder)
     members = overlap.rows_in_splits(train, table(spark, folder, "split_manifest"))
     return overlap.cross_split_pairs(content.contents(train), members), members
 
@@ -59,12 +67,12 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of each document."""
-    return bpe.token_ids(table(spark, folder, "documents"))
+    return bpe.token_ids(_documents(spark, folder))
 
 
 def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
     capacity, _ = _specs(spark, folder)["documents.text"]
-    return packing.pack(packing.sized(table(spark, folder, "documents")), capacity), capacity
+    return packing.pack(packing.sized(_documents(spark, folder)), capacity), capacity
 
 
 def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,12 +87,12 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents whose text was cut off."""
-    return truncation.cut_off(table(spark, folder, "documents")).filter("cut").select("doc_id").distinct()
+    return truncation.cut_off(_documents(spark, folder)).filter("cut").select("doc_id").distinct()
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     """The share of cut texts per source."""
-    documents = table(spark, folder, "documents")
+    documents = _documents(spark, folder)
     return truncation.cut_shares(documents, truncation.cut_off(documents))
 
 
