@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -16,9 +20,33 @@ def running_rate(x: Column, by: WindowSpec) -> Column:
     return F.round(F.avg(x.cast("double")).over(by.rowsBetween(Window.unboundedPreceding, 0)), 6)
 
 
-def running_median(x: Column, by: WindowSpec) -> Column:
-    """Null until a value was seen."""
-    return F.round(F.percentile(x, F.lit(0.5)).over(by.rowsBetween(Window.unboundedPreceding, 0)), 6)
+def _medians(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Running medians over rows sorted by run and order, with two heaps for the run at hand."""
+    low: list[float] = []
+    high: list[float] = []
+    now: object = _medians  # no run yet
+    for batch in batches:
+        out: list[float | None] = []
+        for run, x in zip(batch.column("run").to_pylist(), batch.column("x").to_pylist()):
+            if run != now:
+                now, low, high = run, [], []
+            if x is not None:
+                heapq.heappush(high, -heapq.heappushpop(low, -x))
+                if len(high) > len(low):
+                    heapq.heappush(low, -heapq.heappop(high))
+            out.append(None if not low else -low[0] if len(low) > len(high) else (high[0] - low[0]) / 2)
+        yield pa.RecordBatch.from_arrays([batch.column("run"), batch.column("idx"), pa.array(out, pa.float64())], ["run", "idx", "median"])
+
+
+def running_medians(log: DataFrame, run: str, order: str, value: str) -> DataFrame:
+    """(run, idx, median) of the values up to each row; null until there is one.
+
+    A window's percentile would sort each prefix again. Rows stream through a worker in order,
+    which keeps one run's values in two heaps; nulls are no values.
+    """
+    kinds = dict(log.dtypes)
+    rows = log.select(F.col(run).alias("run"), F.col(order).alias("idx"), F.col(value).cast("double").alias("x"))
+    return rows.repartition("run").sortWithinPartitions("run", "idx").mapInArrow(_medians, f"run {kinds[run]}, idx {kinds[order]}, median double")
 
 
 def zero_streaks(log: DataFrame, run: str, order: list[str], counts: Column, resets: Column, warn: int, fatal: int) -> DataFrame:

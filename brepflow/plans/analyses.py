@@ -260,24 +260,27 @@ _RUNNING = f"""{SCORES}, w as (select run, idx, round(avg((scd is not null)::int
 
 
 def running(spark, folder) -> DataFrame:
-    by = Window.partitionBy("run").orderBy("idx")
     scd = F.when(M.finite(F.col("scd")), F.col("scd"))
-    return scores(spark, folder).select("run", "idx", W.running_rate(F.col("scd").isNotNull(), by).alias("rr"), W.running_median(scd, by).alias("mscd"))
+    rows = scores(spark, folder).select("run", "idx", scd.alias("scd"))
+    return W.running_medians(rows, "run", "idx", "scd").select("run", "idx", F.round("median", 6).alias("mscd"))
 
 
 @C.add(f"with {_RUNNING} select run, idx, rr from w")
 def w02_running_rate(spark, folder):
-    return running(spark, folder).select("run", "idx", "rr")
+    by = Window.partitionBy("run").orderBy("idx")
+    return scores(spark, folder).select("run", "idx", W.running_rate(F.col("scd").isNotNull(), by).alias("rr"))
 
 
 @C.add(f"with {_RUNNING} select run, idx, mscd from w")
 def w03_running_median(spark, folder):
-    return running(spark, folder).select("run", "idx", "mscd")
+    return running(spark, folder)
 
 
 @C.add(f"with {_RUNNING} select run, min(rr) as rr_low, max(rr) as rr_high, min(mscd) as mscd_low, max(mscd) as mscd_high from w group by run")
 def w04_running_range(spark, folder):
-    return running(spark, folder).groupBy("run").agg(F.min("rr").alias("rr_low"), F.max("rr").alias("rr_high"), F.min("mscd").alias("mscd_low"), F.max("mscd").alias("mscd_high"))
+    rates = w02_running_rate(spark, folder).groupBy("run").agg(F.min("rr").alias("rr_low"), F.max("rr").alias("rr_high"))
+    medians = running(spark, folder).groupBy("run").agg(F.min("mscd").alias("mscd_low"), F.max("mscd").alias("mscd_high"))
+    return rates.join(medians, "run")
 
 
 _CHANNELS = """log as (select user_id % 7 as run, event_id as step, case when event_type in ('view', 'click') then 0.0 when event_type = 'purchase' then value end as parse,
@@ -395,11 +398,11 @@ def r03_triangle_area(spark, folder):
     return clouds(spark, folder).select("id", F.round(0.5 * F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2]), 6).alias("area"))
 
 
-@C.add(f"with {_POINTS}, {_CENTRE} select id, round(cx, 6) as cx, round(cy, 6) as cy, round(cz, 6) as cz, round(rms, 6) as rms from ce join rm using (id)")
+@C.add(f"with {_POINTS}, {_CENTRE} select id, round(cx, 6) + 0.0 as cx, round(cy, 6) + 0.0 as cy, round(cz, 6) + 0.0 as cz, round(rms, 6) as rms from ce join rm using (id)")
 def r05_centroid_scale(spark, folder):
     c = F.col("cloud")
     centre = R.centroid(c)
-    return clouds(spark, folder).select("id", *(F.round(x, 6).alias(n) for x, n in zip(centre, ("cx", "cy", "cz"))), F.round(R.rms(c, centre), 6).alias("rms"))
+    return clouds(spark, folder).select("id", *((F.round(x, 6) + 0.0).alias(n) for x, n in zip(centre, ("cx", "cy", "cz"))), F.round(R.rms(c, centre), 6).alias("rms"))
 
 
 @C.add(f"with {_POINTS}, {_CD} select id, round(cd, 6) as cd from cd")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from brepflow.functions import text as T
 from brepflow.operators import corpus as K
 from brepflow.operators import retrieval as V
-from brepflow.plans.graphs import ENTITY
+from brepflow.plans.graphs import ENTITY, entities
 from brepflow.operators import graph as G
 from brepflow.plans.registry import Catalog, quoted
 from brepflow.plans.texts import train, trimmed
@@ -165,7 +165,7 @@ def f03_skip_tally(spark, folder):
 )
 def f04_skip_tally(spark, folder):
     t = train(spark, folder)
-    e = G.entities(t)
+    e = entities(spark, folder)
     bad = G.dangling(e).select("row_id").union(e.filter("not parsed").select("row_id")).distinct().withColumn("bad", F.lit(True))
     marked = K.routed(t, table(spark, folder, "split_manifest"), normalise=False).join(bad, "row_id", "left")
     failed = (F.coalesce("step", F.lit("")) == "") | F.col("bad").isNotNull()
@@ -365,8 +365,9 @@ def o02_offset(spark, folder):
 )
 def o03_top_types(spark, folder):
     """The five most frequent types of each text (the limit is the feature)."""
-    ranked = train(spark, folder).select("row_id", F.posexplode_outer(F.slice(T.type_counts(T.entity_types(F.col("step"))), 1, 5)).alias("p", "t")).filter("t is not null")
-    return ranked.select("row_id", F.col("t.type").alias("etype"), F.col("t.n").cast("bigint").alias("n"), (F.col("p") + 1).cast("bigint").alias("place"))
+    types = train(spark, folder).select("row_id", F.explode_outer(T.entity_types(F.col("step"))).alias("etype")).filter("etype is not null")
+    counted = types.groupBy("row_id", "etype").agg(F.count("*").alias("n"))
+    return counted.withColumn("place", F.row_number().over(Window.partitionBy("row_id").orderBy(F.desc("n"), "etype"))).filter("place <= 5")
 
 
 @C.add(f"with {_EPOCHS} select distinct epoch from epochs where doc_id % 2 = 0 intersect select epoch from epochs where doc_id % 2 = 1")

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from brepflow.operators import orphans
-from brepflow.session import table
+from brepflow.session import spread, table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Orphan references: (row_id, src_eid, target)."""
-    found = orphans.orphan_references(table(spark, folder, "train_with_rag"), table(spark, folder, "file_validation"))
+    found = orphans.orphan_references(spread(table(spark, folder, "train_with_rag").select("row_id", "ingested_at", "step"), "row_id"), table(spark, folder, "file_validation"))
     return found.select("row_id", "src_eid", "target").distinct()
 
 
 def p1_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Orphan references per referred table and month."""
-    found = orphans.orphan_references(table(spark, folder, "train_with_rag"), table(spark, folder, "file_validation"))
+    found = orphans.orphan_references(spread(table(spark, folder, "train_with_rag").select("row_id", "ingested_at", "step"), "row_id"), table(spark, folder, "file_validation"))
     return orphans.orphan_counts(found)
 
 

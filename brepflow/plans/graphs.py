@@ -9,7 +9,7 @@ from brepflow.functions import linear
 from brepflow.operators import graph as G
 from brepflow.plans.registry import Catalog, quoted
 from brepflow.plans.texts import train, trimmed
-from brepflow.session import table
+from brepflow.session import spread
 
 C = Catalog()
 _LITERAL = r"""'[^']*(?:''[^']*)*'"""
@@ -50,8 +50,13 @@ def _joined(keep: str) -> str:
     return f"array_to_string(list_filter(list_transform(string_split(step, chr(10)), lambda x: {trimmed('x')}), lambda x: {keep}), chr(10))"
 
 
+def texts(spark, folder):
+    """Texts spread over the cores: cutting statements takes longer than moving them."""
+    return spread(train(spark, folder).select("row_id", "step"), "row_id")
+
+
 def entities(spark, folder):
-    return G.entities(train(spark, folder))
+    return G.entities(texts(spark, folder))
 
 
 @C.add(
@@ -157,29 +162,29 @@ def g22_child_types(spark, folder):
 )
 def g24_lossy_guard(spark, folder):
     t = train(spark, folder)
-    n = G.entities(t).groupBy("row_id").agg(F.countDistinct("eid").alias("n_parsed"))
+    n = entities(spark, folder).groupBy("row_id").agg(F.countDistinct("eid").alias("n_parsed"))
     joined = t.select("row_id", T.entity_count(F.col("step")).alias("n_counted")).join(n, "row_id", "left")
     return joined.select("row_id", F.coalesce("n_parsed", F.lit(0)).alias("n_parsed"), "n_counted", (F.coalesce("n_parsed", F.lit(0)) == F.col("n_counted")).alias("kept"))
 
 
 @C.add()
 def g08_depth_first(spark, folder):
-    return linear.trees(train(spark, folder))
+    return linear.trees(texts(spark, folder))
 
 
 @C.add()
 def g09_root_stats(spark, folder):
-    return linear.root_stats(train(spark, folder))
+    return linear.root_stats(texts(spark, folder))
 
 
 @C.add()
 def g12_reserialized(spark, folder):
-    return linear.reserialized(train(spark, folder))
+    return linear.reserialized(texts(spark, folder))
 
 
 @C.add()
 def g13_merged_levels(spark, folder):
-    tree = linear.trees(train(spark, folder)).filter("kind = 'NORMAL'")
+    tree = linear.trees(texts(spark, folder)).filter("kind = 'NORMAL'")
     return tree.groupBy("row_id", "eid").agg(F.min("depth").alias("depth"), F.min(F.struct("depth", "pos"))["pos"].alias("pos"))
 
 
@@ -194,11 +199,13 @@ def o05_ids_without_references(spark, folder):
     return e.select("row_id", "eid").subtract(G.edges(e).selectExpr("row_id", "dst as eid"))
 
 
-_IDS = r"""list_distinct(regexp_extract_all(step, '#(\d+)', 1)::bigint[])"""
-_DEFINED = r"""list_distinct(regexp_extract_all(step, '(?m)^#(\d+)\s*=\s*\w+\s*\(', 1)::bigint[])"""
+_LOST = r"""with r as (select distinct row_id, unnest(regexp_extract_all(step, '#(\d+)', 1))::bigint as id from train_with_rag),
+d as (select distinct row_id, unnest(regexp_extract_all(step, '(?m)^#(\d+)\s*=\s*\w+\s*\(', 1))::bigint as id from train_with_rag),
+lost as (select row_id, list_sort(list(id)) as ids from (select * from r except select * from d) group by row_id), defined as (select row_id, count(*) as n from d group by row_id)
+"""
 
 
-@C.add(f"select row_id, list_sort(list_filter({_IDS}, lambda x: not list_contains({_DEFINED}, x))) as ids from train_with_rag")
+@C.add(_LOST + "select t.row_id, if(step is null, null, coalesce(ids, [])) as ids from train_with_rag t left join lost using (row_id)")
 def o06_references_without_ids(spark, folder):
     ints = lambda p: F.transform(F.regexp_extract_all(F.col("step"), F.lit(p), F.lit(1)), lambda x: x.cast("bigint"))
     return train(spark, folder).select("row_id", F.array_sort(F.array_except(ints(r"#(\d+)"), ints(r"(?dm)^#(\d+)\s*=\s*\w+\s*\("))).alias("ids"))
@@ -216,7 +223,7 @@ stats as (select row_id, contains(step, 'END-ISO-10303-21;') as terminated, len(
 
 
 def _stats(spark, folder):
-    return G.structure_stats(train(spark, folder).filter("step is not null"))
+    return G.structure_stats(texts(spark, folder).filter("step is not null"))
 
 
 @C.add(_STRUCTURE + "select row_id, terminated, n_entities, n_dangling, n_complex, empty from stats")
@@ -243,9 +250,10 @@ def a12_type_histogram(spark, folder):
 
 
 @C.add(
-    f"""select row_id, len({_DEFINED})::int as n_entities, len(list_filter({_IDS}, lambda x: not list_contains({_DEFINED}, x)))::int as n_dangling,
-    len(regexp_extract_all(step, '(?m)^#\\d+\\s*=\\s*\\('))::int as n_complex, regexp_matches(step, '^\\s*(?:ISO-10303-21;|DATA;)') as starts_correctly,
-    coalesce(not ends_with(list_filter(list_transform(string_split(step, chr(10)), lambda x: {trimmed("x")}), lambda x: x <> '')[-1], ';'), false) as cut from train_with_rag where step is not null"""
+    _LOST + rf"""select t.row_id, coalesce(n, 0)::int as n_entities, coalesce(len(ids), 0)::int as n_dangling, len(regexp_extract_all(step, '(?m)^#\d+\s*=\s*\('))::int as n_complex,
+    regexp_matches(step, '^\s*(?:ISO-10303-21;|DATA;)') as starts_correctly,
+    coalesce(not ends_with(list_filter(list_transform(string_split(step, chr(10)), lambda x: {trimmed("x")}), lambda x: x <> '')[-1], ';'), false) as cut
+    from train_with_rag t left join lost using (row_id) left join defined using (row_id) where step is not null"""
 )
 def a13_structure_stats_distinct(spark, folder):
     return G.structure_stats_distinct(train(spark, folder).filter("step is not null"))

@@ -182,7 +182,7 @@ def log_rows(states: Column) -> Column:
 
 def epoch_rows(lines: Column) -> dict[str, Column]:
     """Fields of an epoch line; null where the line is none."""
-    part = lambda i: F.nullif(F.regexp_extract(lines, EPOCH_LINE, i), F.lit(""))
+    part = lambda i: F.nullif(F.regexp_extract(lines, "(?d)" + EPOCH_LINE, i), F.lit(""))
     return {"epoch": part(1).cast("int"), "minutes": part(2).cast("double"), "avg": part(3).cast("double"), "min": part(4).cast("double"), "max": part(5).cast("double")}
 
 
