@@ -25,7 +25,7 @@ _SECTION = re.compile(r"(?:\A|(?<=[;\s]))DATA\s*(?:\([^;]*\)\s*)?;(.*?)(?:(?<=[;
 _REF = re.compile(r"#\d+")
 _NUMBER = re.compile(r"[+-]?(?:\d+\.\d*|\.\d+)(?:E[+-]?\d+)?")
 _WITH_POINT = re.compile(r"[^;]*(?:\d\.|\.\d)[^;]*(?=;)")
-_DEFINED = re.compile(r"(?:\A|(?<=;))#(\d+)=")
+_DEFINED = re.compile(r"(?:\A|(?<=;))#(\d+)=(?=[^;]*;)")
 _STATEMENT = re.compile(r"(?:\A|(?<=;))#(\d+)=([^;]*);")
 _ANY_REF = re.compile(r"#(\d+)(?!\d*=)")
 _FILE_STATEMENT = re.compile(

@@ -6,7 +6,7 @@ and white space are the ASCII classes. Null texts give null unless a default is
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A literal with doubled quotes, a run outside literals, or a stray quote.
@@ -193,28 +193,29 @@ def entity_types(text: Column) -> Column:
 
 
 def type_counts(types: Column) -> Column:
-    """[(n, type)] by falling count, ties by name."""
-    counted = F.transform(F.array_distinct(types), lambda t: F.struct((-F.size(F.filter(types, lambda x: x == t))).alias("n"), t.alias("type")))
+    """[(n, type)] by falling count, ties by name. ``types`` should be a column: an expression would be computed again for each type."""
+    counted = F.transform(F.array_distinct(types), lambda t: F.struct((F.size(F.array_remove(types, t)) - F.size(types)).alias("n"), t.alias("type")))
     return F.transform(F.array_sort(counted), lambda x: F.struct((-x["n"]).alias("n"), x["type"].alias("type")))
 
 
-def topology(text: Column) -> dict[str, Column]:
-    """T25"""
-    types = entity_types(text)
-    geometry = F.filter(types, lambda t: ~t.isin(*HEADER_TYPES))
-    shell = F.regexp_extract(text, r"CLOSED_SHELL\s*\('',\s*\((#[\d,#\s]+)\)\s*\)", 1)
+def topology(texts: DataFrame, column: str = "step") -> DataFrame:
+    """(row_id, ...) counts by type, faces of the first shell, the widest branch, the schema."""
+    text = F.col(column)
     pattern = r"/\*\s*\[BRANCH\]\s*depth=(\d+)\s*children=(\d+)"
     depth, children = (F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)), lambda x: x.cast("int")) for g in (1, 2))
-    most = F.array_max(children)
-    return {
-        "total_entities": F.size(types),
-        "unique_types": F.size(F.array_distinct(types)),
-        "top_entities": F.array_join(F.transform(F.slice(type_counts(F.when(F.size(geometry) > 0, geometry).otherwise(types)), 1, 8), lambda x: F.concat_ws(":", x["type"], x["n"])), ","),
-        "face_count": F.regexp_count(shell, F.lit("#")),
-        "branch_depth": F.try_element_at(depth, F.array_position(children, most).cast("int")),
-        "branch_children": most,
-        "schema": F.coalesce(F.nullif(F.regexp_extract(text, r"FILE_SCHEMA\s*\(\s*\('([^']+)'\)", 1), F.lit("")), F.lit("unknown")),
-    }
+    found = texts.select(
+        "row_id", entity_types(text).alias("types"), depth.alias("depth"), children.alias("children"),
+        F.regexp_count(F.regexp_extract(text, r"CLOSED_SHELL\s*\('',\s*\((#[\d,#\s]+)\)\s*\)", 1), F.lit("#")).alias("face_count"),
+        F.coalesce(F.nullif(F.regexp_extract(text, r"FILE_SCHEMA\s*\(\s*\('([^']+)'\)", 1), F.lit("")), F.lit("unknown")).alias("schema"),
+    )
+    geometry = F.filter("types", lambda t: ~t.isin(*HEADER_TYPES))
+    chosen = found.select("*", F.when(F.size(geometry) > 0, geometry).otherwise(F.col("types")).alias("chosen"))
+    most = F.array_max("children")
+    return chosen.select(
+        "row_id", F.when(F.col("types").isNotNull(), F.size("types")).alias("total_entities"), F.when(F.col("types").isNotNull(), F.size(F.array_distinct("types"))).alias("unique_types"),
+        F.array_join(F.transform(F.slice(type_counts(F.col("chosen")), 1, 8), lambda x: F.concat_ws(":", x["type"], x["n"])), ",").alias("top_entities"), "face_count",
+        F.try_element_at("depth", F.array_position("children", most).cast("int")).alias("branch_depth"), most.alias("branch_children"), "schema",
+    )
 
 
 def content_seed(text: Column) -> Column:

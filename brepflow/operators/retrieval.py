@@ -37,7 +37,7 @@ def top_one(queries: DataFrame, index: DataFrame, block_rows: int = BLOCK_ROWS)
 
     def matched(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("id", pa.int64()), ("best_id", pa.int64()), ("score", pa.float64())])
-        if not left.num_rows or not right.num_rows:
+        if not (left.num_columns and right.num_columns and left.num_rows and right.num_rows):  # a side without the group
             return schema.empty_table()
         ids, others = left.column("id").to_numpy(), right.column("id").to_numpy()
         order = np.argsort(others, kind="stable")

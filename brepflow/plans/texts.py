@@ -122,7 +122,7 @@ C.add(
       coalesce(nullif(regexp_extract(step, 'FILE_SCHEMA\s*\(\s*\(''([^'']+)''\)', 1), ''), 'unknown') as schema
     from u left join top using (row_id)""",
     "t25_topology",
-)(lambda spark, folder: train(spark, folder).select("row_id", *(c.alias(k) for k, c in T.topology(F.col("step")).items())))
+)(lambda spark, folder: T.topology(train(spark, folder)))
 _per_row("t26_content_seed", "('0x' || substr(sha256(step), 1, 8))::bigint as seed", lambda s: {"seed": T.content_seed(s)})
 _per_row(
     "t27_cache_key", "sha256(concat_ws('|', '2000', 'None', step)) as key",
