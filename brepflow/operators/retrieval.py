@@ -32,17 +32,17 @@ def top_one(queries: DataFrame, index: DataFrame, block_rows: int = BLOCK_ROWS)
     blocks, slices = (max(1, -(-side.count() // block_rows)) for side in (index, queries))
     numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
     place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
-    numbered = index.filter("v is not null").select("id", "v", place(blocks).alias("b"), numbers(slices).alias("s"))
+    numbered = index.filter("v is not null").select(F.col("id").alias("other"), F.col("v").alias("w"), place(blocks).alias("b"), numbers(slices).alias("s"))
     asked = queries.filter("v is not null").select("id", "v", place(slices).alias("s"), numbers(blocks).alias("b"))
 
     def matched(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("id", pa.int64()), ("best_id", pa.int64()), ("score", pa.float64())])
         if not (left.num_columns and right.num_columns and left.num_rows and right.num_rows):  # a side without the group
             return schema.empty_table()
-        ids, others = left.column("id").to_numpy(), right.column("id").to_numpy()
+        ids, others = left.column("id").to_numpy(), right.column("other").to_numpy()
         order = np.argsort(others, kind="stable")
         others = others[order]
-        matrix = np.array(right.column("v").to_pylist(), np.float64)[order]
+        matrix = np.array(right.column("w").to_pylist(), np.float64)[order]
         vectors = left.column("v").to_pylist()
         best, score = np.empty(len(ids), np.int64), np.empty(len(ids))
         for first in range(0, len(ids), 1024):
