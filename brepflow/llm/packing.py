@@ -2,7 +2,7 @@
 
 Items are spread over packing groups of about ``GROUP_ITEMS`` by a hash of their id, so a group
 is a task of bounded size whatever source or set of copies dominates; only ids and sizes are
-shuffled. Within a group items go in order of falling size. Open containers are ordered by
+shuffled. Within a group items go in order of falling size, copies of very frequent texts first. Open containers are ordered by
 their residual, kept as a bitmap of the residuals in use; the search takes the least residual
 that holds the item and goes on, container by container and residual by residual, until the
 tightest *compatible* one is found. A container carries a bitmap of the duplicate clusters
@@ -105,6 +105,16 @@ def best_fit(sizes: np.ndarray, clusters: np.ndarray, sources: np.ndarray, capac
     return out
 
 
+def _late(sizes: np.ndarray, clusters: np.ndarray, capacity: int) -> np.ndarray:
+    """0 for items of a cluster that needs a tenth or more of the group's containers, 1 for all others.
+
+    Such copies go first, while containers are being opened: at the end they would each need a
+    container of their own beside those that are full.
+    """
+    _, of, copies = np.unique(clusters, return_inverse=True, return_counts=True)
+    return ((copies == 1) | (copies * 10 < math.ceil(int(sizes.sum()) / capacity)))[of].astype(np.int8)
+
+
 def _source_bits(names: list[str | None], apart: tuple[tuple[str, str], ...]) -> tuple[dict, dict[int, int]]:
     number = {x: i for i, x in enumerate(sorted(set(names), key=lambda x: (x is None, x or "")))}
     avoid: dict[int, int] = {}
@@ -133,7 +143,7 @@ def pack(items: DataFrame, capacity: int, apart: tuple[tuple[str, str], ...] = (
         number, avoid = _source_bits([None if x is None or x != x else x for x in d["source"]], apart)
         source = np.array([number[None if x is None or x != x else x] for x in d["source"]], np.int64)[at]
         ids = d["doc_id"].fillna(np.iinfo(np.int64).min).to_numpy(np.int64)[at]
-        order = np.lexsort((cluster, piece, ids, -n))
+        order = np.lexsort((cluster, piece, ids, -n, _late(n, cluster, capacity)))
         place = best_fit(n[order], cluster[order], source[order], capacity, avoid)
         group = int(d["g"].iloc[0])
         return pa.table({
