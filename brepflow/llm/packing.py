@@ -106,13 +106,13 @@ def best_fit(sizes: np.ndarray, clusters: np.ndarray, sources: np.ndarray, capac
 
 
 def _late(sizes: np.ndarray, clusters: np.ndarray, capacity: int) -> np.ndarray:
-    """0 for items of a cluster that needs a tenth or more of the group's containers, 1 for all others.
+    """0 for items of a cluster that needs a hundredth or more of the group's containers, 1 for all others.
 
     Such copies go first, while containers are being opened: at the end they would each need a
     container of their own beside those that are full.
     """
     _, of, copies = np.unique(clusters, return_inverse=True, return_counts=True)
-    return ((copies == 1) | (copies * 10 < math.ceil(int(sizes.sum()) / capacity)))[of].astype(np.int8)
+    return ((copies == 1) | (copies * 100 < math.ceil(int(sizes.sum()) / capacity)))[of].astype(np.int8)
 
 
 def _source_bits(names: list[str | None], apart: tuple[tuple[str, str], ...]) -> tuple[dict, dict[int, int]]:
