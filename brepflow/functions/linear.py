@@ -34,6 +34,7 @@ class Graph:
     types: dict[int, str] = field(default_factory=dict)
     args: dict[int, str] = field(default_factory=dict)
     refs: dict[int, list[int]] = field(default_factory=dict)
+    raw: dict[int, str] = field(default_factory=dict)
     error: str | None = None
 
 
@@ -54,7 +55,7 @@ def parse(text: str) -> Graph:
             break
         elif found := _SIMPLE.match(part):
             eid = int(found.group(1))
-            g.types[eid], g.args[eid] = found.group(2), found.group(3)
+            g.types[eid], g.args[eid], g.raw[eid] = found.group(2), found.group(3), part + ";"
             g.refs[eid] = [int(x) for x in re.findall(r"#(\d+)", _LITERAL.sub("", found.group(3)))]
         elif part.startswith("#"):
             g.error = g.error or f"not a statement: {part[:80]}"
@@ -68,18 +69,27 @@ def roots(g: Graph, self_edges: bool = True) -> list[int]:
     return sorted(set(g.types) - held)
 
 
-def depth_first(g: Graph, start: list[int], seen: set[int]) -> list[tuple[int, int, str]]:
-    """(depth, id, kind) in pre-order, children in order of reference; what was visited before is marked circular."""
+def depth_first(g: Graph, start: list[int], seen: set[int], refs: dict[int, list[int]] | None = None) -> list[tuple[int, int, str]]:
+    """(depth, id, kind) in pre-order, children in order of reference.
+
+    What was seen before is left out; an entity on the path from the root to here is marked circular.
+    """
+    refs = g.refs if refs is None else refs
     out: list[tuple[int, int, str]] = []
-    stack = [(eid, 0) for eid in reversed(start)]
+    path: set[int] = set()
+    stack = [(eid, 0, False) for eid in reversed(start)]
     while stack:
-        eid, depth = stack.pop()
-        if eid in seen:
+        eid, depth, leaving = stack.pop()
+        if leaving:
+            path.discard(eid)
+        elif eid in path:
             out.append((depth, eid, "CIRCULAR_REF"))
-            continue
-        seen.add(eid)
-        out.append((depth, eid, "NORMAL"))
-        stack += [(r, depth + 1) for r in reversed(g.refs[eid]) if r in g.types]
+        elif eid not in seen:
+            seen.add(eid)
+            path.add(eid)
+            out.append((depth, eid, "NORMAL"))
+            stack.append((eid, depth, True))
+            stack += [(r, depth + 1, False) for r in reversed(refs[eid]) if r in g.types]
     return out
 
 

@@ -14,7 +14,7 @@ from brepflow.functions import text as T
 MARK = "\x01"
 #: Types that a root is expected to have; fixed values.
 ROOT_TYPES = (
-    "PRODUCT_RELATED_PRODUCT_CATEGORY", "APPLICATION_PROTOCOL_DEFINITION",
+    "PRODUCT_CATEGORY_RELATIONSHIP", "APPLICATION_PROTOCOL_DEFINITION",
     "MECHANICAL_DESIGN_GEOMETRIC_PRESENTATION_REPRESENTATION", "SHAPE_DEFINITION_REPRESENTATION",
 )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brepflow.functions import text as T
-from brepflow.functions import linear
+from brepflow.functions import linear, semantic
 from brepflow.operators import graph as G
 from brepflow.plans.registry import Catalog, quoted
 from brepflow.plans.texts import train, trimmed
@@ -182,6 +182,19 @@ def g12_reserialized(spark, folder):
     return linear.reserialized(texts(spark, folder))
 
 
+@C.add()
+def g25_restructured(spark, folder):
+    """The semantic style."""
+    return semantic.restructured(texts(spark, folder))
+
+
+@C.add()
+def g17_sections(spark, folder):
+    """Notes by kind, over the texts that can be restructured."""
+    notes = semantic.restructured(texts(spark, folder)).select("row_id", F.explode_outer(F.regexp_extract_all("text", F.lit(r"/\* (?:BEGIN )?([A-Z_]+)"), F.lit(1))).alias("kind"))
+    return notes.filter("kind is not null").groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("row_id").alias("n_rows"))
+
+
 @C.add()
 def g13_merged_levels(spark, folder):
     tree = linear.trees(texts(spark, folder)).filter("kind = 'NORMAL'")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -25,6 +27,18 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
     return SparkSession.builder.master(master).appName("brepflow").config(map=settings).getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """This package, sent to the workers once for a session, so that they need no installation of it."""
+    context = spark.sparkContext
+    if getattr(context, "_brepflow_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    made = tempfile.mkdtemp(prefix="brepflow-package-")  # on the driver, from which executors fetch it
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(f"{made}/brepflow", "zip", os.path.dirname(package), os.path.basename(package)))
+    context._brepflow_shipped = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -55,6 +69,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{folder}"
 
 
+_STAGES: list[str] = []
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete what ``stage`` wrote in this process. Only for when no result that reads it is still to be computed."""
+    conf = spark._jsc.hadoopConfiguration()
+    while _STAGES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """The rows of ``df``, written once to the shared folder and read back.
 
@@ -64,4 +89,5 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGES.append(path)
     return spark.read.schema(df.schema).parquet(path)

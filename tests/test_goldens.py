@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brepflow.functions import linear as L
+from brepflow.functions import semantic
 from brepflow.functions.floats import normalise
 from brepflow.operators import corpus, geometry, metrics, retrieval, tokens, windows
 from brepflow.sources import files
@@ -230,3 +231,47 @@ def test_streaming_alarms_equal_batch(spark, tmp_path):
     got = [(r.seq, r.streak, r.alarm) for r in spark.table("alarms").orderBy("seq").collect()]
     batch = windows.zero_streaks(log, "run", ["seq"], F.col("counts"), F.col("resets"), 5, 6).orderBy("seq").collect()
     assert got == [(r.seq, r.streak, r.alarm) for r in batch]
+
+
+def test_semantic_shape_section_drops_what_no_section_holds():
+    text = data("#1=SHAPE_DEFINITION_REPRESENTATION(#2);", "#2=X(#3);", "#3=Y(1.0);", "#8=UNUSED(1.0);")
+    out, error, dropped = semantic.restructure(text)
+    assert error is None and dropped == 1
+    assert out.split("\n") == [
+        "DATA;", "/* SHAPE_DEFINITION_REPRESENTATION Section - 1 subtrees */", "/* BEGIN SHAPE_DEFINITION_REPRESENTATION 1 */",
+        "#1=SHAPE_DEFINITION_REPRESENTATION(#2);", "#2=X(#3);", "#3=Y(1.0);", "/* END SHAPE_DEFINITION_REPRESENTATION 1 */", "ENDSEC;", "END-ISO-10303-21;", "",
+    ]
+
+
+def test_semantic_presentation_unifies_colours_and_sets_placeholders():
+    text = data(
+        "#1=MECHANICAL_DESIGN_GEOMETRIC_PRESENTATION_REPRESENTATION('',(#2,#3,#9));", "#2=STYLED_ITEM('',#4);", "#3=STYLED_ITEM('#5',#5);",
+        "#4=COLOUR_RGB('a',1.,0.,0.);", "#5=COLOUR_RGB('b',0.,1.,0.);", "#9=(A(3) B());",
+    )
+    out, error, _ = semantic.restructure(text)
+    lines = out.split("\n")
+    assert error is None and "/* MECHANICAL_DESIGN_GEOMETRIC_PRESENTATION_REPRESENTATION Section - 2 STYLED_ITEM, 1 COMPLEX_ENTITY */" in lines
+    assert "#1=MECHANICAL_DESIGN_GEOMETRIC_PRESENTATION_REPRESENTATION('',(#ID_1,#ID_2,#ID_3));" in lines
+    assert "#2=COLOUR_RGB( , 0.5, 0.5, 0.5 );" in lines and "#4=STYLED_ITEM('#5',#2);" in lines
+    assert lines[lines.index("/* BEGIN STYLED_ITEM 2 */") + 1] == "/* ID_2 = 4 */"
+    assert "(#3,#4,#5)" in semantic.restore(out)
+
+
+def test_semantic_pruning_and_stranded_entities():
+    kept = data("#1=SHAPE_DEFINITION_REPRESENTATION(#2,#5);", "#2=PRODUCT_DEFINITION(#3);", "#3=PRODUCT_DEFINITION_CONTEXT('',#4);", "#4=APPLICATION_CONTEXT('');", "#5=Z(1);", "#6=APPLICATION_PROTOCOL_DEFINITION('',#4);")
+    out, error, dropped = semantic.restructure(kept)
+    assert error is None and dropped == 0 and out.index("APPLICATION_PROTOCOL_DEFINITION") < out.index("#3=SHAPE")
+    out, error, _ = semantic.restructure(kept.replace("#6=APPLICATION_PROTOCOL_DEFINITION('',#4);", ""))
+    assert out is None and error == "referred to, but not written: #4"
+
+
+def test_semantic_levels_and_category():
+    tree = lambda *x: [(d, e, "NORMAL") for d, e in x]
+    assert semantic.levels([tree((0, 1), (1, 3), (2, 4)), tree((0, 2), (1, 4), (1, 3))]) == [1, 2, 3, 4, 4]
+    out, _, _ = semantic.restructure(data("#7=PRODUCT_CATEGORY_RELATIONSHIP(#8);", "#8=A();", "#5=PRODUCT_CATEGORY_RELATIONSHIP(#8);"))
+    assert out.split("\n")[1:5] == ["/* PRODUCT_CATEGORY_RELATIONSHIP Section - 2 root entities */", "#1=PRODUCT_CATEGORY_RELATIONSHIP(#3);", "#2=PRODUCT_CATEGORY_RELATIONSHIP(#3);", "#3=A();"]
+
+
+def test_cycle_is_marked_on_its_path_only():
+    g = L.parse(data("#1=A(#2,#3);", "#2=B(#1,#3);", "#3=C();"))
+    assert L.depth_first(g, [1], set()) == [(0, 1, "NORMAL"), (1, 2, "NORMAL"), (2, 1, "CIRCULAR_REF"), (2, 3, "NORMAL")]
