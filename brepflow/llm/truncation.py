@@ -42,7 +42,7 @@ PULL = 2.0
 #: Log-odds that a mark in place of the rest takes off.
 MARKED = 4.0
 #: Bounds of the evidence from a unit's first word and length.
-HEAD_BOUNDS = (-1.5, 7.0)
+HEAD_BOUNDS = (-1.5, 6.0)
 BITMAP_WORDS = 1 << 20
 #: A language with fewer texts than this uses the threshold of all languages.
 LEAST_TEXTS = 500
