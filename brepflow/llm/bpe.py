@@ -8,8 +8,8 @@ in the same step: they do not touch, and no contraction can make a pair of lower
 word leaves the recursion when no pair of its is in the merge table. An ordered aggregation
 reads the ids of each word off its last rows.
 
-A recursion goes ``DEPTH`` steps at most; words that are not done start again from their last
-rows, so the rows kept are bounded by DEPTH times the words' bytes, however long a word is.
+A recursion goes ``DEPTH`` steps at most, and fewer for long words; words that are not done start
+again from their last rows. So the rows kept are bounded by ROWS, or the bytes of one word if that is longer.
 
 Defined cases: null and empty texts give an empty array; blank texts are encoded; strings that
 look like special tokens are ordinary text; rows that repeat are encoded each.
@@ -33,12 +33,14 @@ NAME = "byte_bpe_50k"
 #: The splitting pattern of the tokenizer; fixed values.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 DEPTH = 48
+#: Rows that one recursion may keep; longer words take fewer steps at a time.
+ROWS = 3_000_000
 #: Bytes of words that go through one recursion together; a longer word goes alone.
 CHUNK_BYTES = 60_000
 #: Words that a worker remembers; forgetting costs time only.
 MEMO = 300_000
 
-_MERGE = f"""
+_MERGE = """
 with recursive step(i, word, pos, tok) as (
   select 0, word, pos, tok from bytes
   union all
@@ -56,7 +58,7 @@ with recursive step(i, word, pos, tok) as (
     )
     select p.i + 1, p.word, p.pos, coalesce(t.merged, p.tok) from pair p join least b on b.word = p.word
     left join taken t on t.word = p.word and t.pos = p.pos
-    where p.i < {DEPTH} and not exists (select 1 from taken x where x.word = p.word and x.right_pos = p.pos)
+    where p.i < {depth} and not exists (select 1 from taken x where x.word = p.word and x.right_pos = p.pos)
   )
 ), last as (select word, max(i) as i from step group by word)
 select s.word, any_value(s.i) as i, list(s.tok order by s.pos) as ids from step s join last using (word, i) group by s.word
@@ -97,12 +99,13 @@ class Encoder:
                 "pos": np.concatenate([np.arange(n, dtype=np.int32) for n in lengths]),
                 "tok": np.concatenate([words[k] for k in left]),
             })
+            depth = max(1, min(DEPTH, ROWS // sum(lengths)))
             self._db.register("bytes", bytes_)
-            rows = self._db.execute(_MERGE).fetchall()
+            rows = self._db.execute(_MERGE.format(depth=depth)).fetchall()
             self._db.unregister("bytes")
             left = []
             for k, i, ids in rows:
-                if i < DEPTH:
+                if i < depth:
                     done[k] = ids
                 else:
                     words[k] = np.array(ids, np.int32)

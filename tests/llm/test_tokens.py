@@ -36,6 +36,13 @@ def test_any_text(text):
     assert bpe.encoder(bpe.TOKENIZERS, bpe.NAME)([text])[0] == packing._counter(bpe.TOKENIZERS, bpe.NAME).encode_ordinary(text)
 
 
+def test_few_steps_at_a_time_give_the_same(library, monkeypatch):
+    monkeypatch.setattr(bpe, "ROWS", 40)
+    fresh = bpe.Encoder(bpe.TOKENIZERS, bpe.NAME)
+    texts = ["internationalization of the straightforward", "a" * 300, "日本語" * 20, "ababababab" * 9]
+    assert fresh(texts) == [library(x) for x in texts]
+
+
 def test_table(spark, library):
     t = spark.createDataFrame([(i, x, "clash") for i, x in enumerate(ODD)] + [(0, "twice", ""), (0, "twice", "")], "doc_id bigint, text string, ids string")
     got = Counter((r.doc_id, tuple(r.ids)) for r in bpe.token_ids(t).collect())
