@@ -44,6 +44,8 @@ MARKED = 4.0
 #: Bounds of the evidence from a unit's first word and length.
 HEAD_BOUNDS = (-1.5, 6.0)
 BITMAP_WORDS = 1 << 20
+#: Characters whose places are worked on together.
+PORTION = 300_000
 #: A language with fewer texts than this uses the threshold of all languages.
 LEAST_TEXTS = 500
 #: Range in which a threshold is searched, and its step.
@@ -147,10 +149,23 @@ class Places:
         return word[self.at - 1] & ~here[self.at]
 
 
+def _portions(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of the texts with at most PORTION characters each, but at least one text."""
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        n = len(text or "") + _PAD
+        if i > first and size + n > PORTION:
+            yield first, i
+            first, size = i, 0
+        size += n
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def _finals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first in range(0, batch.num_rows, 256):
-            part = batch.slice(first, 256)
+        for first, stop in _portions(batch.column("text").to_pylist()):
+            part = batch.slice(first, stop - first)
             both = [folded(t) for t in part.column("text").to_pylist()]
             rows = [i for i, (t, _) in enumerate(both) if t]
             places = Places([both[i][0] for i in rows])
@@ -192,8 +207,9 @@ def context_counts(documents: DataFrame, finals: DataFrame) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                both = [folded(t) for t in batch.column("text").slice(first, 256).to_pylist()]
+            texts = batch.column("text").to_pylist()
+            for first, stop in _portions(texts):
+                both = [folded(t) for t in texts[first:stop]]
                 places = Places([t for t, marked in both if t])
                 if not len(places.at):
                     continue
