@@ -11,12 +11,13 @@ neither queries nor candidates; a query without a candidate has no row (``fallba
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 BLOCK_ROWS = 4096
 
@@ -27,6 +28,23 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double")))
 
 
+def embedded(texts: DataFrame, encoder: Callable[[list[str]], np.ndarray], column: str = "text", batch: int = 256) -> DataFrame:
+    """The texts with their vectors ``v`` by the given encoder; null texts have null vectors."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            given = frame.column(column).to_pylist()
+            at = [i for i, t in enumerate(given) if t is not None]
+            vectors: list[list[float] | None] = [None] * len(given)
+            for first in range(0, len(at), batch):
+                part = at[first : first + batch]
+                for i, v in zip(part, np.asarray(encoder([given[i] for i in part]), np.float32).tolist()):
+                    vectors[i] = v
+            yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(vectors, pa.list_(pa.float32()))], [*frame.schema.names, "v"])
+
+    return texts.mapInArrow(run, StructType([*texts.schema.fields, StructField("v", ArrayType(FloatType()))]))
+
+
 def top_one(queries: DataFrame, index: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, best_id, score) over tables (id, v); the id itself is no candidate."""
     blocks, slices = (max(1, -(-side.count() // block_rows)) for side in (index, queries))

@@ -11,10 +11,11 @@ from brepflow.operators import metrics as M
 from brepflow.operators import retrieval as V
 from brepflow.operators import tokens as K
 from brepflow.operators import windows as W
-from brepflow.plans.corpora import _EPOCHS, N_ENTITIES, epochs
+from brepflow.plans.corpora import _EPOCHS, N_ENTITIES, epochs, scratch
 from brepflow.plans.registry import Catalog
 from brepflow.plans.texts import train, trimmed
 from brepflow.session import table
+from brepflow.streaming.alarms import streak_alarms
 
 C = Catalog()
 #: Scores made of the events: missing for errors, NaN for sign-ups, infinite for large values, else the value in hundredths.
@@ -307,6 +308,17 @@ def w05_zero_streaks(spark, folder):
     return W.zero_streaks(log, "run", ["step"], F.col("counts"), F.col("resets"), 5, 8).select("run", "step", "streak", "alarm")
 
 
+@C.add((f"with {_CHANNELS}" + _STREAK.format("run", "c", 5, 8)).replace("select run, step, streak", "select run::varchar as run, step as seq, streak"))
+def w05_streaming_alarms(spark, folder):
+    """The same alarms from a stream of the log, run until it is read up."""
+    source, sink = scratch(spark, "log"), scratch(spark, "alarms")
+    log = channels(spark, folder).select(F.col("run").cast("string").alias("run"), F.col("step").alias("seq"), "counts", "resets")
+    log.write.parquet(source)
+    stream = streak_alarms(spark.readStream.schema(log.schema).parquet(source), 5, 8)
+    stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(sink)
+
+
 @C.add(f"with {LOSSES}, c as (select *, loss = 0 as counts, not isnan(loss) and loss <> 0 as resets from losses)" + _STREAK.format("run", "c", 2, 3).replace("case when not counts", "case when isnan(loss) then 'stop' when not counts"))
 def w06_loss_guard(spark, folder):
     log, loss = losses(spark, folder), F.col("loss")

@@ -59,7 +59,7 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local master gets a folder of our own; on a cluster a machine-local folder would
     not be seen by the other machines, so the setting is required there.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
