@@ -7,6 +7,7 @@ is bundled, and a text whose mesh cannot be made has the status ``backend_missin
 
 from __future__ import annotations
 
+import multiprocessing
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -164,6 +165,67 @@ def sane(x: Column) -> Column:
     return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x)
 
 
+def isolated(backend: MeshBackend, timeout: float = 30.0) -> MeshBackend:
+    """The back end in a process of its own for each text: a crash or a timeout is a text without a mesh."""
+    context = multiprocessing.get_context("fork")
+
+    def child(text: str, out) -> None:
+        try:
+            out.send(backend(text))
+        except Exception:  # noqa: BLE001  as good as a crash
+            out.send(None)
+
+    def run(text: str) -> np.ndarray | None:
+        here, there = context.Pipe(duplex=False)
+        process = context.Process(target=child, args=(text, there), daemon=True)
+        process.start()
+        there.close()
+        try:
+            return here.recv() if here.poll(timeout) else None
+        except EOFError:
+            return None
+        finally:
+            process.kill()
+            process.join()
+            here.close()
+
+    return run
+
+
+def sampled_points(meshes: DataFrame, n: int) -> DataFrame:
+    """R02 over (id, triangles, seed): (id, cloud); null for meshes without area."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for mesh, seed in zip(batch.column("triangles").to_pylist(), batch.column("seed").to_pylist()):
+                t = np.array(mesh or np.empty((0, 3, 3)), float)
+                area = np.linalg.norm(np.cross(t[:, 1] - t[:, 0], t[:, 2] - t[:, 0]), axis=1).sum()
+                out.append(sampled(t, n, seed).tolist() if area > 0 else None)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.list_(pa.list_(pa.float64())))], ["id", "cloud"])
+
+    return meshes.select("id", "triangles", "seed").mapInArrow(run, "id bigint, cloud array<array<double>>")
+
+
+def registered_pairs(pairs: DataFrame, share: float = 1.0) -> DataFrame:
+    """R07 over (id, a, b): (id, before, after), the mean squared distance from a to b without and with ICP.
+
+    The thresholds are ``share`` of b's RMS scale, its half and its quarter.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            before, after = [], []
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                x, y = np.array(a, float), np.array(b, float)
+                limit = share * float(np.sqrt(((y - y.mean(0)) ** 2).sum(1).mean()))
+                before.append(blocked_mean(x, y))
+                after.append(blocked_mean(registered(x, y, (limit, limit / 2, limit / 4)), y))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(before, pa.float64()), pa.array(after, pa.float64())], ["id", "before", "after"])
+
+    return pairs.filter("a is not null and b is not null").select("id", "a", "b").mapInArrow(run, "id bigint, before double, after double")
+
+
 def clouds(texts: DataFrame, backend: MeshBackend | None, n: int = 2000) -> DataFrame:
     """(text_hash, status, n_triangles, cloud), one row per distinct text.
 

@@ -410,6 +410,19 @@ def r03_triangle_area(spark, folder):
     return clouds(spark, folder).select("id", F.round(0.5 * F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2]), 6).alias("area"))
 
 
+@C.add()
+def r02_sampled_points(spark, folder):
+    """64 points on the seven triangles of each cloud."""
+    c = clouds(spark, folder).withColumn("triangles", F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.slice(F.col("cloud"), i * 3 + 1, F.lit(3))))
+    return R.sampled_points(c.withColumn("seed", F.col("id")), 64).select("id", F.size("cloud").alias("n"), F.md5(F.to_json("cloud")).alias("cloud"))
+
+
+@C.add()
+def r07_registered(spark, folder):
+    found = R.registered_pairs(cloud_pairs(spark, folder))
+    return found.select("id", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"))
+
+
 @C.add(f"with {_POINTS}, {_CENTRE} select id, round(cx, 6) + 0.0 as cx, round(cy, 6) + 0.0 as cy, round(cz, 6) + 0.0 as cz, round(rms, 6) as rms from ce join rm using (id)")
 def r05_centroid_scale(spark, folder):
     c = F.col("cloud")

@@ -95,6 +95,29 @@ def s12_pending(spark, folder):
     return S.pending(train(spark, folder), table(spark, folder, "file_validation").filter("uid is not null")).groupBy("uid").agg(F.count("*").alias("n"))
 
 
+@C.add("select strftime(ts, '%Y-%m-%dT%H:%M:%S') as timestamp, event_id::int as step, (user_id % 5)::double as epoch, value as loss, 0.5::double as learning_rate, value / 4 as grad_norm from events")
+def s14_loss_log(spark, folder):
+    """The events appended to a loss log in two parts, and read."""
+    to = scratch(spark, "losses")
+    rows = table(spark, folder, "events").select(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.col("event_id").cast("int").alias("step"), (F.col("user_id") % 5).cast("double").alias("epoch"), F.col("value").alias("loss"),
+        F.lit(0.5).alias("learning_rate"), (F.col("value") / 4).alias("grad_norm"),
+    )
+    S.append_losses(rows.filter("step % 2 = 0"), to)
+    S.append_losses(rows.filter("step % 2 = 1"), to)
+    return S.read_losses(spark, to)
+
+
+@C.add(r"select caption, md5(step) as generated, md5(retrieved_step) as gt, len(list_filter(regexp_split_to_array(retrieved_step, '\s+'), lambda x: x <> '')) <= 600 as in_dist from train_with_rag")
+def s18_evaluation_records(spark, folder):
+    """Evaluation records written as JSON and read."""
+    to = scratch(spark, "evaluation")
+    rows = train(spark, folder).select("caption", F.col("step").alias("generated"), F.col("retrieved_step").alias("gt"), F.when(F.col("retrieved_step").isNotNull(), F.size(T.words(F.col("retrieved_step"))) <= 600).alias("in_dist"))
+    S.write_records(rows, to)
+    back = S.read_records(spark, to, "caption string, generated string, gt string, in_dist boolean")
+    return back.select("caption", F.md5("generated").alias("generated"), F.md5("gt").alias("gt"), "in_dist")
+
+
 _LOSS = "select strftime(ts, '%Y-%m-%dT%H:%M:%S') as timestamp, event_id::varchar as step, (user_id % 5)::varchar as epoch, if(event_type = 'error', 'bad', event_id::varchar || '.5') as loss from events"
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from brepflow.functions import linear as L
 from brepflow.functions import semantic
+from brepflow.functions import text as T
 from brepflow.functions.floats import normalise
 from brepflow.operators import corpus, geometry, metrics, retrieval, tokens, windows
 from brepflow.sources import files
@@ -275,3 +276,63 @@ def test_semantic_levels_and_category():
 def test_cycle_is_marked_on_its_path_only():
     g = L.parse(data("#1=A(#2,#3);", "#2=B(#1,#3);", "#3=C();"))
     assert L.depth_first(g, [1], set()) == [(0, 1, "NORMAL"), (1, 2, "NORMAL"), (2, 1, "CIRCULAR_REF"), (2, 3, "NORMAL")]
+
+
+def test_embedding_interface(spark):
+    t = spark.createDataFrame([(1, "ab"), (2, None), (3, "c")], "id bigint, text string")
+    out = retrieval.embedded(t, lambda x: np.array([[len(s), 1.0] for s in x]), batch=1).orderBy("id").collect()
+    assert [None if r.v is None else list(r.v) for r in out] == [[2.0, 1.0], None, [1.0, 1.0]]
+
+
+def test_zero_vectors_stay(spark):
+    assert list(one(spark, v=retrieval.unit(F.array(F.lit(0.0), F.lit(0.0)))).v) == [0.0, 0.0]
+    assert list(one(spark, v=retrieval.unit(F.array(F.lit(3.0), F.lit(4.0)))).v) == pytest.approx([0.6, 0.8])
+
+
+def test_both_styles_and_no_other(spark):
+    t = spark.createDataFrame([(1, data("#1=SHAPE_DEFINITION_REPRESENTATION(#2);", "#2=X(1.5);")), (2, None), (3, "")], "row_id bigint, step string")
+    for style in ("semantic", "paper"):
+        out = {r.row_id: (r.text, r.error) for r in semantic.restructured(t, style).collect()}
+        assert out[1][0] and out[2] == out[3] == (None, None)
+    with pytest.raises(ValueError):
+        semantic.restructured(t, "other")
+
+
+def test_linearised_text_parses_back_to_the_same_types():
+    text = data("#10=A(#20,#30);", "#20=B('it''s; #9',#30);", "#30=(C(1.) D());", "#40=E(#10,#40);")
+    g = L.parse(L.reserialize(text)[0])
+    assert sorted(g.types.values()) == ["", "A", "B", "E"] and g.error is None
+
+
+def test_report_and_records(spark):
+    html = files.report("a < b", spark.createDataFrame([(1, "<x>")], "n int, s string"))
+    assert "a &lt; b" in html and "&lt;x>" in html
+
+
+def test_counts_of_lines_and_prompts(spark):
+    t = lambda s: F.lit(s)
+    r = one(
+        spark, n=T.entity_count(t("#1=A();\r\n #2=B();\n#3 =C();")), loose=T.entity_count_loose(t("#1=A();\r\n #2=B();\n#3 =C();")), cut=T.cut_mid_entity(t("DATA;\n#1=A(\n")),
+        name=T.safe_name(t("a b/ü-" + "x" * 50)), empty=T.safe_name(t("")), step=T.extract_step(t("x ISO-10303-21; y END-ISO-10303-21; z")), plain=T.prompt(t("c"), t("")),
+        mask=T.mask_literals(t("A('it''s',2)")), keep=T.mask_keep_quotes(t("A('it''s',2)")), th=T.ordinal(F.lit(111)), nd=T.ordinal(F.lit(22)),
+    )
+    assert (r.n, r.loose, r.cut, r.empty, r.th, r.nd) == (2, 3, True, "output", "111th", "22nd")
+    assert len(r.name) == 40 and r.name.startswith("a_b/_-".replace("/", "_")[:4]) and r.step == "ISO-10303-21; y END-ISO-10303-21;"
+    assert "retrieved" not in r.plain and r.mask == "A(_______,2)" and r.keep == "A('_____',2)"
+
+
+def test_isolated_backend_survives_crashes_and_timeouts():
+    import os
+    import time
+
+    def backend(text):
+        if text == "crash":
+            os._exit(1)
+        if text == "slow":
+            time.sleep(60)
+        if text == "bad":
+            raise ValueError
+        return np.ones((1, 3, 3))
+
+    run = geometry.isolated(backend, 1.0)
+    assert [run(x) is None for x in ("crash", "slow", "bad", "fine")] == [True, True, True, False]
