@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from brepflow.functions.steplex import ContentHasher
 
 MIN_WORDS = 8
-SCHEMA = "field string, row_id bigint, cid bigint, n int, elems array<bigint>"
+SCHEMA = "field string, row_id bigint, cid bigint, n int, elems array<bigint>, b0 bigint, b1 bigint, b2 bigint, b3 bigint"
+PARITY = ("b0", "b1", "b2", "b3")
 _SEED = {"step": 1, "caption": 2}
 
 
@@ -41,6 +42,16 @@ def caption_elements(text: str | None) -> np.ndarray:
     return np.sort(np.array(hashes, np.uint64).view(np.int64))
 
 
+def parities(values: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """256 bits for each set, as four int64: bit i tells whether an odd number of its elements falls on i.
+
+    Two sets differ in at least as many elements as their bits differ, whatever the hashes.
+    """
+    place = np.repeat(np.arange(len(sizes)), sizes) * 256 + ((values.view(np.uint64) >> np.uint64(29)) & np.uint64(255)).astype(np.int64)
+    odd = (np.bincount(place, minlength=len(sizes) * 256) & 1).astype(np.uint8).reshape(len(sizes), 256)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = ContentHasher()
     for batch in batches:
@@ -57,23 +68,26 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         rows.append((field, row_id, cid, elems))
             if rows:
                 sizes = [len(r[3]) for r in rows]
+                values = np.concatenate([r[3] for r in rows])
+                bits = parities(values, sizes)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([r[0] for r in rows], pa.string()),
                         pa.array([r[1] for r in rows], pa.int64()),
                         pa.array(np.array([r[2] for r in rows], np.uint64).view(np.int64)),
                         pa.array(sizes, pa.int32()),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([r[3] for r in rows]))),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values)),
+                        *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)),
                     ],
-                    ["field", "row_id", "cid", "n", "elems"],
+                    ["field", "row_id", "cid", "n", "elems", *PARITY],
                 )
 
 
 def contents(train: DataFrame) -> DataFrame:
-    """(field, row_id, cid, n, elems) for each value with content; one scan of the texts."""
+    """(field, row_id, cid, n, elems, parity bits) for each value with content; one scan of the texts."""
     return train.select("row_id", "step", "caption").mapInArrow(_contents, SCHEMA)
 
 
 def classes(contents_: DataFrame) -> DataFrame:
-    """One row per distinct content: (field, cid, n, elems)."""
-    return contents_.select("field", "cid", "n", "elems").dropDuplicates(["cid"])
+    """One row per distinct content: (field, cid, n, elems, parity bits)."""
+    return contents_.drop("row_id").dropDuplicates(["cid"])

@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brepflow.llm.content import PARITY
 from brepflow.llm.neardup import THRESHOLD, verified
 from brepflow.operators.orphans import same_uid
 from brepflow.session import stage
@@ -63,7 +64,7 @@ def contained_classes(contents: DataFrame, threshold: float = THRESHOLD) -> Data
 
 def cross_split_pairs(contents: DataFrame, members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(field, eval_row, train_row, split) for each evaluation row found again in a training row."""
-    kept = stage(contents.join(members.select("row_id", "split"), "row_id"), "split-contents")
+    kept = stage(contents.drop(*PARITY).join(members.select("row_id", "split"), "row_id"), "split-contents")
     pairs = contained_classes(kept, threshold)
     rows = kept.select("cid", "row_id", "split").distinct()
     left = rows.filter("split <> 'train'").selectExpr("cid as a", "row_id as eval_row", "split")

@@ -43,6 +43,17 @@ def test_signature_estimates_jaccard_and_ignores_order_and_company():
     assert (both[0] == both[2]).all() and (both[1] == signatures([b], 1024)[0]).all()
 
 
+def test_parity_bits_never_overstate_the_difference():
+    rng = np.random.default_rng(8)
+    pool = rng.integers(-(2**63), 2**63 - 1, 300)
+    sets = [np.sort(rng.choice(pool, n, replace=False)) for n in rng.integers(1, 250, 40)]
+    bits = content.parities(np.concatenate(sets), [len(s) for s in sets])
+    for i in range(40):
+        for j in range(i):
+            h = sum(int(x).bit_count() for x in (bits[i] ^ bits[j]).view(np.uint64))
+            assert h <= len(set(sets[i].tolist()) ^ set(sets[j].tolist()))
+
+
 def words(rnd, n):
     return [f"w{rnd.randrange(400)}" for _ in range(n)]
 
