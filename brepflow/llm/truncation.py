@@ -27,9 +27,11 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,8 +58,8 @@ MARK = re.compile(r"\s*(?:\[\s*(?:\.\.\.|…)\s*\]|\(\s*(?:\.\.\.|…)\s*\)|…|
 _LONG_NUMBER, _NUMBER = re.compile(r"\d{4,}"), re.compile(r"\d+")
 _BLANKS = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n\s*")
-_STOPS = np.array([ord(c) for c in ".!?。！？"], np.uint32)
-_FULL = np.array([ord(c) for c in "。！？"], np.uint32)
+#: Final stops, and those that no blank follows; fixed values.
+STOPS, FULL_STOPS = ".!?。！？", "。！？"
 _PAD = max(ORDERS) + 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -75,78 +77,98 @@ def folded(text: str) -> tuple[str, bool]:
     return _LINES.sub("\n", _BLANKS.sub(" ", _numbers(body))).strip(), bool(cut)
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
+@cache
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2^64."""
     with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base)]), dtype=np.uint64)
+        return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, b)]), dtype=np.uint64) for b in (_BASE, _BASE_INVERSE))
+
+
+def _table(*ranges: tuple[int, int]) -> np.ndarray:
+    """Which of the first 65536 code points are in one of the ranges."""
+    out = np.zeros(65536, bool)
+    for first, last in ranges:
+        out[first : last + 1] = True
+    return out
+
+
+_STOP = _table(*((ord(c), ord(c)) for c in STOPS))
+_FULL = _table(*((ord(c), ord(c)) for c in FULL_STOPS))
+_SMALL = _table((97, 122), (0xDF, 0xFF))
+_WORD = _table((48, 57), (65, 90), (97, 122), (0xC0, 65535))
+_EVEN = ~np.uint64(1)
 
 
 class Places:
-    """All places of a batch of folded texts: context hashes and whether a unit ends there."""
+    """All places of a batch of folded texts: context hashes and whether a unit ends there.
+
+    Hashes are even: their last bit is free for the outcome of a place.
+    """
 
     def __init__(self, texts: list[str]) -> None:
         joined = ("\1" * _PAD).join(["", *texts, ""])
         code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         self.code = code
+        self._low = np.minimum(code, 65535).astype(np.uint16)
+        size = 1 << max(16, int(len(code) + 1).bit_length())
+        self._power, inverse = _powers(size)
         with np.errstate(over="ignore"):
-            inverse = _powers(_BASE_INVERSE, len(code))
             self._sums = np.concatenate([[np.uint64(0)], np.cumsum((code.astype(np.uint64) + np.uint64(7)) * inverse[: len(code)], dtype=np.uint64)])
-        self._powers = _powers(_BASE, len(code))
         lengths = np.array([len(t) for t in texts], np.int64)
         self.starts = _PAD + np.cumsum(np.concatenate([[0], lengths[:-1] + _PAD])) if len(texts) else lengths
         self.stops = self.starts + lengths
-        inside = code != 1
         #: Places are positions after a character of a text.
-        self.at = np.flatnonzero(inside) + 1
-        self.end = self._ends(code)[self.at]
+        self.at = np.flatnonzero(code != 1) + 1
+        self.ends = self._ends()
 
-    @staticmethod
-    def _ends(code: np.ndarray) -> np.ndarray:
+    def _ends(self) -> np.ndarray:
         """By position i: a unit ends between code[i - 1] and code[i]."""
-        n = len(code)
-        before = np.concatenate([[np.uint32(1)], code])[: n + 1]
-        here = np.concatenate([code, [np.uint32(1)]])
-        after = np.concatenate([code[1:], [np.uint32(1), np.uint32(1)]])
-        stop = np.isin(before, _STOPS)
-        small = ((after >= 97) & (after <= 122)) | ((after >= 0xDF) & (after <= 0xFF))
-        end = (here == 1) | (here == 10) | (stop & (here == 32) & ~small) | np.isin(before, _FULL)
-        statement = (before == ord(";")) & (here == 32) & ((after == ord("#")) | (after == ord("E")))
-        end |= statement
-        following = np.concatenate([end[1:], [False]])
-        return end | (np.isin(here, _STOPS) & following)
+        code, low = self.code, self._low
+        one = np.array([1], np.uint32)
+        before, here = np.concatenate([one, code]), np.concatenate([code, one])
+        before_low, after_low = np.concatenate([[np.uint16(1)], low]), np.concatenate([low[1:], [np.uint16(1), np.uint16(1)]])
+        blank = here == 32
+        end = (here == 1) | (here == 10) | (_STOP[before_low] & blank & ~_SMALL[after_low]) | _FULL[before_low]
+        end |= (before == ord(";")) & blank & ((after_low == ord("#")) | (after_low == ord("E")))
+        end[:-1] |= _STOP[low] & end[1:]
+        return end
 
     def hashes(self, at: np.ndarray, begin: np.ndarray, salt: int) -> np.ndarray:
         """Hash of the characters from ``begin`` to ``at``."""
         with np.errstate(over="ignore"):
-            value = (self._sums[at] - self._sums[begin]) * self._powers[np.maximum(at, 1) - 1]
-            return mix64(value + np.uint64(salt + 1) * _BASE)
-
-    def contexts(self, at: np.ndarray) -> Iterator[np.ndarray]:
-        """The context hashes at places, order by order."""
-        for k in ORDERS:
-            yield self.hashes(at, at - k, k)
+            value = (self._sums[at] - self._sums[begin]) * self._power[np.maximum(at, 1) - 1]
+            value += np.uint64(salt + 1) * _BASE
+        return mix64(value) & _EVEN
 
     def heads(self, at: np.ndarray) -> np.ndarray:
         """Hash of each place's unit: its first word and its number of words so far."""
         code = self.code
         n = len(code)
         index = np.arange(n + 1)
-        before = np.concatenate([[np.uint32(1)], code])
+        before = np.concatenate([np.array([1], np.uint32), code])
         blank = np.concatenate([(code == 32) | (code == 10) | (code == 1), [True]])
-        ended = self._ends(code)
-        opens = (before == 1) | (before == 10) | ((before == 32) & np.concatenate([[False], ended[:-1]])) | np.isin(before, _FULL)
+        opens = (before == 1) | (before == 10) | ((before == 32) & np.concatenate([[False], self.ends[:-1]])) | _FULL[np.concatenate([[np.uint16(1)], self._low])]
         start = np.maximum.accumulate(np.where(opens, index, 0))
         next_blank = np.minimum.accumulate(np.where(blank, index, n)[::-1])[::-1]
         words = np.cumsum(blank)
         first = np.minimum(next_blank[start[at]], at)
         count = (words[np.maximum(at, 1) - 1] - words[np.maximum(start[at], 1) - 1]).astype(np.uint64)
         with np.errstate(over="ignore"):
-            return mix64(self.hashes(first, start[at], 99) ^ mix64(count + np.uint64(1)))
+            return mix64(self.hashes(first, start[at], 99) ^ mix64(count + np.uint64(1))) & _EVEN
 
-    def word_ends(self) -> np.ndarray:
+    def word_ends(self, at: np.ndarray) -> np.ndarray:
         """Which of the places follow a letter or digit and precede none."""
-        word = (self.code >= 48) & ~((self.code >= 58) & (self.code <= 64)) & ~((self.code >= 91) & (self.code <= 96)) & ~((self.code >= 123) & (self.code <= 0xBF))
-        here = np.concatenate([word, [False]])
-        return word[self.at - 1] & ~here[self.at]
+        word = np.concatenate([_WORD[self._low], [False]])
+        return word[at - 1] & ~word[at]
+
+
+def _last_lines(text: str) -> str:
+    """The end of a text from a line end on, long enough for all contexts; all of it where there is none.
+
+    Units start after line ends, so the last unit and the last characters are whole.
+    """
+    at = text.rfind("\n", 0, max(0, len(text) - _PAD))
+    return text[at:] if at >= 0 else text
 
 
 def _portions(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -163,20 +185,23 @@ def _portions(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 
 def _finals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    width = len(ORDERS) + 1
     for batch in batches:
         for first, stop in _portions(batch.column("text").to_pylist()):
             part = batch.slice(first, stop - first)
             both = [folded(t) for t in part.column("text").to_pylist()]
             rows = [i for i, (t, _) in enumerate(both) if t]
-            places = Places([both[i][0] for i in rows])
-            keys = np.stack([*places.contexts(places.stops), places.heads(places.stops)], axis=1).view(np.int64) if rows else np.empty((0, len(ORDERS) + 1), np.int64)
+            if not rows:
+                continue
+            places = Places([_last_lines(both[i][0]) for i in rows])
+            keys = np.stack([*(places.hashes(places.stops, places.stops - k, k) for k in ORDERS), places.heads(places.stops)], axis=1).view(np.int64)
             at = pa.array(rows, pa.int64())
-            text_hash = places.hashes(places.stops, places.starts, 0).view(np.int64) if rows else np.empty(0, np.int64)
+            text_hash = np.array([xxhash.xxh3_64_intdigest(both[i][0]) for i in rows], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id").take(at), part.column("lang").take(at), part.column("source").take(at),
                     pa.array([both[i][1] for i in rows], pa.bool_()), pa.array(text_hash),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel())),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * width), pa.array(keys.ravel())),
                 ],
                 ["doc_id", "lang", "source", "marked", "text_hash", "keys"],
             )
@@ -204,27 +229,38 @@ def context_counts(documents: DataFrame, finals: DataFrame) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(_bitmap(finals))
     shift = np.uint64(64 - (BITMAP_WORDS - 1).bit_length())
 
+    def known(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        return ((bitmap[(hashes >> shift).astype(np.int64)] >> (hashes & np.uint64(63))) & np.uint64(1)).astype(bool)
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for first, stop in _portions(texts):
                 both = [folded(t) for t in texts[first:stop]]
-                places = Places([t for t, marked in both if t])
-                if not len(places.at):
+                places = Places([t for t, _ in both if t])
+                marked = np.array([m for t, m in both if t], bool)
+                at = np.setdiff1d(places.at, places.stops[marked], assume_unique=True)  # a marked end is no outcome
+                if not len(at):
+                    continue
+                heads_at = at[places.word_ends(at) | np.isin(at, places.stops)]
+                hashes = places.heads(heads_at)
+                hit = known(bitmap, hashes)
+                outcomes = [hashes[hit] | places.ends[heads_at[hit]]]
+                for k in ORDERS:  # a context ends a text only if each shorter one does
+                    hashes = places.hashes(at, at - k, k)
+                    hit = known(bitmap, hashes)
+                    at = at[hit]
+                    outcomes.append(hashes[hit] | places.ends[at])
+                keys = np.sort(np.concatenate(outcomes))
+                edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+                if not len(edges):
                     continue
-                ends = places.end.copy()
-                marked_stops = places.stops[np.array([m for t, m in both if t], bool)]
-                counts_as_place = ~np.isin(places.at, marked_stops)
-                word_end = places.word_ends() | np.isin(places.at, places.stops)
-                keys, end = [], []
-                for hashes, use in [(h, counts_as_place) for h in places.contexts(places.at)] + [(places.heads(places.at), counts_as_place & word_end)]:
-                    hit = use & ((bitmap[(hashes >> shift).astype(np.int64)] >> (hashes & np.uint64(63))) & np.uint64(1)).astype(bool)
-                    keys.append(hashes[hit])
-                    end.append(ends[hit])
-                distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
+                value, n = keys[edges], np.diff(np.append(edges, len(keys)))
+                same = np.flatnonzero(np.concatenate([[True], (value[1:] & _EVEN) != (value[:-1] & _EVEN)]))
+                ended = n * (value & np.uint64(1)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(distinct.view(np.int64)), pa.array(np.bincount(of, minlength=len(distinct))), pa.array(np.bincount(of, np.concatenate(end), len(distinct)).astype(np.int64))],
+                    [pa.array((value[same] & _EVEN).view(np.int64)), pa.array(np.add.reduceat(n, same)), pa.array(np.add.reduceat(ended, same))],
                     ["key", "n", "e"],
                 )
 
