@@ -55,8 +55,10 @@ GAP_RANGE, GAP_STEP = (-2.5, 0.5), 0.25
 
 #: Marks in place of the rest; fixed values.
 MARK = re.compile(r"\s*(?:\[\s*(?:\.\.\.|…)\s*\]|\(\s*(?:\.\.\.|…)\s*\)|…|\.\.\.+)\s*\Z")
-_LONG_NUMBER, _NUMBER = re.compile(r"\d{4,}"), re.compile(r"\d+")
-_BLANKS = re.compile(r"[^\S\n]+")
+_ZEROS = bytes.maketrans(b"123456789", b"000000000")
+_LONG_NUMBER = re.compile(b"0{4,}")
+#: Blanks that are more, or other, than one space.
+_BLANKS = re.compile(r"[^\S\n]{2,}|[^\S\n ]")
 _LINES = re.compile(r" ?\n\s*")
 #: Final stops, and those that no blank follows; fixed values.
 STOPS, FULL_STOPS = ".!?。！？", "。！？"
@@ -67,13 +69,16 @@ _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 def _numbers(text: str) -> str:
     """Numbers of one to three digits as 0, longer ones as 00."""
-    return _NUMBER.sub("0", _LONG_NUMBER.sub("\0\0", text)).replace("\0", "0")
+    zeros = text.encode("utf-8", "surrogatepass").translate(_ZEROS)
+    short = _LONG_NUMBER.sub(b"\0\0", zeros).replace(b"000", b"0").replace(b"00", b"0").replace(b"\0", b"0")
+    return short.decode("utf-8", "surrogatepass")
 
 
 def folded(text: str) -> tuple[str, bool]:
     """The text as contexts see it (short numbers as 0, long ones as 00, blanks and line ends as one each), and whether a mark ended it."""
-    cut = MARK.search(text)
-    body = text[: cut.start()] if cut else text
+    near = text[-32:]
+    cut = MARK.search(near)
+    body = text[: len(text) - len(near) + cut.start()] if cut else text
     return _LINES.sub("\n", _BLANKS.sub(" ", _numbers(body))).strip(), bool(cut)
 
 
