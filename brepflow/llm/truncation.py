@@ -161,6 +161,12 @@ class Places:
         with np.errstate(over="ignore"):
             return mix64(self.hashes(first, start[at], 99) ^ mix64(count + np.uint64(1))) & _EVEN
 
+    def holds(self, at: np.ndarray) -> np.ndarray:
+        """By position: whether it is one of the places."""
+        out = np.zeros(len(self.code) + 1, bool)
+        out[at] = True
+        return out
+
     def word_ends(self, at: np.ndarray) -> np.ndarray:
         """Which of the places follow a letter or digit and precede none."""
         word = np.concatenate([_WORD[self._low], [False]])
@@ -245,10 +251,11 @@ def context_counts(documents: DataFrame, finals: DataFrame) -> DataFrame:
                 both = [folded(t) for t in texts[first:stop]]
                 places = Places([t for t, _ in both if t])
                 marked = np.array([m for t, m in both if t], bool)
-                at = np.setdiff1d(places.at, places.stops[marked], assume_unique=True)  # a marked end is no outcome
+                is_stop = places.holds(places.stops)
+                at = places.at[~places.holds(places.stops[marked])[places.at]]  # a marked end is no outcome
                 if not len(at):
                     continue
-                heads_at = at[places.word_ends(at) | np.isin(at, places.stops)]
+                heads_at = at[places.word_ends(at) | is_stop[at]]
                 hashes = places.heads(heads_at)
                 hit = known(bitmap, hashes)
                 outcomes = [hashes[hit] | places.ends[heads_at[hit]]]
