@@ -221,13 +221,19 @@ _IDS = r"list_transform(list_filter(regexp_split_to_array(caption, '\s+'), lambd
 _AFTER = "coalesce(list_filter(generate_series(1, len(ids) - 1), lambda i: ids[i] = 2 and ids[i + 1] = 3)[1] + 1, -1)"
 _ROWS = f"ids as (select row_id, {_IDS} as ids from train_with_rag where caption is not null), cut as (select row_id, ids[1:40] as ids from ids), k as (select *, {_AFTER} as k from cut)"
 _LABELS = "if(k < 0, list_transform(ids, lambda x: -100), list_concat(list_transform(ids[1:k], lambda x: -100), ids[k + 1:]))"
+_WHOLE = f"ids as (select row_id, {_IDS} as ids from train_with_rag where caption is not null), k as (select *, {_AFTER} as k from ids)"
 HEADER = [2, 3]
 
 
-def token_rows(spark, folder) -> DataFrame:
-    """Stand-in ids (word lengths) of each caption, at most 40."""
+def whole_rows(spark, folder) -> DataFrame:
+    """Stand-in ids (word lengths) of each caption."""
     ids = F.transform(T.words(F.col("caption")), lambda w: F.length(w))
-    return train(spark, folder).filter("caption is not null").select("row_id", K.truncated(ids, 40).alias("ids"))
+    return train(spark, folder).filter("caption is not null").select("row_id", ids.alias("ids"))
+
+
+def token_rows(spark, folder) -> DataFrame:
+    """At most 40 ids of each caption, as the SQL of K02 to K06 and A23 has them; the `_whole` queries have all."""
+    return whole_rows(spark, folder).select("row_id", K.truncated(F.col("ids"), 40).alias("ids"))
 
 
 @C.add(f"with {_ROWS}, l as (select *, {_LABELS} as labels from k) select row_id, round(len(list_filter(labels, lambda x: x <> -100)) / nullif(len(labels), 0), 6) as share from l")
@@ -235,6 +241,11 @@ def a23_unmasked_share(spark, folder):
     return token_rows(spark, folder).select("row_id", K.unmasked_share(K.labels(F.col("ids"), HEADER)).alias("share"))
 
 
+@C.add(f"with {_WHOLE}, l as (select *, {_LABELS} as labels from k) select row_id, round(len(list_filter(labels, lambda x: x <> -100)) / nullif(len(labels), 0), 6) as share from l")
+def a23_unmasked_share_whole(spark, folder):
+    return whole_rows(spark, folder).select("row_id", K.unmasked_share(K.labels(F.col("ids"), HEADER)).alias("share"))
+
+
 @C.add(f"with {LOSSES} select run, max(step) as step, arg_max(event_type, step) as event_type, arg_max(value, step) as value from losses group by run")
 def a24_final_step(spark, folder):
     last = losses(spark, folder).groupBy("run").agg(F.max_by(F.struct("step", "event_type", "value"), "step").alias("x"))
@@ -366,6 +377,27 @@ def k06_generation_budget(spark, folder):
     return token_rows(spark, folder).select("row_id", K.generation_budget(F.size("ids"), 300).alias("budget"))
 
 
+@C.add(f"with {_WHOLE} select row_id, k from k")
+def k02_after_header_whole(spark, folder):
+    return whole_rows(spark, folder).select("row_id", K.after_header(F.col("ids"), HEADER).alias("k"))
+
+
+@C.add(f"with {_WHOLE} select row_id, {_LABELS} as labels from k")
+def k03_labels_whole(spark, folder):
+    return whole_rows(spark, folder).select("row_id", K.labels(F.col("ids"), HEADER).alias("labels"))
+
+
+@C.add(f"with {_WHOLE} select row_id, list_concat(ids, list_transform(range(greatest(40 - len(ids), 0)), lambda x: 0::int)) as ids from ids")
+def k05_padded_whole(spark, folder):
+    return whole_rows(spark, folder).select("row_id", K.padded(F.col("ids"), F.lit(40)).alias("ids"))
+
+
+@C.add(f"with {_WHOLE} select row_id, greatest(256, 400 - len(ids) - 64) as budget from ids")
+def k06_generation_budget_whole(spark, folder):
+    """At 400 the budget is above its least value for captions of fewer than 80 words."""
+    return whole_rows(spark, folder).select("row_id", K.generation_budget(F.size("ids"), 400).alias("budget"))
+
+
 @C.add("select vec_id, list_transform(embedding, lambda x: round(x::double / sqrt(list_dot_product(embedding::double[], embedding::double[])), 6)) as unit from embeddings")
 def k09_unit_vectors(spark, folder):
     return table(spark, folder, "embeddings").select("vec_id", F.transform(V.unit(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
