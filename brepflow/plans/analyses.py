@@ -11,7 +11,7 @@ from brepflow.operators import metrics as M
 from brepflow.operators import retrieval as V
 from brepflow.operators import tokens as K
 from brepflow.operators import windows as W
-from brepflow.plans.corpora import _EPOCHS, N_ENTITIES, epochs, scratch
+from brepflow.plans.corpora import _EPOCHS, _EVERY_EPOCH, N_ENTITIES, epochs, scratch
 from brepflow.plans.registry import Catalog
 from brepflow.plans.texts import train, trimmed
 from brepflow.session import table
@@ -203,6 +203,11 @@ def a21_error_bars(spark, folder):
     return epochs(spark, folder).select("doc_id", "epoch", F.round(F.col("avg") - F.col("min"), 6).alias("below"), F.round(F.col("max") - F.col("avg"), 6).alias("above"))
 
 
+@C.add(f"with {_EVERY_EPOCH} select doc_id, epoch, round(avg - min, 6) as below, round(max - avg, 6) as above from epochs")
+def a21_error_bars_whole(spark, folder):
+    return epochs(spark, folder, every=True).select("doc_id", "epoch", F.round(F.col("avg") - F.col("min"), 6).alias("below"), F.round(F.col("max") - F.col("avg"), 6).alias("above"))
+
+
 @C.add(
     rf"""with c as (select source, case when contains(step, 'END-ISO-10303-21;') then 'EOS' when not ends_with({trimmed('step')}, ';') then 'TRUNC' else 'OTHER' end as outcome from train_with_rag where step is not null)
     select source, outcome, count(*) as n, case when 100.0 * max(e) / max(t) >= 50 then 'go' when 100.0 * max(e) / max(t) >= 20 then 'weak' else 'no-go' end as verdict

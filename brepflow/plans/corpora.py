@@ -145,8 +145,13 @@ epochs as (select doc_id, regexp_extract(line, {quoted(S.EPOCH_LINE)}, 1)::int a
   regexp_extract(line, {quoted(S.EPOCH_LINE)}, 4)::double as min, regexp_extract(line, {quoted(S.EPOCH_LINE)}, 5)::double as max from line where regexp_matches(line, {quoted(S.EPOCH_LINE)}))"""
 
 
-def epochs(spark, folder) -> DataFrame:
-    lines = table(spark, folder, "documents").filter("source = 'training_log'").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+_EVERY_EPOCH = _EPOCHS.replace(" where source = 'training_log'", "")
+
+
+def epochs(spark, folder, every: bool = False) -> DataFrame:
+    """Epoch lines of the documents whose source is a training log, as the SQL has them, or of every document."""
+    documents = table(spark, folder, "documents")
+    lines = (documents if every else documents.filter("source = 'training_log'")).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     return lines.select("doc_id", *(c.alias(k) for k, c in S.epoch_rows(F.col("line")).items())).filter("epoch is not null")
 
 
@@ -155,6 +160,11 @@ def s17_epoch_lines(spark, folder):
     return epochs(spark, folder)
 
 
+@C.add(f"with {_EVERY_EPOCH} select * from epochs")
+def s17_epoch_lines_whole(spark, folder):
+    return epochs(spark, folder, every=True)
+
+
 @C.add(f"with {SPLITS} select count(*) as n, count(*) - count(split) as n_unmatched, round(avg((split is null)::int), 6) as share, round(avg((split is null)::int), 6) > 0.05 as warn from train_with_rag t left join split_norm s on s.uid = replace(t.uid, '_', '/')")
 def s19_unmatched(spark, folder):
     return S.unmatched(K.routed(train(spark, folder), table(spark, folder, "split_manifest")))
@@ -352,6 +362,13 @@ def j09_common_epochs(spark, folder):
     return a.join(b, "epoch")
 
 
+@C.add(f"with {_EVERY_EPOCH}, a as (select epoch, min(avg) as a from epochs where doc_id % 2 = 0 group by 1), b as (select epoch, min(avg) as b from epochs where doc_id % 2 = 1 group by 1) select epoch, a, b from a join b using (epoch)")
+def j09_common_epochs_whole(spark, folder):
+    e = epochs(spark, folder, every=True)
+    a, b = (e.filter(F.col("doc_id") % 2 == k).groupBy("epoch").agg(F.min("avg").alias(n)) for k, n in ((0, "a"), (1, "b")))
+    return a.join(b, "epoch")
+
+
 @C.add(
     r"""with g as (select row_id, t as etype, count(*) as gt from (select row_id, unnest(regexp_extract_all(step, '(?m)^#\d+\s*=\s*(\w+)\s*\(', 1)) as t from train_with_rag) group by all),
     r as (select row_id, t as etype, count(*) as gen from (select row_id, unnest(regexp_extract_all(retrieved_step, '(?m)^#\d+\s*=\s*(\w+)\s*\(', 1)) as t from train_with_rag) group by all),
@@ -399,6 +416,12 @@ def o08_epoch_intersection(spark, folder):
     return e.filter("doc_id % 2 = 0").select("epoch").intersect(e.filter("doc_id % 2 = 1").select("epoch"))
 
 
+@C.add(f"with {_EVERY_EPOCH} select distinct epoch from epochs where doc_id % 2 = 0 intersect select epoch from epochs where doc_id % 2 = 1")
+def o08_epoch_intersection_whole(spark, folder):
+    e = epochs(spark, folder, every=True)
+    return e.filter("doc_id % 2 = 0").select("epoch").intersect(e.filter("doc_id % 2 = 1").select("epoch"))
+
+
 @C.add("select vec_id, (select count(distinct [round(embedding[3 * p + 1], 0), round(embedding[3 * p + 2], 0), round(embedding[3 * p + 3], 0)]) from (select unnest(range(21)) as p)) as n_points from embeddings")
 def o09_distinct_points(spark, folder):
     p = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.transform(F.slice(F.col("embedding"), i * 3 + 1, F.lit(3)), lambda x: F.round(x.cast("double"), 0) + F.lit(0.0)))
