@@ -53,8 +53,6 @@ LEAST_TEXTS = 500
 #: Range in which a threshold is searched, and its step.
 GAP_RANGE, GAP_STEP = (-2.5, 0.5), 0.25
 
-#: Marks in place of the rest; fixed values.
-MARK = re.compile(r"\s*(?:\[\s*(?:\.\.\.|…)\s*\]|\(\s*(?:\.\.\.|…)\s*\)|…|\.\.\.+)\s*\Z")
 _ZEROS = bytes.maketrans(b"123456789", b"000000000")
 _LONG_NUMBER = re.compile(b"0{4,}")
 #: Blanks that are more, or other, than one space.
@@ -74,12 +72,30 @@ def _numbers(text: str) -> str:
     return short.decode("utf-8", "surrogatepass")
 
 
+def _before_mark(text: str) -> str | None:
+    """The text before a mark at its end, whatever blanks follow the mark or are in it; None where there is none."""
+    kept = text.rstrip()
+    opener = {"]": "[", ")": "("}.get(kept[-1:])
+    inner = kept[:-1].rstrip() if opener else kept
+    if inner.endswith("…"):
+        rest = inner[:-1]
+    elif inner.endswith("..."):
+        rest = inner[:-3] if opener else inner.rstrip(".")
+    else:
+        return None
+    if opener:
+        rest = rest.rstrip()
+        if not rest.endswith(opener):
+            return None
+        rest = rest[:-1]
+    return rest.rstrip()
+
+
 def folded(text: str) -> tuple[str, bool]:
     """The text as contexts see it (short numbers as 0, long ones as 00, blanks and line ends as one each), and whether a mark ended it."""
-    near = text[-32:]
-    cut = MARK.search(near)
-    body = text[: len(text) - len(near) + cut.start()] if cut else text
-    return _LINES.sub("\n", _BLANKS.sub(" ", _numbers(body))).strip(), bool(cut)
+    before = _before_mark(text)
+    body = text if before is None else before
+    return _LINES.sub("\n", _BLANKS.sub(" ", _numbers(body))).strip(), before is not None
 
 
 @cache
