@@ -48,8 +48,8 @@ HEAD_BOUNDS = (-1.5, 6.0)
 BITMAP_WORDS = 1 << 20
 #: Characters whose places are worked on together.
 PORTION = 300_000
-#: A language with fewer texts than this uses the threshold of all languages.
-LEAST_TEXTS = 500
+#: So many texts, distributed as those of all languages are, are added to each language's own.
+PRIOR_TEXTS = 500
 #: Range in which a threshold is searched, and its step.
 GAP_RANGE, GAP_STEP = (-2.5, 0.5), 0.25
 
@@ -332,6 +332,7 @@ def scored(documents: DataFrame) -> DataFrame:
 def thresholds(scores: DataFrame) -> dict[str | None, float]:
     """By language (None: all), the emptiest place of the scores near zero.
 
+    Each language's histogram is shrunk towards that of all languages by ``PRIOR_TEXTS``, whatever its size.
     Only a histogram comes to the driver: at most a few dozen bins for each language.
     """
     low, high = GAP_RANGE
@@ -344,12 +345,15 @@ def thresholds(scores: DataFrame) -> dict[str | None, float]:
             total.setdefault(lang, np.zeros(size + 2, np.int64))[r["bin"] + 1] += r["count"]
 
     def gap(counts: np.ndarray) -> float:
-        inner = counts[1:-1].astype(float)
+        inner = counts[1:-1]
         around = np.convolve(np.pad(inner, 1, mode="edge"), [1, 2, 1], "valid")
         middle = low + GAP_STEP * (np.arange(size) + 0.5)
         return float(middle[min(range(size), key=lambda i: (around[i], abs(middle[i] + 1)))])
 
-    return {lang: gap(c) for lang, c in total.items() if lang is None or c.sum() >= LEAST_TEXTS}
+    if not total:
+        return {}
+    prior = total[None] * (PRIOR_TEXTS / total[None].sum())
+    return {lang: gap(c + prior) for lang, c in total.items()}
 
 
 def cut_off(documents: DataFrame) -> DataFrame:
@@ -358,7 +362,7 @@ def cut_off(documents: DataFrame) -> DataFrame:
     limit = thresholds(scores)
     general = limit.pop(None, -1.0)
     threshold = F.lit(general)
-    for lang, value in sorted(limit.items()):
+    for lang, value in sorted((x, v) for x, v in limit.items() if v != general):
         threshold = F.when(F.col("lang") == lang, F.lit(value)).otherwise(threshold)
     return scores.withColumn("cut", F.col("score") < threshold)
 
