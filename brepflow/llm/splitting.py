@@ -17,8 +17,8 @@ the next statement would else not fit, and none after a cut inside a statement.
 
 Defined cases: null, empty and short enough values have no pieces; an unclosed literal or
 comment runs to the value's end, and what follows the last statement end goes into the last
-piece; rows repeated with the same id and value give one set of pieces; further columns are
-not read. Sizes are code points.
+piece; rows repeated with the same id and value give one set of pieces, a null id being an id like
+any other; further columns are not read. Sizes are code points.
 """
 
 from __future__ import annotations
@@ -196,6 +196,10 @@ def pieces(values: DataFrame) -> DataFrame:
     base = F.col("part").cast("long") * RANGE
     begin = F.greatest(F.col("start") - base, F.lit(0))
     stop = F.least(F.col("start") + F.col("n_chars") - base, F.lit(RANGE))
-    taken = touched.join(sliced, [*_KEYS, "part"]).withColumn("taken", F.substring("chars", (begin + 1).cast("int"), (stop - begin).cast("int")))
+    of = sliced.select(*(F.col(k).alias(f"of_{k}") for k in (*_KEYS, "part")), "chars")
+    same = F.col("row_id").eqNullSafe(F.col("of_row_id"))
+    for k in (*_KEYS[1:], "part"):
+        same &= F.col(k) == F.col(f"of_{k}")
+    taken = touched.join(of, same).withColumn("taken", F.substring("chars", (begin + 1).cast("int"), (stop - begin).cast("int")))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "taken"))), lambda x: x["taken"]), "")
     return taken.groupBy(*_KEYS, "piece_no", "n_pieces", "start", "n_chars", "n_repeated").agg(joined.alias("text")).drop("h")
