@@ -10,7 +10,8 @@ and one of the sources it holds:
 
 * copies of one text (equal after folding case and white space) do not share a container. A
   cluster with more copies than its group needs containers at all cannot keep to that without
-  waste; it alone is exempt;
+  waste; each container takes at most as many of its copies as spread them evenly over the
+  containers that no item too large beside them fills;
 * sources named together in ``apart`` do not share a container (none by default).
 
 An item above the capacity fills containers of its own; what is left over is packed like any
@@ -63,6 +64,15 @@ def sized(documents: DataFrame, folder: str = TOKENIZERS, name: str = NAME) -> D
     return texts.mapInArrow(measured, "doc_id bigint, source string, cluster bigint, size int").filter("size > 0")
 
 
+def _even(copies: int, size: int, ordered: np.ndarray, needed: int, capacity: int) -> int:
+    """The least number of copies a container at which the containers with room for so many hold them all."""
+    for n in range(1, capacity // size + 1):
+        large = len(ordered) - int(np.searchsorted(ordered, capacity - n * size, "right"))
+        if n * (needed - large) >= copies:
+            return n
+    return copies
+
+
 def best_fit(sizes: np.ndarray, clusters: np.ndarray, sources: np.ndarray, capacity: int, apart: dict[int, int] | None = None) -> np.ndarray:
     """The container of each item (none above the capacity), in the given order of items.
 
@@ -71,9 +81,14 @@ def best_fit(sizes: np.ndarray, clusters: np.ndarray, sources: np.ndarray, capac
     apart = apart or {}
     needed = max(1, math.ceil(int(sizes.sum()) / capacity))
     _, of, copies = np.unique(clusters, return_inverse=True, return_counts=True)
-    guarded = (copies > 1) & (copies <= needed)
+    guarded = copies > 1
+    most = np.ones(len(copies), np.int64)
+    ordered = np.sort(sizes)
+    for k in np.flatnonzero(copies > needed):
+        most[k] = _even(int(copies[k]), int(sizes[of == k].max()), ordered, needed, capacity)
     bit_of = np.where(guarded, np.cumsum(guarded) - 1, -1)
-    held: list[int] = []
+    held: list[int] = []  # clusters of which the container takes no more
+    so_far: dict[tuple[int, int], int] = {}
     from_sources: list[int] = []
     at_residual: list[list[int]] = [[] for _ in range(capacity + 1)]
     used = 0
@@ -97,6 +112,9 @@ def best_fit(sizes: np.ndarray, clusters: np.ndarray, sources: np.ndarray, capac
             found, residual = len(held), capacity
             held.append(0)
             from_sources.append(0)
+        if bit and most[k] > 1:
+            so_far[found, k] = n = so_far.get((found, k), 0) + 1
+            bit = bit if n >= most[k] else 0
         held[found] |= bit
         from_sources[found] |= 1 << source
         at_residual[residual - size].append(found)
