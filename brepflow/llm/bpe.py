@@ -3,8 +3,9 @@
 Each worker splits its texts into words with the tokenizer's own pattern and keeps what it
 does not know yet. Those words become token-position rows, one per byte. A recursive query
 joins neighbouring rows with the merge table, takes each word's pair of minimum rank, and
-contracts it at its leftmost place (and, where the pair's halves differ, at its other places
-in the same step: they do not touch, and no contraction can make a pair of lower rank). A
+contracts it from the left on at all places that do not overlap: of a run of overlapping
+places (a pair of equal halves) every other one, from the leftmost on. That is what contracting the
+leftmost place again and again gives, since no contraction can make a pair of lower rank. A
 word leaves the recursion when no pair of its is in the merge table. An ordered aggregation
 reads the ids of each word off its last rows.
 
@@ -21,6 +22,7 @@ import base64
 import json
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -46,15 +48,17 @@ with recursive step(i, word, pos, tok) as (
   union all
   select * from (
     with pair as (
-      select i, word, pos, tok, lead(tok) over w as right_tok, lead(pos) over w as right_pos
+      select i, word, pos, tok, lead(tok) over w as right_tok, lead(pos) over w as right_pos, row_number() over w as place
       from step window w as (partition by word order by pos)
     ), ranked as (
       select p.*, m.rank, m.merged from pair p left join merges m on m.l = p.tok and m.r = p.right_tok
     ), least as (
-      select word, min(rank) as rank, arg_min(pos, (rank, pos)) as pos from ranked where rank is not null group by word
+      select word, min(rank) as rank from ranked where rank is not null group by word
+    ), found as (
+      select r.word, r.pos, r.right_pos, r.merged, r.place - row_number() over (partition by r.word order by r.pos) as run
+      from ranked r join least b on b.word = r.word and b.rank = r.rank
     ), taken as (
-      select r.word, r.pos, r.right_pos, r.merged from ranked r join least b on b.word = r.word and b.rank = r.rank
-      where r.tok <> r.right_tok or r.pos = b.pos
+      select word, pos, right_pos, merged from found qualify row_number() over (partition by word, run order by pos) % 2 = 1
     )
     select p.i + 1, p.word, p.pos, coalesce(t.merged, p.tok) from pair p join least b on b.word = p.word
     left join taken t on t.word = p.word and t.pos = p.pos
@@ -83,14 +87,20 @@ class Encoder:
         }
         self._of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self._pattern = regex.compile(PATTERN)
-        self._memo: dict[str, list[int]] = {}
-        self._db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self._forget()
+        # no temp_directory: what one recursion keeps is bounded, so it must not spill to a machine's own disk
+        self._db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         given = pa.table({k: pa.array(v, pa.int32()) for k, v in columns.items()})  # noqa: F841
         self._db.execute("create table merges as select * from given")
 
-    def _contract(self, words: list[np.ndarray]) -> list[list[int]]:
+    def _forget(self) -> None:
+        """An empty memo: each known word's number, and the ids of word k at ``_ids[_at[k]:_at[k + 1]]``."""
+        self._memo: dict[str, int] = {}
+        self._ids, self._at = np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def _contract(self, words: list[np.ndarray]) -> list[np.ndarray]:
         """Token ids of each word, given as its rows' tokens."""
-        done: list[list[int]] = [[] for _ in words]
+        done: list[np.ndarray] = [np.empty(0, np.int32)] * len(words)
         left = list(range(len(words)))
         while left:
             lengths = [len(words[k]) for k in left]
@@ -101,39 +111,53 @@ class Encoder:
             })
             depth = max(1, min(DEPTH, ROWS // sum(lengths)))
             self._db.register("bytes", bytes_)
-            rows = self._db.execute(_MERGE.format(depth=depth)).fetchall()
+            rows = self._db.sql(_MERGE.format(depth=depth)).to_arrow_table().combine_chunks()
             self._db.unregister("bytes")
+            ids = rows.column("ids").combine_chunks()
+            flat, at = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
             left = []
-            for k, i, ids in rows:
+            for j, (k, i) in enumerate(zip(rows.column("word").to_pylist(), rows.column("i").to_pylist())):
+                found = flat[at[j] : at[j + 1]].astype(np.int32)
                 if i < depth:
-                    done[k] = ids
+                    done[k] = found
                 else:
-                    words[k] = np.array(ids, np.int32)
+                    words[k] = found
                     left.append(k)
         return done
 
     def _learn(self, words: list[str]) -> None:
-        chunk: list[str] = []
-        size = 0
-        raw = [w.encode() for w in words]
-        order = sorted(range(len(raw)), key=lambda k: len(raw[k]))
-        for at, k in enumerate(order):
-            chunk.append(words[k])
-            size += len(raw[k])
-            if at + 1 == len(order) or size + len(raw[order[at + 1]]) > CHUNK_BYTES:
-                rows = [self._of_byte[np.frombuffer(w.encode(), np.uint8)] for w in chunk]
-                self._memo.update(zip(chunk, self._contract(rows)))
-                chunk, size = [], 0
+        raw = sorted((w.encode() for w in words), key=len)
+        found: list[np.ndarray] = []
+        first = 0
+        while first < len(raw):
+            stop, size = first, 0
+            while stop < len(raw) and (stop == first or size + len(raw[stop]) <= CHUNK_BYTES):
+                size += len(raw[stop])
+                stop += 1
+            found += self._contract([self._of_byte[np.frombuffer(w, np.uint8)] for w in raw[first:stop]])
+            first = stop
+        known = len(self._memo)
+        self._memo.update((w.decode(), known + k) for k, w in enumerate(raw))
+        self._ids = np.concatenate([self._ids, *found])
+        self._at = np.concatenate([self._at, self._at[-1] + np.cumsum([len(x) for x in found])])
 
     def __call__(self, texts: list[str | None]) -> list[list[int]]:
         """Token ids of each text."""
+        return self.encoded(texts).to_pylist()
+
+    def encoded(self, texts: list[str | None]) -> pa.ListArray:
+        """Token ids of each text, as an Arrow array."""
         split = [self._pattern.findall(t) if t else [] for t in texts]
         if len(self._memo) > MEMO:
-            self._memo.clear()
+            self._forget()
         if new := {w for words in split for w in words if w not in self._memo}:
             self._learn(sorted(new))
-        memo = self._memo
-        return [[i for w in words for i in memo[w]] for words in split]
+        numbers = np.fromiter(map(self._memo.__getitem__, chain.from_iterable(split)), np.int64)
+        begin, size = self._at[numbers], self._at[numbers + 1] - self._at[numbers]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ids = self._ids[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], size)]
+        words = np.cumsum([0, *map(len, split)])
+        return pa.ListArray.from_arrays(pa.array(upto[words].astype(np.int32)), pa.array(ids, pa.int32()))
 
 
 @cache
@@ -150,7 +174,6 @@ def token_ids(documents: DataFrame, folder: str = TOKENIZERS, name: str = NAME)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                ids = encode(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), encode.encoded(part.column("text").to_pylist())], ["doc_id", "ids"])
 
     return documents.select("doc_id", "text").mapInArrow(encoded, "doc_id bigint, ids array<int>")

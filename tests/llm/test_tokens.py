@@ -1,6 +1,7 @@
 """Encoding against the tokenizer's own libraries; packing within its rules."""
 
 import os
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -91,3 +92,17 @@ def test_sizes_leave_out_nothing_and_empty(spark):
     t = spark.createDataFrame([(1, "s", "hello world"), (2, "s", None), (3, "s", ""), (4, None, " ")], "doc_id bigint, source string, text string")
     assert {r.doc_id: r.size for r in packing.sized(t).collect()} == {1: 2, 4: 1}
     assert packing.pack(packing.sized(t.limit(0)), 10).count() == 0
+
+
+@pytest.mark.parametrize("word", ["a" * 100_000, "-" * 100_001, "aab" * 30_000, "=-" * 50_001, "é" * 20_001, " " * 50_000 + "x"], ids=lambda w: w[:4])
+def test_long_runs_take_few_steps(word, library):
+    """A run of equal pairs is halved in one step; one step a pair would take minutes."""
+    began = time.perf_counter()
+    assert bpe.encoder(bpe.TOKENIZERS, bpe.NAME)([word])[0] == library(word)
+    assert time.perf_counter() - began < 20
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab-= ", min_size=1, max_size=80))
+def test_runs_equal_the_library(text):
+    assert bpe.encoder(bpe.TOKENIZERS, bpe.NAME)([text])[0] == packing._counter(bpe.TOKENIZERS, bpe.NAME).encode_ordinary(text)
