@@ -1,6 +1,6 @@
 """Content of a record's fields as sets of 64-bit element hashes.
 
-* ``step``: the distinct DATA statements that hold a decimal number (see ``steplex.ContentHasher``).
+* ``step``: the distinct DATA statements that hold a decimal number (see ``ContentHasher``).
 * ``caption``: the multiset of lower-case words without punctuation at their ends; the k-th
   occurrence of a word is its own element, so that set overlap is multiset overlap.
 
@@ -11,6 +11,7 @@ without such statements have no content and no row here. Values with equal conte
 
 from __future__ import annotations
 
+import re
 import string
 from collections import Counter
 from collections.abc import Iterator
@@ -20,12 +21,77 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from brepflow.functions.steplex import ContentHasher
+from brepflow.functions.steplex import compact
+from brepflow.llm.superminhash import mix64
 
 MIN_WORDS = 8
 SCHEMA = "field string, row_id bigint, cid bigint, n int, elems array<bigint>, b0 bigint, b1 bigint, b2 bigint, b3 bigint"
 PARITY = ("b0", "b1", "b2", "b3")
 _SEED = {"step": 1, "caption": 2}
+_REF = re.compile(r"#\d+")
+_NUMBER = re.compile(r"[+-]?(?:\d+\.\d*|\.\d+)(?:E[+-]?\d+)?")
+_WITH_POINT = re.compile(r"[^;]*(?:\d\.|\.\d)[^;]*(?=;)")
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+class ContentHasher:
+    """Content of STEP texts as sets of 64-bit statement hashes.
+
+    Content is the set of distinct DATA statements that hold a decimal number outside
+    literals, without instance numbers and references, literal contents, comments, white
+    space and case, decimals taken by value to six places.
+    """
+
+    def __init__(self) -> None:
+        self._skeletons: dict[str, int] = {}
+
+    def _skeleton(self, s: str) -> int:
+        h = self._skeletons.get(s)
+        if h is None:
+            if len(self._skeletons) > 200_000:  # a memo only: clearing it changes no result
+                self._skeletons.clear()
+            h = self._skeletons[s] = xxhash.xxh3_64_intdigest(s)
+        return h
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        rows: list[int] = []
+        numbers: list[str] = []
+        skeletons: list[int] = []
+        counts: list[int] = []
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            found = _WITH_POINT.findall(_REF.sub("", compact(text).upper()))
+            if not found:
+                continue
+            joined = ";".join(found)
+            numbers += _NUMBER.findall(joined)
+            parts = _NUMBER.sub("~", joined).split(";")
+            skeletons += map(self._skeleton, parts)
+            counts += [p.count("~") for p in parts]
+            rows.append(i)
+            rows += [i] * (len(parts) - 1)
+        out = [np.empty(0, np.int64)] * len(texts)
+        if not rows:
+            return out
+        n = np.array(counts, np.int64)
+        with np.errstate(all="ignore"):
+            value = np.array(numbers, "S").astype(np.float64) * 1e6
+            near = np.rint(value)
+            big = ~(np.abs(near) < 9e18)
+            whole = np.where(big, 0, near).astype(np.int64).view(np.uint64)
+            whole = np.where(big, value.view(np.uint64), whole)
+            starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+            place = (np.arange(len(whole)) - np.repeat(starts, n)).astype(np.uint64)
+            part = mix64(whole + (place + np.uint64(1)) * _STEP)
+            total = np.concatenate([[np.uint64(0)], np.cumsum(part, dtype=np.uint64)])
+            ends = np.cumsum(n)
+            h = mix64(np.array(skeletons, np.uint64) ^ mix64(total[ends] - total[ends - n])).view(np.int64)
+        rows_a = np.array(rows)
+        edges = np.flatnonzero(np.diff(rows_a)) + 1
+        for i, part_h in zip(rows_a[np.concatenate([[0], edges])], np.split(h, edges)):
+            out[i] = np.unique(part_h)
+        return out
 
 
 def caption_words(text: str) -> list[str]:

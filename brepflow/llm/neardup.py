@@ -4,8 +4,9 @@ Rows of equal content are one class; only classes are signed, banded and compare
 pairs of classes are expanded to pairs of rows last. Candidates are classes that agree in a
 whole band and whose sizes alone allow the similarity; every candidate is verified on the
 whole contents: common elements / elements of the larger >= ``THRESHOLD``. The bands are a
-self-join on the band key (a hot key is split by the engine like any skewed join key), so no
-bucket is collected, capped or dropped.
+self-join on the band key. A key of more than ``HOT`` classes is split: its classes are dealt out to
+parts of about ``HOT``, and every part meets all of the key's classes in a task of its own. So no
+bucket is collected, capped or dropped, whatever share of the classes it holds.
 
 A pair at the threshold has a Jaccard similarity of at least 2/3 (equal sizes); the bands of
 ``BANDS`` find such a pair with a probability of 0.994 (caption) or 0.999 (step), and one of a
@@ -30,6 +31,10 @@ from brepflow.llm.superminhash import band_keys, signatures
 from brepflow.session import stage
 
 THRESHOLD = 0.8
+#: Classes of a band key that one task joins with the key's classes.
+HOT = 2_000
+#: Edges that union-find unites at a time; the stars of one portion and the next are joined across partitions anyway.
+PORTION = 500_000
 #: Bands and rows of a band, by field.
 BANDS = {"step": (75, 6), "caption": (128, 8)}
 
@@ -56,11 +61,19 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(distinct: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b), a < b, of classes that share a band and whose sizes allow the similarity."""
-    bands = distinct.select("field", "cid", "n", "elems").mapInArrow(_banded, "key bigint, cid bigint, n int")
-    left = bands.selectExpr("key", "cid as a", "n as n_a")
-    right = bands.selectExpr("key", "cid as b", "n as n_b")
+    bands = distinct.select("field", "cid", "n", "elems").mapInArrow(_banded, "key bigint, cid bigint, n int").repartition("key")
+    hot = bands.groupBy("key").agg(F.count("*").alias("held")).filter(F.col("held") > HOT).select("key", F.ceil(F.col("held") / HOT).alias("parts"))
     fits = F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - 1e-9
-    return left.join(right, "key").filter((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    cold = bands.join(hot, "key", "left_anti")
+    split = bands.join(hot, "key")
+    dealt = split.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts"))).repartition("key", "part")
+    met = split.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).repartition("key", "part")
+    out = None
+    for left, right, by in ((cold, cold, ["key"]), (dealt, met, ["key", "part"])):
+        pairs = left.select(*by, F.col("cid").alias("a"), F.col("n").alias("n_a")).join(right.select(*by, F.col("cid").alias("b"), F.col("n").alias("n_b")), by)
+        pairs = pairs.filter((F.col("a") < F.col("b")) & fits).select("a", "b")
+        out = pairs if out is None else out.unionByName(pairs)
+    return out.distinct()
 
 
 def _side(distinct: DataFrame, name: str, *columns: str) -> DataFrame:
@@ -104,7 +117,7 @@ def row_pairs(contents: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's edges as the edges from each node to the least node of its local component."""
+    """A partition's edges, a portion at a time, as the edges from each node to the least node of its component there."""
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -115,15 +128,24 @@ def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x], x = root, parent[x]
         return root
 
+    def stars() -> Iterator[pa.RecordBatch]:
+        nodes = [x for x in parent if find(x) != x]
+        for i in range(0, len(nodes), 65536):
+            part = nodes[i : i + 65536]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], ["u", "v"])
+        parent.clear()
+
+    united = 0
     for batch in batches:
         for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
             u, v = find(u), find(v)
             if u != v:
                 parent[max(u, v)] = min(u, v)
-    nodes = [x for x in parent if find(x) != x]
-    for i in range(0, len(nodes), 65536):
-        part = nodes[i : i + 65536]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], ["u", "v"])
+        united += batch.num_rows
+        if united >= PORTION:
+            yield from stars()
+            united = 0
+    yield from stars()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -7,40 +7,40 @@ by a counter-based hash) and offers slot ``p[j]`` the value ``j + r`` with r uni
 against independent minima. Offers of rank j are at least j, so the work ends at the first
 rank at which no slot is open: about m ln(m) / n ranks for n elements.
 
-All elements of many sets advance together, one rank at a time, in numpy.
+All elements of many sets advance together, one rank at a time, in numpy. A set of more than
+``CHUNK`` elements goes through in slices against its running minima (a least offer is the
+least of the slices' least offers), so memory does not grow with a set; later slices end at
+the first ranks, as no slot is open there.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from brepflow.functions.steplex import mix64
-
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
 _SHIFT = np.uint64(32)
 CHUNK = 8192
 
 
-def _chunk(elements: np.ndarray, owner: np.ndarray, sets: int, m: int) -> np.ndarray:
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser (splitmix), elementwise."""
+    x = (x ^ (x >> np.uint64(30))) * _MIX1
+    x = (x ^ (x >> np.uint64(27))) * _MIX2
+    return x ^ (x >> np.uint64(31))
+
+
+def _lower(h: np.ndarray, elements: np.ndarray, owner: np.ndarray, m: int) -> None:
+    """The minima h (sets, m), lowered in place by the offers of the elements of their sets."""
     distinct, of = np.unique(elements, return_inverse=True)
-    h = np.full(sets * m, np.inf)
+    flat = h.reshape(-1)
     perm = np.tile(np.arange(m, dtype=np.int32), (len(distinct), 1))
     lane = np.arange(len(distinct))
     base = owner * m
     with np.errstate(over="ignore"):
         for j in range(m):
-            z = mix64(distinct + np.uint64(j + 1) * _STEP)
-            k = j + (((z & _LOW) * np.uint64(m - j)) >> _SHIFT).astype(np.int64)
-            slot = perm[lane, k]
-            perm[lane, k] = perm[:, j]
-            at = base + slot[of]
-            open_ = np.flatnonzero(h[at] >= j)
-            if len(open_):
-                offer = (z >> _SHIFT).astype(np.float64) * 2.0**-32 + j
-                np.minimum.at(h, at[open_], offer[of[open_]])
-            if j % 8 == 7:
-                unfinished = np.isinf(h.reshape(sets, m)).any(axis=1)
+            if j % 8 == 0:
+                unfinished = (h >= j).any(axis=1)
                 if not unfinished.any():
                     break
                 keep = unfinished[owner]
@@ -49,13 +49,21 @@ def _chunk(elements: np.ndarray, owner: np.ndarray, sets: int, m: int) -> np.nda
                     used, of = np.unique(of, return_inverse=True)
                     distinct, perm, base = distinct[used], perm[used], owner * m
                     lane = np.arange(len(distinct))
-    return h.reshape(sets, m)
+            z = mix64(distinct + np.uint64(j + 1) * _STEP)
+            k = j + (((z & _LOW) * np.uint64(m - j)) >> _SHIFT).astype(np.int64)
+            slot = perm[lane, k]
+            perm[lane, k] = perm[:, j]
+            at = base + slot[of]
+            open_ = np.flatnonzero(flat[at] >= j)
+            if len(open_):
+                offer = (z >> _SHIFT).astype(np.float64) * 2.0**-32 + j
+                np.minimum.at(flat, at[open_], offer[of[open_]])
 
 
 def signatures(sets: list[np.ndarray], m: int) -> np.ndarray:
     """The m-slot signature of each (non-empty) set of 64-bit hashes."""
-    out = np.empty((len(sets), m))
-    sizes = np.array([len(s) for s in sets])
+    out = np.full((len(sets), m), np.inf)
+    sizes = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(sizes, kind="stable")
     i = 0
     while i < len(order):
@@ -64,8 +72,15 @@ def signatures(sets: list[np.ndarray], m: int) -> np.ndarray:
             total += sizes[order[j]]
             j += 1
         part = order[i:j]
-        elements = np.concatenate([sets[x] for x in part]).astype(np.int64).view(np.uint64)
-        out[part] = _chunk(elements, np.repeat(np.arange(len(part)), sizes[part]), len(part), m)
+        h = np.full((len(part), m), np.inf)
+        if len(part) > 1 or total <= CHUNK:
+            _lower(h, np.concatenate([sets[x] for x in part]).astype(np.int64).view(np.uint64), np.repeat(np.arange(len(part)), sizes[part]), m)
+        else:
+            whole = np.asarray(sets[part[0]], np.int64).view(np.uint64)
+            for first in range(0, total, CHUNK):
+                some = whole[first : first + CHUNK]
+                _lower(h, some, np.zeros(len(some), np.int64), m)
+        out[part] = h
         i = j
     return out
 

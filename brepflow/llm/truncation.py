@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brepflow.functions.steplex import mix64
+from brepflow.llm.superminhash import mix64
 from brepflow.session import stage
 
 #: Context lengths in characters, digits of a number counting as one.
