@@ -51,7 +51,6 @@ def contained_classes(contents: DataFrame, threshold: float = THRESHOLD) -> Data
     distinct = stage(has, "split-classes")
     training = distinct.filter("trains").select(F.col("cid").alias("b"), F.explode("elems").alias("e"))
     asked = distinct.filter("evaluates").select(F.col("cid").alias("a"), "n", F.explode("elems").alias("e"))
-    training = training.join(asked.select("e").distinct(), "e", "left_semi")  # a hash that no evaluation record has is never looked up
     counts = training.groupBy("e").agg(F.count("*").alias("df"))
     ranked = asked.join(counts, "e", "left").withColumns({
         "rank": F.row_number().over(Window.partitionBy("a").orderBy(F.coalesce("df", F.lit(0)), "e")),
