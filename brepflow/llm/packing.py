@@ -1,8 +1,9 @@
 """Filling containers of a fixed capacity: conflict-constrained best-fit decreasing.
 
-Items are spread over packing groups of about ``GROUP_ITEMS`` by a hash of their id, so a group
-is a task of bounded size whatever source or set of copies dominates; only ids and sizes are
-shuffled. Within a group items go in order of falling size, copies of very frequent texts first. Open containers are ordered by
+Items are spread over packing groups of about ``GROUP_ITEMS`` by a hash of their id and place in the table, so a group
+is a task of bounded size whatever source, set of copies or repeated row dominates; only ids and sizes are
+shuffled. Within a group the items of clusters with more copies go first (at the end their copies would
+each need a container of its own beside those that are full), then by falling size. Open containers are ordered by
 their residual, kept as a bitmap of the residuals in use; the search takes the least residual
 that holds the item and goes on, container by container and residual by residual, until the
 tightest *compatible* one is found. A container carries a bitmap of the duplicate clusters
@@ -123,14 +124,10 @@ def best_fit(sizes: np.ndarray, clusters: np.ndarray, sources: np.ndarray, capac
     return out
 
 
-def _late(sizes: np.ndarray, clusters: np.ndarray, capacity: int) -> np.ndarray:
-    """0 for items of a cluster that needs a hundredth or more of the group's containers, 1 for all others.
-
-    Such copies go first, while containers are being opened: at the end they would each need a
-    container of their own beside those that are full.
-    """
-    _, of, copies = np.unique(clusters, return_inverse=True, return_counts=True)
-    return ((copies == 1) | (copies * 100 < math.ceil(int(sizes.sum()) / capacity)))[of].astype(np.int8)
+def _copies(clusters: np.ndarray) -> np.ndarray:
+    """The number of copies of each item's cluster."""
+    _, of, n = np.unique(clusters, return_inverse=True, return_counts=True)
+    return n[of]
 
 
 def _source_bits(names: list[str | None], apart: tuple[tuple[str, str], ...]) -> tuple[dict, dict[int, int]]:
@@ -161,7 +158,7 @@ def pack(items: DataFrame, capacity: int, apart: tuple[tuple[str, str], ...] = (
         number, avoid = _source_bits([None if x is None or x != x else x for x in d["source"]], apart)
         source = np.array([number[None if x is None or x != x else x] for x in d["source"]], np.int64)[at]
         ids = d["doc_id"].fillna(np.iinfo(np.int64).min).to_numpy(np.int64)[at]
-        order = np.lexsort((cluster, piece, ids, -n, _late(n, cluster, capacity)))
+        order = np.lexsort((cluster, piece, ids, -n, -_copies(cluster)))
         place = best_fit(n[order], cluster[order], source[order], capacity, avoid)
         group = int(d["g"].iloc[0])
         return pa.table({
@@ -172,7 +169,8 @@ def pack(items: DataFrame, capacity: int, apart: tuple[tuple[str, str], ...] = (
             "n_tokens": pa.array(n[order], pa.int32()),
         })
 
-    salted = F.pmod(F.xxhash64("doc_id", "cluster", "size"), F.lit(groups)).alias("g")
+    # the place in the written table tells rows apart that are equal in all columns, so none of them gather in one group
+    salted = F.pmod(F.xxhash64("doc_id", "cluster", "size", F.monotonically_increasing_id()), F.lit(groups)).alias("g")
     return kept.select("*", salted).groupBy("g").applyInArrow(packed, schema)
 
 
@@ -183,3 +181,17 @@ def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
         F.count("*").alias("n_containers"), F.sum("items").alias("n_items"), F.sum("n").alias("n_tokens"),
         F.round(F.sum("n") / (F.count("*") * F.lit(capacity)), 6).alias("fill"), F.max("n").alias("largest"),
     )
+
+
+def rules_report(packed: DataFrame, documents: DataFrame, capacity: int, apart: tuple[tuple[str, str], ...]) -> DataFrame:
+    """One row: documents placed, containers above the capacity, documents split below it, containers that hold sources to be kept apart."""
+    by_document = packed.groupBy("doc_id").agg(F.count("*").alias("parts"), F.sum("n_tokens").alias("n"))
+    documents_ = by_document.agg(F.count("*").alias("n_documents"), F.count_if((F.col("parts") > 1) & (F.col("n") <= capacity)).alias("n_split_needlessly"))
+    sourced = packed.join(documents.select("doc_id", "source").distinct(), "doc_id", "left")
+    together = F.lit(False)
+    for a, b in apart:
+        together |= F.coalesce(F.bool_or(F.col("source") == a), F.lit(False)) & F.coalesce(F.bool_or(F.col("source") == b), F.lit(False))
+    by_container = sourced.groupBy("container_id").agg(F.sum("n_tokens").alias("n"), together.alias("together"))
+    containers = by_container.agg(F.count_if(F.col("n") > capacity).alias("n_above_capacity"), F.count_if("together").alias("n_apart_together"))
+    names = ("n_documents", "n_split_needlessly", "n_above_capacity", "n_apart_together")
+    return documents_.unionByName(containers, allowMissingColumns=True).agg(*(F.max(x).alias(x) for x in names))

@@ -9,6 +9,10 @@ from brepflow.llm import bpe, content, neardup, overlap, packing, splitting, tru
 from brepflow.session import spread, table
 
 
+#: Sources that p6 keeps in different containers: statements of STEP files and lines of logs, each long runs of machine-written lines.
+APART = (("step_excerpts", "training_log"),)
+
+
 def _train(spark: SparkSession, folder: str) -> DataFrame:
     return spread(table(spark, folder, "train_with_rag").select("row_id", "uid", "source", "step", "caption"), "row_id")
 
@@ -72,7 +76,7 @@ def p5_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
     capacity, _ = _specs(spark, folder)["documents.text"]
-    return packing.pack(packing.sized(_documents(spark, folder)), capacity), capacity
+    return packing.pack(packing.sized(_documents(spark, folder)), capacity, APART), capacity
 
 
 def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,6 +89,12 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(*_packed(spark, folder))
 
 
+def p6_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents placed, and how often a rule of packing is broken."""
+    packed, capacity = _packed(spark, folder)
+    return packing.rules_report(packed, table(spark, folder, "documents"), capacity, APART)
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents whose text was cut off."""
     return truncation.cut_off(_documents(spark, folder)).filter("cut").select("doc_id").distinct()
@@ -142,7 +152,7 @@ _SPLIT = r""", split as (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_counts, p4_found, p4_pieces, p5_ids, p6_containers, p6_fill, p7_found, p7_shares)}
+    return {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_counts, p4_found, p4_pieces, p5_ids, p6_containers, p6_fill, p6_rules, p7_found, p7_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -151,6 +161,7 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": _CONTENT + _SPLIT + "select distinct field, ra as row_id_a, rb as row_id_b from hit",
         "p4_found": """select t.row_id, s.field from train_with_rag t, (values ('step'), ('retrieved_step')) s(field)
           join size_specs z on z.target = 'train_with_rag.' || s.field where length(if(s.field = 'step', step, retrieved_step)) > max_size""",
+        "p6_rules": "select count(*) as n_documents, 0::bigint as n_split_needlessly, 0::bigint as n_above_capacity, 0::bigint as n_apart_together from documents where text <> ''",
         "p3_counts": _CONTENT + _SPLIT + """, held as (
           select field, split, source, count(distinct row_id) as n_rows from member, (values ('step'), ('caption')) f(field)
           where split <> 'train' group by all
