@@ -14,20 +14,13 @@ Defined cases
 from __future__ import annotations
 
 import re
-
-import numpy as np
-import xxhash
+from itertools import repeat
 
 #: A literal (with doubled quotes) or a comment; the group keeps one quote of a literal.
 LITERAL_OR_COMMENT = re.compile(r"(')[^']*(?:''[^']*)*(?:'|\Z)|/\*.*?(?:\*/|\Z)", re.S)
 _COMMENT_ONLY = re.compile(r"('[^']*(?:''[^']*)*(?:'|\Z))|/\*.*?(?:\*/|\Z)", re.S)
 _SECTION = re.compile(r"(?:\A|(?<=[;\s]))DATA\s*(?:\([^;]*\)\s*)?;(.*?)(?:(?<=[;\s])ENDSEC\s*;|\Z)", re.S | re.I)
-_REF = re.compile(r"#\d+")
-_NUMBER = re.compile(r"[+-]?(?:\d+\.\d*|\.\d+)(?:E[+-]?\d+)?")
-_WITH_POINT = re.compile(r"[^;]*(?:\d\.|\.\d)[^;]*(?=;)")
-_DEFINED = re.compile(r"(?:\A|(?<=;))#(\d+)=(?=[^;]*;)")
-_STATEMENT = re.compile(r"(?:\A|(?<=;))#(\d+)=([^;]*);")
-_ANY_REF = re.compile(r"#(\d+)(?!\d*=)")
+_START_REF_OR_STOP = re.compile(r"(?:\A|(?<=;))#(\d+)=|#(\d+)(?!\d*=)|;")
 _FILE_STATEMENT = re.compile(
     r"(?:\A|(?<=;))\s*#\s*(\d+)\s*=\s*DOCUMENT_FILE\s*\(\s*'([^']*(?:''[^']*)*)'", re.I
 )
@@ -44,24 +37,30 @@ def compact(text: str) -> str:
     return "".join(data_body(LITERAL_OR_COMMENT.sub(r"\1", text)).split())
 
 
-def unresolved(text: str) -> list[tuple[int, int]]:
-    """(statement, missing instance) for each reference that no statement of the text defines."""
-    body = compact(text)
-    defined = {int(x) for x in _DEFINED.findall(body)}
-    missing = {int(x) for x in _ANY_REF.findall(body)} - defined
-    if not missing:
-        return []
-    out = set()
-    for eid, rest in _STATEMENT.findall(body):
-        for x in _ANY_REF.findall(rest):
-            if (m := int(x)) in missing:
-                out.add((int(eid), m))
-    return sorted(out)
+def references(text: str) -> tuple[list[int], list[int], list[int]]:
+    """The distinct (statement, instance referred to) pairs of a text as two lists, and the instances its statements define."""
+    pairs: list[tuple[str, str]] = []
+    defined: list[str] = []
+    eid, held = "", []
+    for start, ref in _START_REF_OR_STOP.findall(compact(text)):
+        if ref:
+            held.append(ref)
+        elif start:
+            eid = start
+        else:  # the statement ends
+            if eid:
+                defined.append(eid)
+                pairs += zip(repeat(eid), held)
+            eid, held = "", []
+    distinct = {(int(n), int(m)) for n, m in set(pairs)}
+    return [n for n, _ in distinct], [m for _, m in distinct], list(map(int, defined))
 
 
-def count_references(text: str) -> int:
-    """Distinct (statement, instance) references of the text's DATA statements."""
-    return sum(len(set(map(int, _ANY_REF.findall(rest)))) for _, rest in _STATEMENT.findall(compact(text)))
+def unresolved(text: str) -> list[tuple[int, int]]:
+    """(statement, missing instance) for each reference that no statement of the text defines."""
+    sources, targets, defined = references(text)
+    missing = set(targets).difference(defined)
+    return sorted((n, m) for n, m in zip(sources, targets) if m in missing)
 
 
 def _literal_placeholders(text: str) -> tuple[str, list[str]]:
@@ -87,73 +86,3 @@ def file_references(text: str) -> list[tuple[int, str]]:
             name = kept[int(m.group(2))]
             out.append((int(m.group(1)), name[1:-1].replace("''", "'") if name.endswith("'") else name[1:]))
     return out
-
-
-_MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-
-
-def mix64(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (splitmix), elementwise."""
-    x = (x ^ (x >> np.uint64(30))) * _MIX1
-    x = (x ^ (x >> np.uint64(27))) * _MIX2
-    return x ^ (x >> np.uint64(31))
-
-
-class ContentHasher:
-    """Content of STEP texts as sets of 64-bit statement hashes.
-
-    Content is the set of distinct DATA statements that hold a decimal number outside
-    literals, without instance numbers and references, literal contents, comments, white
-    space and case, decimals taken by value to six places.
-    """
-
-    def __init__(self) -> None:
-        self._skeletons: dict[str, int] = {}
-
-    def _skeleton(self, s: str) -> int:
-        h = self._skeletons.get(s)
-        if h is None:
-            if len(self._skeletons) > 200_000:  # a memo only: clearing it changes no result
-                self._skeletons.clear()
-            h = self._skeletons[s] = xxhash.xxh3_64_intdigest(s)
-        return h
-
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        rows: list[int] = []
-        numbers: list[str] = []
-        skeletons: list[int] = []
-        counts: list[int] = []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            found = _WITH_POINT.findall(_REF.sub("", compact(text).upper()))
-            if not found:
-                continue
-            joined = ";".join(found)
-            numbers += _NUMBER.findall(joined)
-            parts = _NUMBER.sub("~", joined).split(";")
-            skeletons += map(self._skeleton, parts)
-            counts += [p.count("~") for p in parts]
-            rows.append(i)
-            rows += [i] * (len(parts) - 1)
-        out = [np.empty(0, np.int64)] * len(texts)
-        if not rows:
-            return out
-        n = np.array(counts, np.int64)
-        with np.errstate(all="ignore"):
-            value = np.array(numbers, "S").astype(np.float64) * 1e6
-            near = np.rint(value)
-            big = ~(np.abs(near) < 9e18)
-            whole = np.where(big, 0, near).astype(np.int64).view(np.uint64)
-            whole = np.where(big, value.view(np.uint64), whole)
-            starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-            place = (np.arange(len(whole)) - np.repeat(starts, n)).astype(np.uint64)
-            part = mix64(whole + (place + np.uint64(1)) * _STEP)
-            total = np.concatenate([[np.uint64(0)], np.cumsum(part, dtype=np.uint64)])
-            ends = np.cumsum(n)
-            h = mix64(np.array(skeletons, np.uint64) ^ mix64(total[ends] - total[ends - n])).view(np.int64)
-        rows_a = np.array(rows)
-        edges = np.flatnonzero(np.diff(rows_a)) + 1
-        for i, part_h in zip(rows_a[np.concatenate([[0], edges])], np.split(h, edges)):
-            out[i] = np.unique(part_h)
-        return out

@@ -11,6 +11,8 @@ from brepflow.functions import text as T
 from brepflow.session import stage
 
 MAX_ENTITIES = 500
+#: A train split of fewer rows is refused.
+LEAST_TRAIN_ROWS = 100
 #: Order in which splits win where a uid is listed in several; fixed values.
 PRIORITY = {"train": 1, "val": 2, "test": 3}
 

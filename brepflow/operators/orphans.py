@@ -1,15 +1,19 @@
 """References to records that do not exist.
 
-``orphan_keys`` is the general operator: distinct non-null foreign keys, a distributed left
-anti-join against the parent keys.  Two kinds of references of a STEP corpus use it:
+``orphan_keys`` is the operator: distinct non-null foreign keys, anti-joined against the
+parent keys. Where parents are another table it is a distributed left anti-join. Where every
+record brings its own parents (``within``), child and parent keys are co-located by construction, and the
+anti-join is one of key sets in the row, hashed like any other, without an exchange. Both kinds of
+references of a STEP corpus go through it:
 
 * an instance reference ``#m`` of a statement, whose parents are the statements of the same
-  text.  Child and parent keys come from the same row, so they are co-located by construction
-  and the anti-join of that row's key sets needs no exchange; only orphans leave the scan;
+  text: the co-located form;
 * a file reference of a DOCUMENT_FILE statement, whose parents are the files recorded as
-  present at the row's time of ingestion.  Parents are (uid, instant) keys found by a
-  two-level running sum over presence intervals, which never puts the rows of one uid into
-  one task: days are summed first, and only the rows of one uid and day are ordered together.
+  present at the row's time of ingestion: the distributed form. Parents are (uid, instant) keys found by a
+  running sum over presence intervals in two levels (the minutes of a uid, of which a year has half a million,
+  then the instants of a uid and minute), so no task ever orders all rows of a hot uid.
+
+Orphan keys are joined back to the references that hold them, for rows and for counts per table and period.
 
 Defined cases: null and empty texts hold no references; a null ``ingested_at`` is covered by
 no interval, so every file reference of such a row is an orphan, of the null period; intervals
@@ -37,49 +41,57 @@ def same_uid(uid: Column) -> Column:
     return F.replace(F.trim(uid), F.lit("_"), F.lit("/"))
 
 
-def orphan_keys(children: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct non-null foreign keys of ``children`` without a row in ``parents``."""
+def orphan_keys(children: DataFrame, parents: DataFrame | str, key: str | list[str]) -> DataFrame:
+    """Distinct non-null foreign keys of ``children`` without a parent.
+
+    With ``parents`` a table: rows of the ``key`` columns, by a left anti-join. With ``parents`` the name of an
+    array column of ``children``, in which each record brings its own parent keys: ``children`` with the
+    keys of its array column ``key`` that are not among them.
+    """
+    if isinstance(parents, str):
+        return children.withColumn(key, F.array_compact(F.array_except(key, parents)))
+    keys = [key] if isinstance(key, str) else key
     wanted = children.select(*keys).dropna(subset=keys).distinct()
     return wanted.join(parents.select(*keys), keys, "left_anti")
 
 
 def _references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    longs = lambda lists: pa.array(lists, pa.list_(pa.int64()))
     for batch in batches:
-        at: list[int] = []
-        table: list[str] = []
-        eid: list[int] = []
-        target: list[str] = []
-        for i, text in enumerate(batch.column("step")):
-            text = text.as_py()
-            if not text:
-                continue
-            found = [(INSTANCE, n, f"#{m}") for n, m in steplex.unresolved(text)]
-            found += [(FILE, n, name) for n, name in steplex.file_references(text)]
-            for t, n, x in found:
-                at.append(i)
-                table.append(t)
-                eid.append(n)
-                target.append(x)
-        rows = pa.array(at, pa.int64())
+        found = [steplex.references(t) if t else ([], [], []) for t in batch.column("step").to_pylist()]
+        files = [steplex.file_references(t) if t else [] for t in batch.column("step").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row_id").take(rows), batch.column("ingested_at").take(rows), pa.array(table, pa.string()), pa.array(eid, pa.int64()), pa.array(target, pa.string())],
-            ["row_id", "ingested_at", "referred_table", "src_eid", "target"],
-        )
+            [
+                batch.column("row_id"), batch.column("ingested_at"), *(longs([f[k] for f in found]) for k in range(3)),
+                longs([[n for n, _ in f] for f in files]), pa.array([[name for _, name in f] for f in files], pa.list_(pa.string())),
+            ],
+            ["row_id", "ingested_at", "sources", "targets", "defined", "file_sources", "names"],
+        )
 
 
 def references_to_resolve(train: DataFrame) -> DataFrame:
-    """One scan of the texts: instance references that the own text leaves open, and all file references."""
+    """One scan of the texts: instance references that their own text leaves open, and all file references.
+
+    (row_id, ingested_at, referred_table, src_eid, target); what is resolved within the text does not leave the scan.
+    """
     fields = train.select("row_id", "ingested_at", "step").filter("step is not null and step <> ''")
     kind = dict(fields.dtypes)["ingested_at"]
-    out = fields.mapInArrow(_references, f"row_id bigint, ingested_at {kind}, referred_table string, src_eid bigint, target string")
-    is_file = F.col("referred_table") == FILE
-    return out.withColumn("target", F.when(is_file, same_uid(F.col("target"))).otherwise(F.col("target"))).filter(~is_file | F.col("target").rlike(UID_SHAPE))
+    schema = f"row_id bigint, ingested_at {kind}, sources array<bigint>, targets array<bigint>, defined array<bigint>, file_sources array<bigint>, names array<string>"
+    found = orphan_keys(fields.mapInArrow(_references, schema).withColumn("lost", F.col("targets")), "defined", "lost")
+    holding = F.filter(F.arrays_zip("sources", "targets"), lambda r: F.array_contains("lost", r["targets"]))  # joined back
+    inner = F.transform(holding, lambda r: F.struct(F.lit(INSTANCE).alias("referred_table"), r["sources"].alias("src_eid"), F.concat(F.lit("#"), r["targets"]).alias("target")))
+    outer = F.transform(F.arrays_zip("file_sources", "names"), lambda r: F.struct(F.lit(FILE).alias("referred_table"), r["file_sources"].alias("src_eid"), same_uid(r["names"]).alias("target")))
+    none = F.array().cast("array<struct<referred_table:string,src_eid:bigint,target:string>>")
+    every = F.concat(F.when(F.size("lost") > 0, inner).otherwise(none), outer)
+    rows = found.filter("size(lost) > 0 or size(names) > 0").select("row_id", "ingested_at", F.explode_outer(every).alias("r")).select("row_id", "ingested_at", "r.*").filter("target is not null")
+    return rows.filter((F.col("referred_table") != FILE) | F.col("target").rlike(UID_SHAPE))
 
 
 def present_keys(keys: DataFrame, intervals: DataFrame) -> DataFrame:
     """The (uid, at) rows of ``keys`` at which some [start, end) row of ``intervals`` holds that uid.
 
-    Starts count +1 and ends -1; a key is present where the running sum is above zero.
+    Starts count +1 and ends -1; a key is present where the running sum is above zero. The sum is that of the minutes
+    before and of the minute's instants so far.
     """
     held = intervals.filter("uid is not null and start is not null and (end is null or end > start)").distinct()
     changes = held.select("uid", F.col("start").alias("at"), F.lit(1).alias("d")).unionByName(
@@ -87,13 +99,14 @@ def present_keys(keys: DataFrame, intervals: DataFrame) -> DataFrame:
     )
     points = changes.groupBy("uid", "at").agg(F.sum("d").alias("d"), F.lit(False).alias("asked")).unionByName(
         keys.select("uid", "at").dropna().distinct().select("uid", "at", F.lit(0).cast("bigint").alias("d"), F.lit(True).alias("asked"))
-    ).withColumn("day", F.date_trunc("day", "at"))
-    days = points.groupBy("uid", "day").agg(F.sum("d").alias("of_day"))
-    before = Window.partitionBy("uid").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select("uid", "day", F.coalesce(F.sum("of_day").over(before), F.lit(0)).alias("opening"))
-    until = Window.partitionBy("uid", "day").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    points = points.withColumn("minute", F.date_trunc("minute", "at"))
+    minutes = points.groupBy("uid", "minute").agg(F.sum("d").alias("of_minute"))
+    before = Window.partitionBy("uid").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
+    minutes = minutes.select("uid", "minute", F.coalesce(F.sum("of_minute").over(before), F.lit(0)).alias("opening"))
+    until = Window.partitionBy("uid", "minute").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     running = points.withColumn("so_far", F.sum("d").over(until)).filter("asked")
-    return running.join(days, ["uid", "day"]).filter("opening + so_far > 0").select("uid", "at")
+    return running.join(minutes, ["uid", "minute"]).filter("opening + so_far > 0").select("uid", "at")
 
 
 def orphan_references(train: DataFrame, file_validation: DataFrame) -> DataFrame:

@@ -11,10 +11,10 @@ from brepflow.operators import metrics as M
 from brepflow.operators import retrieval as V
 from brepflow.operators import tokens as K
 from brepflow.operators import windows as W
-from brepflow.plans.corpora import _EPOCHS, _EVERY_EPOCH, N_ENTITIES, epochs, scratch
+from brepflow.plans.corpora import _EPOCHS, _EVERY_EPOCH, N_ENTITIES, epochs
 from brepflow.plans.registry import Catalog
 from brepflow.plans.texts import train, trimmed
-from brepflow.session import table
+from brepflow.session import scratch, table
 from brepflow.streaming.alarms import streak_alarms
 
 C = Catalog()

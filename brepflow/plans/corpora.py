@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ from brepflow.plans.graphs import ENTITY, entities
 from brepflow.operators import graph as G
 from brepflow.plans.registry import Catalog, quoted
 from brepflow.plans.texts import train, trimmed
-from brepflow.session import shared_folder, stage, table
+from brepflow.session import scratch, table
 from brepflow.sources import files as S
 
 C = Catalog()
@@ -33,28 +32,103 @@ def known_files(spark, folder) -> DataFrame:
     return train(spark, folder).select(T.normal_uid(F.col("uid")).alias("uid")).filter("uid is not null").distinct()
 
 
-def scratch(spark, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 # ---- sources and sinks
 
 
-@C.add(r"select path, split_part(path, '/', -2) || '/' || regexp_replace(split_part(path, '/', -1), '\.[^.]*$', '') as uid, count(*) as n from file_validation where path is not null group by all")
+@C.add(
+    r"""select path, concat_ws('/', nullif(split_part(path, '/', -4), ''), regexp_replace(split_part(path, '/', -1), '\.[^.]*$', '')) as uid, count(*) as n
+    from (select 'run/' || split_part(replace(uid, '_', '/'), '/', 1) || '/vec/' || path as path from file_validation where path is not null and uid is not null) group by all"""
+)
 def s03_path_uid(spark, folder):
-    t = table(spark, folder, "file_validation").filter("path is not null")
+    """The recorded files as they would lie below their roots."""
+    root = F.split_part(T.normal_uid(F.col("uid")), F.lit("/"), F.lit(1))
+    t = table(spark, folder, "file_validation").filter("path is not null and uid is not null").select(F.concat(F.lit("run/"), root, F.lit("/vec/"), "path").alias("path"))
     return t.groupBy("path", S.path_uid(F.col("path")).alias("uid")).agg(F.count("*").alias("n"))
 
 
-@C.add()
+def _as_files(spark, folder) -> DataFrame:
+    name = T.file_name(F.concat_ws("/", "uid", "row_id"))
+    return train(spark, folder).filter("step is not null").select(F.concat("row_id", F.lit("/"), name).alias("rel_path"), F.col("step").alias("text"))
+
+
+_FILE = "row_id || '/' || replace(concat_ws('/', uid, row_id), '/', '_') || '.step'"
+
+
+@C.add(f"select {_FILE} as rel_path, md5(step) as text from train_with_rag where step is not null")
 def s01_step_files(spark, folder):
-    """Texts written as files and scanned again."""
+    """Texts written as files and scanned again, empty ones included."""
     to = scratch(spark, "steps")
-    texts = train(spark, folder).filter("step is not null").select(F.concat("row_id", F.lit("/"), T.file_name(F.concat_ws("/", "uid", "row_id"))).alias("rel_path"), F.col("step").alias("text"))
-    S.write_steps(texts, to)
+    S.write_steps(_as_files(spark, folder), to)
     return S.read_steps(spark, to, recursive=True).select("rel_path", F.md5("text").alias("text"))
 
 
+@C.add(f"select {_FILE} as rel_path, md5(step) as text, row_id % 2 = 0 as kept from train_with_rag where step is not null")
+def s02_relative_layout(spark, folder):
+    """A tree of files copied with its layout; files that are there already (S12: of even row_id, written before) are left as they are."""
+    source, to = scratch(spark, "tree"), scratch(spark, "copy")
+    files = _as_files(spark, folder)
+    S.write_steps(files, source)
+    even = F.element_at(F.split("rel_path", "/"), 1).cast("bigint") % 2 == 0
+    S.write_steps(files.filter(even).withColumn("text", F.concat(F.lit("kept "), "text")), to)
+    S.write_steps(S.read_steps(spark, source, recursive=True), to, skip_existing=True)
+    back = S.read_steps(spark, to, recursive=True)
+    kept = back["text"].startswith("kept ")
+    return back.select("rel_path", F.md5(F.when(kept, F.substring("text", 6, 2**31 - 1)).otherwise(F.col("text"))).alias("text"), kept.alias("kept"))
+
+
+@C.add("select case when row_id % 3 = 0 then 'skip' when step is null or step = '' then 'fail' else 'ok' end as status, count(*) as n from train_with_rag group by 1")
+def s04_export_tally(spark, folder):
+    """Items exported by an exporter that refuses empty ones; every third was done before. The items are the texts' bytes."""
+
+    def exporter(content: bytes) -> str:
+        if not content:
+            raise ValueError("empty")
+        return content.decode()
+
+    items = train(spark, folder).select(F.col("row_id").cast("string").alias("uid"), F.coalesce(F.col("step"), F.lit("")).cast("binary").alias("content"))
+    done = items.filter(F.col("uid").cast("bigint") % 3 == 0).select("uid")
+    return S.export(items, exporter, done).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@C.add("select row_id, uid, caption, entity_count from train_with_rag")
+def s06_json_array(spark, folder):
+    """Records written as one JSON array and read by the reader that tells arrays from lines."""
+    to = scratch(spark, "array")
+    S.write_json_array(train(spark, folder).select("row_id", "uid", "caption", "entity_count"), to, "row_id")
+    return S.read_records(spark, to, "row_id bigint, uid string, caption string, entity_count int")
+
+
+@C.add("select count(*) as n, true as refused, 1::bigint as n_forced from rag_index")
+def s10_overwrite_guard(spark, folder):
+    """An index that is there is refused, and replaced where that is forced."""
+    to = scratch(spark, "guarded")
+    index = table(spark, folder, "rag_index")
+    S.save_index(index, to)
+    refused = False
+    try:
+        S.save_index(index, to)
+    except AnalysisException:
+        refused = True
+    n = S.load_index(spark, to).count()
+    S.save_index(index.orderBy("pos").limit(1).withColumn("pos", F.lit(0)), to, force=True)
+    return S.load_index(spark, to).agg(F.lit(n).cast("bigint").alias("n"), F.lit(refused).alias("refused"), F.count("*").alias("n_forced"))
+
+
+@C.add("select style, style = 'paper' as accepted from (values ('paper'), ('semantic')) v(style)")
+def s13_format_marker(spark, folder):
+    """A folder of one annotation style accepts it again and refuses another."""
+    to = scratch(spark, "marked")
+    S.check_marker(spark, to, "paper")
+    rows = []
+    for style in ("paper", "semantic"):
+        try:
+            S.check_marker(spark, to, style)
+            rows.append((style, True))
+        except ValueError:
+            rows.append((style, False))
+    return spark.createDataFrame(rows, "style string, accepted boolean")
+
+
 _MISSING = ", ".join(map(quoted, S.MISSING))
 
 
@@ -216,10 +290,14 @@ def f06_route_raw(spark, folder):
     return K.routed(train(spark, folder).select("row_id", "uid"), table(spark, folder, "split_manifest"), normalise=False).select("row_id", "split")
 
 
-@C.add(f"with {SPLITS} select count(*) as n from train_with_rag t join split_norm s on s.uid = replace(t.uid, '_', '/') where split = 'train'")
+@C.add(f"with {SPLITS} select count(*) as n from train_with_rag t join split_norm s on s.uid = replace(t.uid, '_', '/') where split = 'train' having count(*) >= 100")
 def f07_guard_rows(spark, folder):
+    """Rows of the train split, and none of them where there are fewer than a hundred."""
     routed = K.routed(train(spark, folder), table(spark, folder, "split_manifest")).filter("split = 'train'")
-    return K.guard_rows(routed, 10, "train").agg(F.count("*").alias("n"))
+    try:
+        return K.guard_rows(routed, K.LEAST_TRAIN_ROWS, "train").agg(F.count("*").alias("n"))
+    except ValueError:
+        return spark.createDataFrame([], "n bigint")
 
 
 @C.add(f"select pos, uid from rag_index where output <> '' and {N_ENTITIES.format('output')} < 500")

@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,13 +46,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """The rows over all cores, where a few large files would leave most of them idle; else ``df`` as it is.
+def spread(df: DataFrame, key: str, idle: float = 0.5) -> DataFrame:
+    """The rows over all cores, where few unsplittable files would leave more than the share ``idle`` of them without work; else ``df`` as it is.
 
-    For operators that spend seconds on a megabyte, before which moving the rows costs little.
+    For operators that spend seconds on a megabyte, before which moving the rows costs little. A table of
+    at least as many splits as cores, which any large one is, is never moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 <= cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() <= cores * idle else df
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -69,25 +72,65 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{folder}"
 
 
-_STAGES: list[str] = []
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system's scheme, as Spark itself would take it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
+_STAGES: dict[str, None] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    _STAGES.pop(path, None)
 
 
 def clear_stages(spark: SparkSession) -> None:
-    """Delete what ``stage`` wrote in this process. Only for when no result that reads it is still to be computed."""
-    conf = spark._jsc.hadoopConfiguration()
-    while _STAGES:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
-        path.getFileSystem(conf).delete(path, True)
+    """Delete what ``stage`` and ``scratch`` made in this process. Only for when no result that reads it is still to be computed."""
+    for path in list(_STAGES):
+        _delete(spark, path)
+
+
+@contextmanager
+def stages(spark: SparkSession) -> Iterator[None]:
+    """A block after which what it staged is deleted; results that it leaves behind must have been written or collected."""
+    before = set(_STAGES)
+    try:
+        yield
+    finally:
+        for path in [x for x in _STAGES if x not in before]:
+            _delete(spark, path)
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def _folder(spark: SparkSession, label: str) -> str:
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop)
+    fs.deleteOnExit(hadoop)
+    _STAGES[path] = None
+    return path
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path for new files in the shared folder; ``clear_stages`` deletes them, and so does the end of the driver's JVM."""
+    return f"{_folder(spark, label)}/data"
+
+
+def stage(df: DataFrame, label: str, instead_of: DataFrame | None = None) -> DataFrame:
     """The rows of ``df``, written once to the shared folder and read back.
 
     It cuts the lineage as a reliable checkpoint does (a lost executor costs nothing that was
     written), and being Parquet it still lets later plans read only the columns they need.
+    ``instead_of`` is a stage that nothing but ``df`` needs: it is deleted once ``df`` is written.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _STAGES.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = _folder(spark, label)
+    df.write.parquet(f"{folder}/data")
+    if instead_of is not None:
+        _delete(spark, instead_of._brepflow_stage)
+    out = spark.read.schema(df.schema).parquet(f"{folder}/data")
+    out._brepflow_stage = folder
+    return out

@@ -1,7 +1,7 @@
 """Sources and sinks of the corpus: STEP folders, records, captions, logs, indexes (S family).
 
-Readers and writers go through Spark's file sources, so they take any path Spark takes and split
-over executors; what a driver writes as one file is said so in its docstring.
+Readers and writers go through Spark's file sources or, file by file in the workers, through the
+folder's own file system, so they split over executors; what a driver writes as one file is said so in its docstring.
 """
 
 from __future__ import annotations
@@ -10,11 +10,13 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator
-from functools import reduce
 
+from pyarrow.fs import FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brepflow.sources import shared
+
 CAPTIONS = "uid string, abstract string, beginner string, intermediate string, expert string"
 LOSSES = "timestamp string, step int, epoch double, loss double, learning_rate double, grad_norm double"
 #: Texts that a caption table's reader takes as missing; fixed values.
@@ -22,35 +24,68 @@ MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
 EPOCH_LINE = r"EPOCH\s+(\d+)\s+COMPLETE\s*\|.*?(\d+\.\d+)\s*min.*?loss avg=([\d.]+)\s+min=([\d.]+)\s+max=([\d.]+)"
 
 
+def _plain(path: Column) -> Column:
+    """A path with one slash after ``file:``."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def listed(spark: SparkSession, folder: str, glob: str = "*", recursive: bool = False) -> DataFrame:
+    """(path, length) of the files of a folder, empty ones included; contents are not read.
+
+    Spark's scans leave files of length 0 out, so these are added from the scan's own file index, whose
+    paths the driver's JVM holds for any scan.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(folder)
+    full = files.select(_plain(F.col("path")).alias("path"), "length")
+    jvm = spark._jvm
+    paths = jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(files._jdf.inputFiles())
+    every = DataFrame(spark._jsparkSession.createDataset(paths, jvm.org.apache.spark.sql.Encoders.STRING()).toDF(), spark).select(_plain(F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B")))).alias("path")).distinct()
+    empty = every.join(full.select("path"), "path", "left_anti")
+    return full.unionByName(empty.withColumn("length", F.lit(0).cast("bigint")))
+
+
+def decoded(content: Column) -> Column:
+    """Bytes as UTF-8, or as Latin-1 where they are not valid UTF-8."""
+    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
+
+
 def read_steps(spark: SparkSession, folder: str, first: int | None = None, recursive: bool = False) -> DataFrame:
-    """(path, rel_path, uid, text) of the STEP files of a folder; optionally the first n by path."""
-    reader = spark.read.option("pathGlobFilter", "*.step").option("recursiveFileLookup", str(recursive).lower())
-    files = reader.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    rel = F.regexp_replace("path", "^.*?" + re.escape(folder.removeprefix("file://").rstrip("/")) + "/", "")
+    """(path, rel_path, uid, text) of the STEP files of a folder, empty ones included; optionally the first n by path."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.step").option("recursiveFileLookup", str(recursive).lower())
+    files = reader.load(folder).select(_plain(F.col("path")).alias("path"), decoded(F.col("content")).alias("text"))
+    empty = listed(spark, folder, "*.step", recursive).filter("length = 0").select("path", F.lit("").alias("text"))
+    rel = F.regexp_replace("path", "^.*?" + re.escape(re.sub("^file:/+", "/", folder).rstrip("/")) + "/", "")
     uid = F.replace(F.regexp_extract("path", r"([^/]+)\.step$", 1), F.lit("_"), F.lit("/"))
-    out = files.select("path", rel.alias("rel_path"), uid.alias("uid"), "text")
+    out = files.unionByName(empty).select("path", rel.alias("rel_path"), uid.alias("uid"), "text")
     return out.orderBy("path").limit(first) if first is not None else out
 
 
-def write_steps(texts: DataFrame, folder: str) -> None:
-    """(rel_path, text) as files, each written beside its place and then moved there. For a folder all executors mount."""
-    root = folder.removeprefix("file://")
+def write_steps(texts: DataFrame, folder: str, skip_existing: bool = False) -> None:
+    """(rel_path, text) as files, each written beside its place and then moved there.
+
+    Workers write through the folder's own file system (local, HDFS, object stores), which all executors must
+    reach. With ``skip_existing`` a file that is there is left as it is. A null text is an empty file.
+    """
+    root = shared.qualified(texts.sparkSession, folder)
 
     def put(rows: Iterator) -> None:
+        fs, base = shared.opened(root)
         for r in rows:
-            path = os.path.join(root, r["rel_path"])
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(f"{path}.tmp", "w", encoding="utf-8", newline="") as f:
-                f.write(r["text"] or "")
-            os.replace(f"{path}.tmp", path)
+            path = f"{base}/{r['rel_path']}"
+            if skip_existing and fs.get_file_info(path).type == FileType.File:
+                continue
+            fs.create_dir(path.rpartition("/")[0], recursive=True)
+            with fs.open_output_stream(f"{path}.tmp") as f:
+                f.write((r["text"] or "").encode())
+            fs.move(f"{path}.tmp", path)
 
     texts.select("rel_path", "text").foreachPartition(put)
 
 
 def path_uid(path: Column) -> Column:
-    """The uid of a file kept as ``.../root/stem.ext``."""
+    """The uid of a file kept as ``.../root/a/b/stem.ext``: the fourth part from the end, and the stem."""
     parts = F.split(path, "/")
-    return F.concat_ws("/", F.try_element_at(parts, F.lit(-2)), F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", ""))
+    return F.concat_ws("/", F.try_element_at(parts, F.lit(-4)), F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", ""))
 
 
 def export(items: DataFrame, exporter: Callable[[bytes], str] | None, done: DataFrame | None = None) -> DataFrame:
@@ -111,16 +146,23 @@ def write_records(records: DataFrame, path: str, by: str | None = None) -> None:
 
 
 def write_json_array(records: DataFrame, path: str, *order: str) -> int:
-    """One JSON array in one file, in order; rows stream through the driver, a partition at a time."""
+    """One JSON array (indent 2) in one file, in order, null fields kept; returns the number of records.
+
+    Records are made into text by the executors; the one file is written by the driver, which holds one
+    partition's text at a time.
+    """
+    spark = records.sparkSession
+    line = F.to_json(F.struct(*records.columns), {"ignoreNullFields": "false", "pretty": "true"})
+    shown = records.orderBy(*order).select(F.replace(line, F.lit("\n"), F.lit("\n  ")).alias("j"))
+    fs, to = shared.opened(shared.qualified(spark, path))
     n = 0
-    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
-        f.write("[")
-        for r in records.orderBy(*order).toJSON().toLocalIterator() if hasattr(records, "toJSON") else []:
-            f.write(",\n" if n else "\n")
-            f.write("  " + json.dumps(json.loads(r), ensure_ascii=False))
+    with fs.open_output_stream(f"{to}.tmp") as f:
+        f.write(b"[")
+        for r in shown.toLocalIterator():
+            f.write((",\n  " if n else "\n  ").encode() + r["j"].encode())
             n += 1
-        f.write("\n]\n")
-    os.replace(f"{path}.tmp", path)
+        f.write(b"\n]\n")
+    fs.move(f"{to}.tmp", to)
     return n
 
 
@@ -216,6 +258,3 @@ def report(title: str, rows: DataFrame) -> str:
     body = "".join("<tr>" + "".join(f"<td>{escape(v)}</td>" for v in r) + "</tr>" for r in rows.collect())
     return f"<h1>{escape(title)}</h1><table><tr>{head}</tr>{body}</table>"
 
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
