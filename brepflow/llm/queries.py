@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brepflow.llm import bpe, content, neardup, overlap, packing, splitting, truncation
-from brepflow.session import spread, table
+from brepflow.session import scratch, spread, table
+from brepflow.sources import files
 
 
 #: Sources that p6 keeps in different containers: statements of STEP files and lines of logs, each long runs of machine-written lines.
@@ -61,7 +62,7 @@ def _oversized(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """The values that are split: those of more than one piece."""
-    return splitting.cut_table(_oversized(spark, folder)).filter("piece_no = 1 and n_pieces > 1").select("row_id", "field").distinct()
+    return splitting.cut_table(_oversized(spark, folder)).filter("piece_no = 1").select("row_id", "field").distinct()
 
 
 def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,6 +70,16 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.pieces(_oversized(spark, folder))
 
 
+def p4_file_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """All pieces of STEP files above the limit of steps, read in ranges of 4 KB: the texts of the table as a folder of files."""
+    to = scratch(spark, "files")
+    texts = table(spark, folder, "train_with_rag").select(F.concat("row_id", F.lit(".step")).alias("rel_path"), F.col("step").alias("text"))
+    files.write_steps(texts.filter("text is not null"), to)
+    spans = splitting.of_files(files.listed(spark, to, "*.step"), *_specs(spark, folder)["train_with_rag.step"])
+    row_id = F.regexp_extract("field", r"(\d+)\.step$", 1).cast("bigint")
+    return splitting.pieces(spans, 4096).select(row_id.alias("row_id"), "piece_no", "n_pieces", "start", "n_chars", "n_repeated", "text")
+
+
 def p5_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of each document."""
     return bpe.token_ids(_documents(spark, folder))
@@ -137,6 +148,36 @@ common as (
   join size x on x.field = c.field and x.row_id = ra join size y on y.field = c.field and y.row_id = rb
 )
 """
+_PIECES = r"""
+with recursive value as (
+  select row_id, field, if(field = 'step', step, retrieved_step) as v, max_size, coalesce(overlap, 0) as overlap
+  from train_with_rag, (values ('step'), ('retrieved_step')) f(field) join size_specs on target = 'train_with_rag.' || field
+), long as (
+  select *, regexp_extract_all(v, '(?s);|''[^'']*''?|/\*.*?(?:\*/|$)|[^;''/]+|/') as token from value where length(v) > max_size
+), placed as (
+  select row_id, field, x, sum(length(x)) over (partition by row_id, field order by i) as upto
+  from (select row_id, field, unnest(token) as x, generate_subscripts(token, 1) as i from long)
+), known as (
+  select l.* exclude (token), length(v) as n, coalesce(e.ends, []) as ends from long l
+  left join (select row_id, field, list(upto::bigint order by upto) as ends from placed where x = ';' group by all) e on e.row_id = l.row_id and e.field = l.field
+), piece(row_id, field, piece_no, start, stop, on_end) as (
+  select row_id, field, 0, 0::bigint, 0::bigint, false from known
+  union all
+  select row_id, field, piece_no + 1, if(tight, stop, start), if(tight, least(stop + max_size, n), next), not tight and on_end from (
+    select *, next <= stop as tight from (
+      select * replace (not is_last and coalesce(fit > stop, false) as on_end), case when is_last then n when fit > stop then fit else start + max_size end as next from (
+        select *, list_filter(ends, lambda e: e <= start + max_size)[-1] as fit, start + max_size >= n as is_last from (
+          select * replace (case when not on_end or overlap = 0 then stop when low <= 0 and stop <= overlap then 0
+            else coalesce(list_filter(ends, lambda e: e >= low and e < stop)[1], stop) end as start) from (
+            select k.*, p.piece_no, p.start, p.stop, p.on_end, greatest(p.stop - overlap, coalesce(list_filter(k.ends, lambda e: e > p.stop)[1], n) - max_size) as low
+            from piece p join known k on k.row_id = p.row_id and k.field = p.field where p.stop < k.n))))
+  )
+), laid as (
+  select p.row_id, p.field, piece_no::bigint as piece_no, (max(piece_no) over (partition by p.row_id, p.field))::bigint as n_pieces, start, stop - start as n_chars,
+    coalesce(lag(stop) over (partition by p.row_id, p.field order by piece_no), 0) - start as n_repeated, substring(v, start + 1, stop - start) as text
+  from piece p join known k on k.row_id = p.row_id and k.field = p.field where piece_no > 0
+)
+"""
 _SPLIT = r""", split as (
   select distinct replace(unnest(train), '_', '/') as uid, 'train' as split from split_manifest
   union select distinct replace(unnest(val), '_', '/'), 'val' from split_manifest
@@ -152,7 +193,7 @@ _SPLIT = r""", split as (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_counts, p4_found, p4_pieces, p5_ids, p6_containers, p6_fill, p6_rules, p7_found, p7_shares)}
+    return {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_counts, p4_found, p4_pieces, p4_file_pieces, p5_ids, p6_containers, p6_fill, p6_rules, p7_found, p7_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -161,6 +202,8 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": _CONTENT + _SPLIT + "select distinct field, ra as row_id_a, rb as row_id_b from hit",
         "p4_found": """select t.row_id, s.field from train_with_rag t, (values ('step'), ('retrieved_step')) s(field)
           join size_specs z on z.target = 'train_with_rag.' || s.field where length(if(s.field = 'step', step, retrieved_step)) > max_size""",
+        "p4_pieces": _PIECES + "select * from laid",
+        "p4_file_pieces": _PIECES + "select * exclude (field) from laid where field = 'step'",
         "p6_rules": "select count(*) as n_documents, 0::bigint as n_split_needlessly, 0::bigint as n_above_capacity, 0::bigint as n_apart_together from documents where text <> ''",
         "p3_counts": _CONTENT + _SPLIT + """, held as (
           select field, split, source, count(distinct row_id) as n_rows from member, (values ('step'), ('caption')) f(field)
