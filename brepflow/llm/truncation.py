@@ -4,7 +4,9 @@ Read backward from a place in a text, the last k characters are its context. The
 for each context, how often a unit (sentence, line, STEP statement, text) *ends* after it and
 how often the text *continues*. With ``n`` places and ``e`` ends, contexts of growing length are
 blended: ``p = (e + PULL p') / (n + PULL)``, p' being the estimate of the next shorter context, so a long
-context counts for as much as was seen of it. A value's final context gives the log-odds that a
+context counts for as much as was seen of it. Counts are per language: of each context those of the other
+languages are blended in first, then those of the value's own language, so a rare language (or a wrong
+label) backs off to all. A value's final context gives the log-odds that a
 unit ends there. Two kinds of evidence are added: the odds of an end after so many words of a
 unit that starts with this word (headings, signatures and list items end in names of many
 kinds), and a mark that stands in place of the rest. Values whose log-odds lie below the
@@ -14,12 +16,13 @@ A place before a final stop counts as an end, so a text that merely lacks its st
 look cut. A text's own end, and those of its copies, are taken out of the counts it is judged by.
 
 Counts cover every place of every text. Only contexts that end some text matter, so their hashes
-are first gathered in a bitmap of fixed size (``BITMAP_WORDS`` words of 64 bits, whatever
-the corpus); counting passes over contexts that are not in it. What the bitmap lets through in
-excess is dropped by the join on the whole hash, so the result does not depend on its size.
+are first gathered in a bitmap of about ``BITS_A_KEY`` bits for each of them, of ``BITMAP_MOST`` bits (32 MB)
+at most; counting passes over contexts that are not in it. What the bitmap lets through in
+excess is dropped by the join on the whole hash, so the result does not depend on its size. A corpus of
+more than some 20 million distinct texts fills it, and then more contexts are shuffled.
 
 Defined cases: null, empty and blank texts are no cases; upper-case languages count as the
-language, null ones as ``und``; copies get equal results; further columns are not read.
+language, null ones as ``und``; copies labelled with the same language get equal results; further columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brepflow.llm.superminhash import mix64
@@ -45,7 +48,9 @@ PULL = 2.0
 MARKED = 4.0
 #: Bounds of the evidence from a unit's first word and length.
 HEAD_BOUNDS = (-1.5, 6.0)
-BITMAP_WORDS = 1 << 20
+BITS_A_KEY, BITMAP_LEAST, BITMAP_MOST = 16, 1 << 16, 1 << 28
+#: Counts that a worker holds before it hands them on.
+HELD = 1_000_000
 #: Characters whose places are worked on together.
 PORTION = 300_000
 #: So many texts, distributed as those of all languages are, are added to each language's own.
@@ -234,99 +239,137 @@ def _finals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def language(lang: Column) -> Column:
+    """A language without case and blanks; ``und`` for null."""
+    return F.coalesce(F.lower(F.trim(lang)), F.lit("und"))
+
+
 def final_contexts(documents: DataFrame) -> DataFrame:
     """(doc_id, lang, source, marked, text_hash, keys) of each text that is not blank."""
     texts = documents.select("doc_id", "lang", "source", "text").filter("text is not null and text <> ''")
     found = texts.mapInArrow(_finals, "doc_id bigint, lang string, source string, marked boolean, text_hash bigint, keys array<bigint>")
-    return found.withColumn("lang", F.coalesce(F.lower(F.trim("lang")), F.lit("und")))
+    return found.withColumn("lang", language(F.col("lang")))
 
 
 def _bitmap(finals: DataFrame) -> np.ndarray:
-    """The bitmap of all final contexts; at most BITMAP_WORDS rows come to the driver."""
+    """The bitmap of all final contexts, as words of 64 bits; at most BITMAP_MOST / 64 rows come to the driver."""
     keys = finals.select(F.explode("keys").alias("k"))
-    words = keys.groupBy(F.shiftrightunsigned("k", 64 - (BITMAP_WORDS - 1).bit_length()).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k & 63 as int))")).alias("bits"))
+    texts = finals.select("text_hash").distinct().count()
+    bits = min(BITMAP_MOST, max(BITMAP_LEAST, 1 << (texts * (len(ORDERS) + 1) * BITS_A_KEY).bit_length()))
+    words = keys.groupBy(F.shiftrightunsigned("k", 64 - (bits // 64 - 1).bit_length()).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k & 63 as int))")).alias("bits"))
     rows = words.toArrow()
-    bitmap = np.zeros(BITMAP_WORDS, np.uint64)
+    bitmap = np.zeros(bits // 64, np.uint64)
     bitmap[rows.column("i").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return bitmap
 
 
+def _counts(keys: np.ndarray, n: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys once each, in order, with their summed counts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n[order], first), np.add.reduceat(e[order], first)
+
+
 def context_counts(documents: DataFrame, finals: DataFrame) -> DataFrame:
-    """(key, n, e): places and ends over the whole corpus, of every context that ends some text."""
+    """(key, n, e, by_lang): places and ends over the whole corpus, of every context that ends some text, and those in each language."""
     shared = documents.sparkSession.sparkContext.broadcast(_bitmap(finals))
-    shift = np.uint64(64 - (BITMAP_WORDS - 1).bit_length())
 
-    def known(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        return ((bitmap[(hashes >> shift).astype(np.int64)] >> (hashes & np.uint64(63))) & np.uint64(1)).astype(bool)
+    def outcomes(texts: list[str], known) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        both = [folded(t) for t in texts]
+        places = Places([t for t, _ in both if t])
+        marked = np.array([m for t, m in both if t], bool)
+        is_stop = places.holds(places.stops)
+        at = places.at[~places.holds(places.stops[marked])[places.at]]  # a marked end is no outcome
+        if not len(at):
+            return None
+        heads_at = at[places.word_ends(at) | is_stop[at]]
+        hashes = places.heads(heads_at)
+        hit = known(hashes)
+        found = [hashes[hit] | places.ends[heads_at[hit]]]
+        for k in ORDERS:  # a context ends a text only if each shorter one does
+            hashes = places.hashes(at, at - k, k)
+            hit = known(hashes)
+            at = at[hit]
+            found.append(hashes[hit] | places.ends[at])
+        keys = np.sort(np.concatenate(found))
+        if not len(keys):
+            return None
+        edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        value, n = keys[edges], np.diff(np.append(edges, len(keys)))
+        same = np.flatnonzero(np.concatenate([[True], (value[1:] & _EVEN) != (value[:-1] & _EVEN)]))
+        ended = n * (value & np.uint64(1)).astype(np.int64)
+        return (value[same] & _EVEN).view(np.int64), np.add.reduceat(n, same), np.add.reduceat(ended, same)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
+        shift = np.uint64(64 - (len(bitmap) - 1).bit_length())
+        known = lambda hashes: ((bitmap[(hashes >> shift).astype(np.int64)] >> (hashes & np.uint64(63))) & np.uint64(1)).astype(bool)
+        held: dict[str, list[tuple]] = {}
+        size = 0
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                keys, n, e = _counts(*(np.concatenate(x) for x in zip(*parts)))
+                of = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(keys), np.int32)), pa.array([lang])).cast(pa.string())
+                for i in range(0, len(keys), 65536):
+                    part = slice(i, i + 65536)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[part]), of.slice(i, 65536), pa.array(n[part]), pa.array(e[part])], ["key", "lang", "n", "e"])
+            held.clear()
+
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for first, stop in _portions(texts):
-                both = [folded(t) for t in texts[first:stop]]
-                places = Places([t for t, _ in both if t])
-                marked = np.array([m for t, m in both if t], bool)
-                is_stop = places.holds(places.stops)
-                at = places.at[~places.holds(places.stops[marked])[places.at]]  # a marked end is no outcome
-                if not len(at):
-                    continue
-                heads_at = at[places.word_ends(at) | is_stop[at]]
-                hashes = places.heads(heads_at)
-                hit = known(bitmap, hashes)
-                outcomes = [hashes[hit] | places.ends[heads_at[hit]]]
-                for k in ORDERS:  # a context ends a text only if each shorter one does
-                    hashes = places.hashes(at, at - k, k)
-                    hit = known(bitmap, hashes)
-                    at = at[hit]
-                    outcomes.append(hashes[hit] | places.ends[at])
-                keys = np.sort(np.concatenate(outcomes))
-                edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-                if not len(edges):
-                    continue
-                value, n = keys[edges], np.diff(np.append(edges, len(keys)))
-                same = np.flatnonzero(np.concatenate([[True], (value[1:] & _EVEN) != (value[:-1] & _EVEN)]))
-                ended = n * (value & np.uint64(1)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((value[same] & _EVEN).view(np.int64)), pa.array(np.add.reduceat(n, same)), pa.array(np.add.reduceat(ended, same))],
-                    ["key", "n", "e"],
-                )
-
-    texts = documents.select("text").filter("text is not null and text <> ''")
-    return texts.mapInArrow(counted, "key bigint, n bigint, e bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+            of_lang: dict[str, list[str]] = {}
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                of_lang.setdefault(lang, []).append(text)
+            for lang, texts in of_lang.items():
+                for first, stop in _portions(texts):
+                    if found := outcomes(texts[first:stop], known):
+                        held.setdefault(lang, []).append(found)
+                        size += len(found[0])
+                if size > HELD:
+                    yield from handed_on()
+                    size = 0
+        yield from handed_on()
+
+    texts = documents.select(language(F.col("lang")).alias("lang"), "text").filter("text is not null and text <> ''")
+    one = texts.mapInArrow(counted, "key bigint, lang string, n bigint, e bigint").repartition("key").groupBy("key", "lang").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+    return one.groupBy("key").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.collect_list(F.struct("lang", "n", "e")).alias("by_lang"))
 
 
 def scored(documents: DataFrame) -> DataFrame:
     """(doc_id, lang, source, score): the log-odds that a unit ends where the text ends."""
     finals = stage(final_contexts(documents), "final-contexts")
     counts = context_counts(documents, finals)
-    copies = finals.groupBy("text_hash").agg(F.sum(F.when(F.col("marked"), 0).otherwise(1)).alias("own"))
-    distinct = finals.select("text_hash", "keys").dropDuplicates(["text_hash"])
-    exploded = distinct.select("text_hash", F.posexplode("keys").alias("k", "key"))
-    seen = exploded.join(counts, "key").groupBy("text_hash").agg(F.collect_list(F.struct("k", "n", "e")).alias("seen"))
-    judged = distinct.select("text_hash").join(copies, "text_hash").join(seen, "text_hash", "left")
-    minus = F.col("own")
-    in_order = F.array_sort(F.coalesce("seen", F.array().cast("array<struct<k:int,n:bigint,e:bigint>>")))
-    base = 0.02
-    blend = F.aggregate(
-        F.filter(in_order, lambda x: x["k"] < len(ORDERS)),
-        F.lit(base),
-        lambda p, x: (F.greatest(x["e"] - minus, F.lit(0)) + F.lit(PULL) * p) / (F.greatest(x["n"] - minus, F.lit(0)) + F.lit(PULL)),
-    )
-    head = F.aggregate(
-        F.filter(in_order, lambda x: x["k"] == len(ORDERS)),
-        F.lit(0.1),
-        lambda p, x: (F.greatest(x["e"] - minus, F.lit(0)) + F.lit(PULL) * p) / (F.greatest(x["n"] - minus, F.lit(0)) + F.lit(PULL)),
-    )
-
-    def odds(p):
+    one = F.when(F.col("marked"), 0).otherwise(1)
+    copies = finals.groupBy("text_hash", "lang").agg(F.sum(one).alias("own_lang"), F.any_value("keys").alias("keys"))
+    own = finals.groupBy("text_hash").agg(F.sum(one).alias("own"))
+    exploded = copies.select("text_hash", "lang", F.posexplode("keys").alias("k", "key"))
+    in_lang = F.filter("by_lang", lambda x: x["lang"] == F.col("lang"))[0]
+    joined = exploded.join(counts, "key").select("text_hash", "lang", F.struct("k", "n", "e", in_lang["n"].alias("n_lang"), in_lang["e"].alias("e_lang")).alias("x"))
+    seen = joined.groupBy("text_hash", "lang").agg(F.collect_list("x").alias("seen"))
+    judged = copies.drop("keys").join(own, "text_hash").join(seen, ["text_hash", "lang"], "left")
+    in_order = F.array_sort(F.coalesce("seen", F.array().cast("array<struct<k:int,n:bigint,e:bigint,n_lang:bigint,e_lang:bigint>>")))
+
+    def pulled(p: Column, e: Column, n: Column, minus: Column) -> Column:
+        rest = lambda x: F.greatest(x - minus, F.lit(0))
+        return (rest(e) + F.lit(PULL) * p) / (rest(n) + F.lit(PULL))
+
+    def blended(p: Column, x: Column) -> Column:
+        n, e = F.coalesce(x["n_lang"], F.lit(0)), F.coalesce(x["e_lang"], F.lit(0))
+        others = pulled(p, x["e"] - e, x["n"] - n, F.col("own") - F.col("own_lang"))
+        return pulled(others, e, n, F.col("own_lang"))
+
+    blend = F.aggregate(F.filter(in_order, lambda x: x["k"] < len(ORDERS)), F.lit(0.02), blended)
+    head = F.aggregate(F.filter(in_order, lambda x: x["k"] == len(ORDERS)), F.lit(0.1), blended)
+
+    def odds(p: Column) -> Column:
         q = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
         return F.log(q / (1 - q))
 
     evidence = F.least(F.greatest(odds(head) - math.log(0.1 / 0.9), F.lit(HEAD_BOUNDS[0])), F.lit(HEAD_BOUNDS[1]))
-    by_text = judged.select("text_hash", odds(blend).alias("contexts"), evidence.alias("head"))
+    by_text = judged.select("text_hash", "lang", odds(blend).alias("contexts"), evidence.alias("head"))
     marked = F.when(F.col("marked"), F.lit(MARKED)).otherwise(F.lit(0.0))
-    return finals.join(by_text, "text_hash").select("doc_id", "lang", "source", "contexts", "head", "marked", (F.col("contexts") + F.col("head") - marked).alias("score"))
+    return finals.join(by_text, ["text_hash", "lang"]).select("doc_id", "lang", "source", "contexts", "head", "marked", (F.col("contexts") + F.col("head") - marked).alias("score"))
 
 
 def thresholds(scores: DataFrame) -> dict[str | None, float]:
