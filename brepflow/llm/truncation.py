@@ -344,7 +344,7 @@ def scored(documents: DataFrame) -> DataFrame:
     copies = finals.groupBy("text_hash", "lang").agg(F.sum(one).alias("own_lang"), F.any_value("keys").alias("keys"))
     own = finals.groupBy("text_hash").agg(F.sum(one).alias("own"))
     exploded = copies.select("text_hash", "lang", F.posexplode("keys").alias("k", "key"))
-    in_lang = F.filter("by_lang", lambda x: x["lang"] == F.col("lang"))[0]
+    in_lang = F.get(F.filter("by_lang", lambda x: x["lang"] == F.col("lang")), 0)
     joined = exploded.join(counts, "key").select("text_hash", "lang", F.struct("k", "n", "e", in_lang["n"].alias("n_lang"), in_lang["e"].alias("e_lang")).alias("x"))
     seen = joined.groupBy("text_hash", "lang").agg(F.collect_list("x").alias("seen"))
     judged = copies.drop("keys").join(own, "text_hash").join(seen, ["text_hash", "lang"], "left")

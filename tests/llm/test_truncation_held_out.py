@@ -47,3 +47,10 @@ def test_rare_languages_back_off_and_labels_count(spark):
     t = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
     score = {r.doc_id: (r.lang, r.score) for r in truncation.scored(t).filter("doc_id >= 1000").collect()}
     assert score[1000][0] == score[1001][0] == "xx" and score[1000][1] < -2 < 1 < score[1001][1]
+
+
+def test_contexts_without_places_in_the_own_language(spark):
+    """Where a mark ends the only text of a language, no place of that language is counted."""
+    rows = [(i, "The bracket was made by hand.", "en", "s") for i in range(20)] + [(99, "The bracket was m [...]", "yy", "s")]
+    t = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    assert {r.doc_id for r in truncation.cut_off(t).filter("cut").collect()} == {99}
