@@ -18,8 +18,8 @@ look cut. A text's own end, and those of its copies, are taken out of the counts
 Counts cover every place of every text. Only contexts that end some text matter, so their hashes
 are first gathered in a bitmap of about ``BITS_A_KEY`` bits for each of them, of ``BITMAP_MOST`` bits (32 MB)
 at most; counting passes over contexts that are not in it. What the bitmap lets through in
-excess is dropped by the join on the whole hash, so the result does not depend on its size. A corpus of
-more than some 20 million distinct texts fills it, and then more contexts are shuffled.
+excess is dropped by the join on the whole hash, so the result does not depend on its size. Where
+more than some 50 million different contexts end texts it fills up, and then more contexts are shuffled.
 
 Defined cases: null, empty and blank texts are no cases; upper-case languages count as the
 language, null ones as ``und``; copies labelled with the same language get equal results; further columns are not read.
@@ -60,9 +60,6 @@ GAP_RANGE, GAP_STEP = (-2.5, 0.5), 0.25
 
 _ZEROS = bytes.maketrans(b"123456789", b"000000000")
 _LONG_NUMBER = re.compile(b"0{4,}")
-#: Blanks that are more, or other, than one space.
-_BLANKS = re.compile(r"[^\S\n]{2,}|[^\S\n ]")
-_LINES = re.compile(r" ?\n\s*")
 #: Final stops, and those that no blank follows; fixed values.
 STOPS, FULL_STOPS = ".!?。！？", "。！？"
 _PAD = max(ORDERS) + 2
@@ -73,8 +70,9 @@ _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 def _numbers(text: str) -> str:
     """Numbers of one to three digits as 0, longer ones as 00."""
     zeros = text.encode("utf-8", "surrogatepass").translate(_ZEROS)
-    short = _LONG_NUMBER.sub(b"\0\0", zeros).replace(b"000", b"0").replace(b"00", b"0").replace(b"\0", b"0")
-    return short.decode("utf-8", "surrogatepass")
+    if b"0000" in zeros:
+        zeros = _LONG_NUMBER.sub(b"\0\0", zeros)
+    return zeros.replace(b"000", b"0").replace(b"00", b"0").replace(b"\0", b"0").decode("utf-8", "surrogatepass")
 
 
 def _before_mark(text: str) -> str | None:
@@ -100,7 +98,8 @@ def folded(text: str) -> tuple[str, bool]:
     """The text as contexts see it (short numbers as 0, long ones as 00, blanks and line ends as one each), and whether a mark ended it."""
     before = _before_mark(text)
     body = text if before is None else before
-    return _LINES.sub("\n", _BLANKS.sub(" ", _numbers(body))).strip(), before is not None
+    lines = [" ".join(line.split()) for line in _numbers(body).split("\n")]
+    return "\n".join(filter(None, lines)), before is not None
 
 
 @cache
@@ -254,8 +253,8 @@ def final_contexts(documents: DataFrame) -> DataFrame:
 def _bitmap(finals: DataFrame) -> np.ndarray:
     """The bitmap of all final contexts, as words of 64 bits; at most BITMAP_MOST / 64 rows come to the driver."""
     keys = finals.select(F.explode("keys").alias("k"))
-    texts = finals.select("text_hash").distinct().count()
-    bits = min(BITMAP_MOST, max(BITMAP_LEAST, 1 << (texts * (len(ORDERS) + 1) * BITS_A_KEY).bit_length()))
+    distinct = keys.agg(F.approx_count_distinct("k")).first()[0]
+    bits = min(BITMAP_MOST, max(BITMAP_LEAST, 1 << (distinct * BITS_A_KEY).bit_length()))
     words = keys.groupBy(F.shiftrightunsigned("k", 64 - (bits // 64 - 1).bit_length()).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k & 63 as int))")).alias("bits"))
     rows = words.toArrow()
     bitmap = np.zeros(bits // 64, np.uint64)
