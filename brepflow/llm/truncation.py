@@ -48,7 +48,7 @@ PULL = 2.0
 MARKED = 4.0
 #: Bounds of the evidence from a unit's first word and length.
 HEAD_BOUNDS = (-1.5, 6.0)
-BITS_A_KEY, BITMAP_LEAST, BITMAP_MOST = 16, 1 << 16, 1 << 28
+BITS_A_KEY, BITMAP_LEAST, BITMAP_MOST = 128, 1 << 16, 1 << 28
 #: Counts that a worker holds before it hands them on.
 HELD = 1_000_000
 #: Characters whose places are worked on together.
