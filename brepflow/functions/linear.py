@@ -113,9 +113,9 @@ def ordered(g: Graph) -> tuple[list[int], dict[int, tuple[int, int]]]:
 
 
 def rewritten(args: str, new_id: dict[int, int]) -> str:
-    """References outside literals renumbered, reals normalised; KeyError for an unmapped one."""
+    """References outside literals renumbered, reals normalised; KeyError for an unmapped one."""
     moved = _REF_OR_LITERAL.sub(lambda m: m.group(1) or f"#{new_id[int(m.group(2))]}", args)
-    return normalise(moved)
+    return normalise(moved, guard=False)
 
 
 def reserialize(text: str) -> tuple[str | None, str | None]:

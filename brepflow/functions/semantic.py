@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from brepflow.functions import linear
-from brepflow.functions.linear import Graph, depth_first
+from brepflow.functions.linear import Graph, _each, depth_first, parse, roots
 
 CATEGORY, PROTOCOL, PRESENTATION, SHAPE = (
     "PRODUCT_CATEGORY_RELATIONSHIP", "APPLICATION_PROTOCOL_DEFINITION",
@@ -61,14 +61,33 @@ class Writer:
         return depth_first(self.g, [eid], set(), self.refs)
 
 
-def levels(trees: list[list[tuple[int, int, str]]]) -> list[int]:
-    """Ids level by level over all trees, once per level."""
-    by_depth: dict[int, dict[int, None]] = {}
+def by_level(trees: list[list[tuple[int, int, str]]]) -> list[tuple[int, list[int]]]:
+    """(depth, ids) level by level over all trees, once per level, in order of the trees."""
+    at_depth: dict[int, dict[int, None]] = {}
     for tree in trees:
         for depth, eid, kind in tree:
             if kind == "NORMAL":
-                by_depth.setdefault(depth, {})[eid] = None
-    return [eid for depth in sorted(by_depth) for eid in by_depth[depth]]
+                at_depth.setdefault(depth, {})[eid] = None
+    return [(depth, list(at_depth[depth])) for depth in sorted(at_depth)]
+
+
+def levels(trees: list[list[tuple[int, int, str]]]) -> list[int]:
+    """The ids of all levels, one level after the other."""
+    return [eid for _, ids in by_level(trees) for eid in ids]
+
+
+def _merged_rows(text: str | None) -> list[tuple]:
+    if not text:
+        return []
+    g = parse(text)
+    trees = [depth_first(g, [root], set()) for root in roots(g, self_edges=False)]
+    return [(depth, pos, eid) for depth, ids in by_level(trees) for pos, eid in enumerate(ids)]
+
+
+def merged(texts: DataFrame) -> DataFrame:
+    """(row_id, depth, pos, eid): the levels of the trees of all roots of each text."""
+    schema = pa.schema([("row_id", pa.int64()), ("depth", pa.int32()), ("pos", pa.int32()), ("eid", pa.int64())])
+    return texts.select("row_id", "step").mapInArrow(_each(_merged_rows, schema), "row_id bigint, depth int, pos int, eid bigint")
 
 
 def pruned(g: Graph, tree: list[tuple[int, int, str]]) -> list[int]:

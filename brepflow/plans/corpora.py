@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from brepflow.functions import text as T
 from brepflow.operators import corpus as K
 from brepflow.operators import retrieval as V
-from brepflow.plans.graphs import ENTITY, entities
+from brepflow.plans.graphs import ENTITY
 from brepflow.operators import graph as G
 from brepflow.plans.registry import Catalog, quoted
 from brepflow.plans.texts import train, trimmed
-from brepflow.session import scratch, table
+from brepflow.session import scratch, spread, table
 from brepflow.sources import files as S
 
 C = Catalog()
@@ -271,12 +271,12 @@ def f03_skip_tally(spark, folder):
       when s.split is null then 'unmatched' else s.split end as reason, count(*) as n from train_with_rag t left join split_raw s using (uid) group by 1"""
 )
 def f04_skip_tally(spark, folder):
-    t = train(spark, folder)
-    e = entities(spark, folder)
-    bad = G.dangling(e).select("row_id").union(e.filter("not parsed").select("row_id")).distinct().withColumn("bad", F.lit(True))
-    marked = K.routed(t, table(spark, folder, "split_manifest"), normalise=False).join(bad, "row_id", "left")
-    failed = (F.coalesce("step", F.lit("")) == "") | F.col("bad").isNotNull()
-    reason = K.first_reason(("failed", failed), ("too_large", T.entity_count(F.col("step")) >= 500))
+    step = F.col("step")
+    t = spread(train(spark, folder).select("row_id", "uid", "step"), "row_id")
+    t = t.withColumns({"n_counted": T.entity_count(step), "empty": F.coalesce(step, F.lit("")) == ""})
+    found = G.summaries(t, carry=("uid", "n_counted", "empty"))  # one scan and one parse; texts go no further
+    marked = K.routed(found, table(spark, folder, "split_manifest"), normalise=False)
+    reason = K.first_reason(("failed", F.col("empty") | (F.col("n_dangling") > 0) | (F.col("n_bad") > 0)), ("too_large", F.col("n_counted") >= 500))
     return marked.groupBy(F.when(reason == "kept", F.col("split")).otherwise(reason).alias("reason")).agg(F.count("*").alias("n"))
 
 

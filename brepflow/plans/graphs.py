@@ -55,10 +55,6 @@ def texts(spark, folder):
     return spread(train(spark, folder).select("row_id", "step"), "row_id")
 
 
-def entities(spark, folder):
-    return G.entities(texts(spark, folder))
-
-
 @C.add(
     f"""with j as (select row_id, {_joined("x <> ''")} as j from train_with_rag), b as (select row_id, {_BODY} as b from j),
     s as (select row_id, list_filter(list_transform(string_split({outside("b", "replace(t, ';' || chr(10), ';' || chr(1))")}, chr(1)),
@@ -75,10 +71,8 @@ def g01_statements(spark, folder):
     bool_or(not parsed) as rejected from entity group by row_id"""
 )
 def g02_parse(spark, folder):
-    return entities(spark, folder).groupBy("row_id").agg(
-        F.count_if(F.expr("parsed and not is_complex")).alias("n_simple"), F.count_if("is_complex").alias("n_complex"),
-        F.count_if(F.expr("not parsed")).alias("n_bad"), F.bool_or(F.expr("not parsed")).alias("rejected"),
-    )
+    found = G.summaries(texts(spark, folder)).filter("n_statements > 0")
+    return found.select("row_id", "n_simple", "n_complex", "n_bad", (F.col("n_bad") > 0).alias("rejected"))
 
 
 @C.add(
@@ -86,15 +80,13 @@ def g02_parse(spark, folder):
     count_if(is_complex) as n_complex from entity group by row_id"""
 )
 def g03_strict_parse(spark, folder):
-    strict = F.col("etype").rlike(r"\A[A-Z_][A-Z0-9_]*\z")
-    return entities(spark, folder).groupBy("row_id").agg(
-        F.count_if(strict).alias("n_kept"), F.count_if(~F.col("is_complex") & ~strict).alias("n_dropped"), F.count_if("is_complex").alias("n_complex")
-    )
+    found = G.summaries(texts(spark, folder)).filter("n_statements > 0")
+    return found.select("row_id", F.col("n_strict").alias("n_kept"), F.col("n_not_strict").alias("n_dropped"), "n_complex")
 
 
 @C.add(ENTITY + "select row_id, eid, pos::int as pos, refs from entity where len(refs) > 0")
 def g04_references(spark, folder):
-    return entities(spark, folder).filter(F.size("refs") > 0).select("row_id", "eid", "pos", "refs")
+    return G.entities(texts(spark, folder)).filter(F.size("refs") > 0).select("row_id", "eid", "pos", "refs")
 
 
 _FILTERED = """, kept as (select e.row_id, e.eid as src, d as dst from (select row_id, eid, unnest(if(is_complex, list_distinct(refs), refs)) as d from entity) e
@@ -103,13 +95,12 @@ _FILTERED = """, kept as (select e.row_id, e.eid as src, d as dst from (select r
 
 @C.add(ENTITY + _FILTERED + " select row_id, src, dst, count(*) as n from kept group by all")
 def g05_filtered_references(spark, folder):
-    return G.filtered_edges(entities(spark, folder)).groupBy("row_id", "src", "dst").agg(F.count("*").alias("n"))
+    return G.edges(texts(spark, folder)).filter("n_filtered > 0").select("row_id", "src", "dst", F.col("n_filtered").alias("n"))
 
 
 @C.add(ENTITY + "select distinct row_id, eid, etype from entity e where not exists (select 1 from edge d where d.row_id = e.row_id and d.dst = e.eid)")
 def g06_roots(spark, folder):
-    e = entities(spark, folder)
-    return G.roots(e, G.edges(e)).distinct()
+    return G.entities(texts(spark, folder)).filter("fresh and not referenced").select("row_id", "eid", "etype")
 
 
 _EXPECTED = ", ".join(map(quoted, G.ROOT_TYPES))
@@ -120,14 +111,13 @@ _EXPECTED = ", ".join(map(quoted, G.ROOT_TYPES))
     (select distinct row_id, eid, etype from entity e where not exists (select 1 from kept d where d.row_id = e.row_id and d.dst = e.eid)) group by etype"""
 )
 def g07_root_types(spark, folder):
-    e = entities(spark, folder)
-    found = G.roots(e, G.filtered_edges(e)).distinct()
+    found = G.entities(texts(spark, folder)).filter("fresh and not referenced_by_others")
     return found.groupBy("etype").agg(F.count("*").alias("n_roots")).withColumn("expected", F.col("etype").isin(*G.ROOT_TYPES))
 
 
 @C.add(ENTITY + "select row_id, eid, row_number() over (partition by row_id order by min(pos))::int as new_id from entity group by row_id, eid")
 def g10_renumber(spark, folder):
-    return G.renumbered(entities(spark, folder))
+    return G.entities(texts(spark, folder)).filter("new_id is not null").select("row_id", "eid", "new_id")
 
 
 @C.add(
@@ -135,24 +125,21 @@ def g10_renumber(spark, folder):
     left join (select distinct row_id as r, eid from entity) k on k.r = row_id and k.eid = dst group by row_id"""
 )
 def g11_rewrite_guard(spark, folder):
-    e = entities(spark, folder)
-    known = e.select("row_id", F.col("eid").alias("dst"), F.lit(1).alias("known")).distinct()
-    return G.edges(e).join(known, ["row_id", "dst"], "left").groupBy("row_id").agg(
-        F.count("*").alias("n_edges"), F.count("known").alias("n_mapped"), (F.count("known") != F.count("*")).alias("rejected")
-    )
+    found = G.summaries(texts(spark, folder)).filter("n_edges > 0")
+    return found.select("row_id", "n_edges", (F.col("n_edges") - F.col("n_dangling")).alias("n_mapped"), (F.col("n_dangling") > 0).alias("rejected"))
 
 
 @C.add(ENTITY + "select row_id, src, dst, min(ord) as first_ord from edge group by all")
 def g21_first_occurrence(spark, folder):
-    return G.edges(entities(spark, folder)).groupBy("row_id", "src", "dst").agg(F.min("ord").cast("bigint").alias("first_ord"))
+    return G.edges(texts(spark, folder)).select("row_id", "src", "dst", "first_ord")
 
 
 @C.add(
-    ENTITY + """, kind as (select row_id, eid, arg_max(etype, pos) as etype from entity group by all)
-    select row_id, src, k.etype, count(*) as n, count(*) >= 3 as several from edge join kind k using (row_id) where k.eid = dst group by all"""
+    ENTITY + """, kind as (select row_id, eid, arg_max(if(is_complex, 'COMPLEX_ENTITY', etype), pos) as etype, arg_max(len(refs), pos) as n_refs from entity group by row_id, eid)
+    select row_id, src, k.etype, count(*) as n, count(*) >= 3 as several, max(n_refs) = 0 as leaves from edge join kind k using (row_id) where k.eid = dst group by row_id, src, k.etype"""
 )
 def g22_child_types(spark, folder):
-    return G.child_types(entities(spark, folder))
+    return G.children(texts(spark, folder))
 
 
 @C.add(
@@ -161,10 +148,9 @@ def g22_child_types(spark, folder):
     from train_with_rag t left join n using (row_id)"""
 )
 def g24_lossy_guard(spark, folder):
-    t = train(spark, folder)
-    n = entities(spark, folder).groupBy("row_id").agg(F.countDistinct("eid").alias("n_parsed"))
-    joined = t.select("row_id", T.entity_count(F.col("step")).alias("n_counted")).join(n, "row_id", "left")
-    return joined.select("row_id", F.coalesce("n_parsed", F.lit(0)).alias("n_parsed"), "n_counted", (F.coalesce("n_parsed", F.lit(0)) == F.col("n_counted")).alias("kept"))
+    counted = spread(train(spark, folder).select("row_id", "step"), "row_id").withColumn("n_counted", T.entity_count(F.col("step")))
+    found = G.summaries(counted, carry=("n_counted",))
+    return found.select("row_id", F.col("n_ids").alias("n_parsed"), "n_counted", (F.col("n_ids") == F.col("n_counted")).alias("kept"))
 
 
 @C.add()
@@ -197,19 +183,18 @@ def g17_sections(spark, folder):
 
 @C.add()
 def g13_merged_levels(spark, folder):
-    tree = linear.trees(texts(spark, folder)).filter("kind = 'NORMAL'")
-    return tree.groupBy("row_id", "eid").agg(F.min("depth").alias("depth"), F.min(F.struct("depth", "pos"))["pos"].alias("pos"))
+    """The trees of all roots merged level by level, each entity once a level."""
+    return semantic.merged(texts(spark, folder))
 
 
 @C.add(ENTITY + "select row_id, count(*) as n_dangling, count(distinct dst) as n_ids from edge d where not exists (select 1 from entity e where e.row_id = d.row_id and e.eid = d.dst) group by all")
 def j11_dangling(spark, folder):
-    return G.dangling(entities(spark, folder)).groupBy("row_id").agg(F.count("*").alias("n_dangling"), F.countDistinct("dst").alias("n_ids"))
+    return G.summaries(texts(spark, folder)).filter("n_dangling > 0").select("row_id", "n_dangling", F.col("n_dangling_ids").alias("n_ids"))
 
 
 @C.add(ENTITY + "select row_id, eid from entity except select row_id, dst from edge")
 def o05_ids_without_references(spark, folder):
-    e = entities(spark, folder)
-    return e.select("row_id", "eid").subtract(G.edges(e).selectExpr("row_id", "dst as eid"))
+    return G.entities(texts(spark, folder)).filter("new_id is not null and not referenced").select("row_id", "eid")
 
 
 _LOST = r"""with r as (select distinct row_id, unnest(regexp_extract_all(step, '#(\d+)', 1))::bigint as id from train_with_rag),
