@@ -61,13 +61,14 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(distinct: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b), a < b, of classes that share a band and whose sizes allow the similarity."""
-    bands = distinct.select("field", "cid", "n", "elems").mapInArrow(_banded, "key bigint, cid bigint, n int").repartition("key")
-    hot = bands.groupBy("key").agg(F.count("*").alias("held")).filter(F.col("held") > HOT).select("key", F.ceil(F.col("held") / HOT).alias("parts"))
+    bands = stage(distinct.select("field", "cid", "n", "elems").mapInArrow(_banded, "key bigint, cid bigint, n int"), "bands")
+    counts = bands.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
+    several = counts.select("key", F.ceil(F.col("held") / HOT).cast("int").alias("parts"))
+    shared = stage(bands.join(several, "key"), "shared-bands", instead_of=bands)  # most keys are held by one class only
     fits = F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - 1e-9
-    cold = bands.join(hot, "key", "left_anti")
-    split = bands.join(hot, "key")
-    dealt = split.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts"))).repartition("key", "part")
-    met = split.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).repartition("key", "part")
+    cold, hot = shared.filter("parts = 1"), shared.filter("parts > 1")
+    dealt = hot.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    met = hot.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     out = None
     for left, right, by in ((cold, cold, ["key"]), (dealt, met, ["key", "part"])):
         pairs = left.select(*by, F.col("cid").alias("a"), F.col("n").alias("n_a")).join(right.select(*by, F.col("cid").alias("b"), F.col("n").alias("n_b")), by)
@@ -167,7 +168,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").selectExpr("v as u", "m as v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").selectExpr("v as u", "m as v").unionByName(least.selectExpr("u", "m as v"))
-        now = stage(small.distinct(), "stars")
+        now = stage(small.distinct(), "stars", instead_of=now)
     return now.unionByName(now.selectExpr("v as u", "v").distinct())
 
 
