@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -46,6 +47,12 @@ def keep_small(records: DataFrame, text: Column, cap: int = MAX_ENTITIES) -> Dat
     return records.filter(T.entity_count(text) < cap)
 
 
+def within_tokens(records: DataFrame, text: Column, most: int, count: Callable[[Column], Column], most_characters: int | None = None) -> DataFrame:
+    """texts of at most so many tokens by the tokenizer's ``count``; a cheap bound on characters goes first."""
+    bound = records.filter(F.length(text) <= (most_characters if most_characters is not None else 4 * most))
+    return bound.filter(count(text) <= most)
+
+
 def usable_templates(index: DataFrame, cap: int = MAX_ENTITIES) -> DataFrame:
     """templates that are not empty and below the cap."""
     return index.filter((F.col("output") != "") & (T.entity_count(F.col("output")) < cap))

@@ -21,6 +21,22 @@ def median_finite(x: Column) -> Column:
     return F.coalesce(F.median(F.when(finite(x), x)), F.lit(float("inf")))
 
 
+def bundle(rows: DataFrame, complete: Column, scd: Column, entities: Column, parts: dict[str, Column]) -> DataFrame:
+    """(part, n, cr, rr, mscd, aec) for each part of the rows, in one pass.
+
+    A part without rows has zeros, and an infinite median as one without finite values has.
+    """
+    agg = []
+    for k, (name, holds) in enumerate(parts.items()):
+        of = lambda x: F.when(holds, x)  # noqa: B023, E731
+        share = lambda x: F.coalesce(F.round(F.avg(of(x)), 6), F.lit(0.0))  # noqa: B023, E731
+        agg.append(F.struct(
+            F.lit(name).alias("part"), F.count_if(holds).alias("n"), share(complete.cast("int")).alias("cr"), share(scd.isNotNull().cast("int")).alias("rr"),
+            F.round(F.coalesce(F.median(F.when(holds & finite(scd), scd)), F.lit(float("inf"))), 6).alias("mscd"), share(entities).alias("aec"),
+        ).alias(f"p{k}"))
+    return rows.agg(*agg).select(F.explode(F.array(*(f"p{k}" for k in range(len(parts))))).alias("p")).select("p.*")
+
+
 def percentile(x: Column, p: float) -> Column:
     """Linear between neighbours."""
     return F.round(F.percentile(x, F.lit(p)), 6)

@@ -1,13 +1,43 @@
-"""Token rows for training (K family), as array expressions."""
+"""Token rows for training (K family), as array expressions over the ids that a tokenizer gives.
+
+The tokenizer is the caller's: a Column function, or ``counter`` over a library. Byte tokens (each UTF-8 byte is its
+own id) need neither a vocabulary nor Python.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 MASK = -100
 
 
+def byte_ids(text: Column) -> Column:
+    """The ids of a text by the byte tokenizer; null for null."""
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))
+    return F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("int"))
+
+
+def byte_count(text: Column) -> Column:
+    """The number of byte tokens."""
+    return F.octet_length(text)
+
+
+def counter(make: Callable[[], Callable[[str], int]]) -> Callable[[Column], Column]:
+    """A token count by a library: ``make`` gives the function from a text to its tokens' number, once for each worker's task."""
+
+    @F.pandas_udf("int")
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = make()
+        for texts in batches:
+            yield texts.map(count, na_action="ignore").astype("Int32")
+
+    return counted
+
+
 def truncated(ids: Column, most: int) -> Column:
     """K04"""
     return F.slice(ids, 1, most)
@@ -29,6 +59,11 @@ def labels(ids: Column, header: list[int]) -> Column:
     return F.when(k < 0, hidden(F.size(ids))).otherwise(F.concat(hidden(k), F.slice(ids, k + 1, F.size(ids))))
 
 
+def batched(ids: Column, batch: Column) -> Column:
+    """Padded at the right to the longest row of the batch."""
+    return padded(ids, F.max(F.size(ids)).over(Window.partitionBy(batch)))
+
+
 def padded(ids: Column, width: Column, pad: int = 0) -> Column:
     """Padded at the right."""
     return F.concat(ids, F.array_repeat(F.lit(pad), F.greatest(width - F.size(ids), F.lit(0))))

@@ -11,7 +11,7 @@ from brepflow.operators import metrics as M
 from brepflow.operators import retrieval as V
 from brepflow.operators import tokens as K
 from brepflow.operators import windows as W
-from brepflow.plans.corpora import _EPOCHS, _EVERY_EPOCH, N_ENTITIES, epochs
+from brepflow.plans.corpora import _EPOCHS, N_ENTITIES, epochs
 from brepflow.plans.registry import Catalog
 from brepflow.plans.texts import train, trimmed
 from brepflow.session import scratch, table
@@ -69,14 +69,15 @@ def a04_median_scd(spark, folder):
 
 
 @C.add(
-    f"""with {SCORES}, b as (select 'all' as part, * from scores union all select 'in_dist', * from scores where in_dist)
-    select part, count(*) as n, round(avg((scd is not null)::int), 6) as rr, coalesce(round(median(scd) filter ({FINITE}), 6), 'inf'::double) as mscd from b group by part"""
+    f"""with {SCORES}, p(part) as (values ('all'), ('in_dist'), ('none')), b as (select p.part, s.*, idx % 300 as entities from p left join scores s on p.part = 'all' or (p.part = 'in_dist' and in_dist))
+    select part, count(idx) as n, coalesce(round(avg((status <> 'click')::int) filter (idx is not null), 6), 0) as cr, coalesce(round(avg((scd is not null)::int) filter (idx is not null), 6), 0) as rr,
+      coalesce(round(median(scd) filter ({FINITE}), 6), 'inf'::double) as mscd, coalesce(round(avg(entities), 6), 0) as aec from b group by part"""
 )
 def a05_metric_bundle(spark, folder):
-    parts = F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("in_dist"), "in_dist")))).alias("part")
-    return scores(spark, folder).select(parts, "scd").groupBy("part").agg(
-        F.count("*").alias("n"), M.rate(F.col("scd").isNotNull()).alias("rr"), F.round(M.median_finite(F.col("scd")), 6).alias("mscd")
-    )
+    """All rows, those in distribution, and a part without rows."""
+    rows = scores(spark, folder).select("*", (F.col("status") != "click").alias("complete"), (F.col("idx") % 300).alias("entities"))
+    parts = {"all": F.lit(True), "in_dist": F.col("in_dist"), "none": F.lit(False)}
+    return M.bundle(rows, F.col("complete"), F.col("scd"), F.col("entities"), parts)
 
 
 _PERCENTS = (1, 5, 25, 50, 75, 95, 99)
@@ -119,15 +120,20 @@ def a09_validation_rollup(spark, folder):
 
 
 @C.add(
-    rf"""with d as (select source, {N_ENTITIES.format('step')} as gen, {N_ENTITIES.format('retrieved_step')} as gt, length(step) as l, length(retrieved_step) as lg from train_with_rag where step is not null and retrieved_step is not null)
-    select source, count(*) as n, round(avg(gen / greatest(gt, 1)), 6) as entity_ratio, round(avg(l / greatest(lg, 1)), 6) as length_ratio from d group by source"""
+    rf"""with d as (select source, {N_ENTITIES.format('step')} as gen, {N_ENTITIES.format('retrieved_step')} as gt, octet_length(encode(step)) as l, octet_length(encode(retrieved_step)) as lg,
+      coalesce(not ends_with(list_filter(list_transform(string_split(step, chr(10)), lambda x: {trimmed("x")}), lambda x: x <> '')[-1], ';'), false) as cut
+      from train_with_rag where step is not null and retrieved_step is not null),
+    g as (select source, count(*) as n, avg(cut::int) as cut_rate, avg(gen / greatest(gt, 1)) as er, avg(l / greatest(lg, 1)) as tr from d group by source)
+    select source, n, round(cut_rate, 6) as cut_rate, round(er, 6) as entity_ratio, round(tr, 6) as token_ratio from g"""
 )
 def a14_generation_diagnosis(spark, folder):
+    """Texts cut inside a statement, and mean ratios of entities and byte tokens to those of the truth."""
     gen, gt = T.entity_count(F.col("step")), T.entity_count(F.col("retrieved_step"))
     d = train(spark, folder).filter("step is not null and retrieved_step is not null")
+    ratio = lambda a, b: F.round(F.avg(a / F.greatest(b, F.lit(1))), 6)
     return d.groupBy("source").agg(
-        F.count("*").alias("n"), F.round(F.avg(gen / F.greatest(gt, F.lit(1))), 6).alias("entity_ratio"),
-        F.round(F.avg(F.length("step") / F.greatest(F.length("retrieved_step"), F.lit(1))), 6).alias("length_ratio"),
+        F.count("*").alias("n"), M.rate(T.cut_mid_entity(F.col("step"))).alias("cut_rate"), ratio(gen, gt).alias("entity_ratio"),
+        ratio(K.byte_count(F.col("step")), K.byte_count(F.col("retrieved_step"))).alias("token_ratio"),
     )
 
 
@@ -203,11 +209,6 @@ def a21_error_bars(spark, folder):
     return epochs(spark, folder).select("doc_id", "epoch", F.round(F.col("avg") - F.col("min"), 6).alias("below"), F.round(F.col("max") - F.col("avg"), 6).alias("above"))
 
 
-@C.add(f"with {_EVERY_EPOCH} select doc_id, epoch, round(avg - min, 6) as below, round(max - avg, 6) as above from epochs")
-def a21_error_bars_whole(spark, folder):
-    return epochs(spark, folder, every=True).select("doc_id", "epoch", F.round(F.col("avg") - F.col("min"), 6).alias("below"), F.round(F.col("max") - F.col("avg"), 6).alias("above"))
-
-
 @C.add(
     rf"""with c as (select source, case when contains(step, 'END-ISO-10303-21;') then 'EOS' when not ends_with({trimmed('step')}, ';') then 'TRUNC' else 'OTHER' end as outcome from train_with_rag where step is not null)
     select source, outcome, count(*) as n, case when 100.0 * max(e) / max(t) >= 50 then 'go' when 100.0 * max(e) / max(t) >= 20 then 'weak' else 'no-go' end as verdict
@@ -222,23 +223,19 @@ def a22_outcomes(spark, folder):
     return n.withColumn("verdict", F.when(share >= 50, "go").when(share >= 20, "weak").otherwise("no-go"))
 
 
-_IDS = r"list_transform(list_filter(regexp_split_to_array(caption, '\s+'), lambda w: w <> ''), lambda w: length(w)::int)"
-_AFTER = "coalesce(list_filter(generate_series(1, len(ids) - 1), lambda i: ids[i] = 2 and ids[i + 1] = 3)[1] + 1, -1)"
-_ROWS = f"ids as (select row_id, {_IDS} as ids from train_with_rag where caption is not null), cut as (select row_id, ids[1:40] as ids from ids), k as (select *, {_AFTER} as k from cut)"
+#: The text of a training row: a caption, and where a retrieved one is known a header and that one.
+_TEXT = "caption || coalesce(chr(10) || '### output:' || chr(10) || retrieved_caption, '')"
+_IDS = f"list_transform(regexp_extract_all(hex(encode({_TEXT})), '..'), lambda h: ((instr('0123456789ABCDEF', h[1]) - 1) * 16 + instr('0123456789ABCDEF', h[2]) - 1)::int)"
+HEADER = list(b"### output:\n")
+_AFTER = f"coalesce(list_filter(generate_series(1, len(ids) - {len(HEADER) - 1}), lambda i: ids[i:i + {len(HEADER) - 1}] = {HEADER}::int[])[1] + {len(HEADER) - 1}, -1)"
+_ROWS = f"ids as (select row_id, {_IDS} as ids from train_with_rag where caption is not null), k as (select *, {_AFTER} as k from ids)"
 _LABELS = "if(k < 0, list_transform(ids, lambda x: -100), list_concat(list_transform(ids[1:k], lambda x: -100), ids[k + 1:]))"
-_WHOLE = f"ids as (select row_id, {_IDS} as ids from train_with_rag where caption is not null), k as (select *, {_AFTER} as k from ids)"
-HEADER = [2, 3]
-
-
-def whole_rows(spark, folder) -> DataFrame:
-    """Stand-in ids (word lengths) of each caption."""
-    ids = F.transform(T.words(F.col("caption")), lambda w: F.length(w))
-    return train(spark, folder).filter("caption is not null").select("row_id", ids.alias("ids"))
 
 
 def token_rows(spark, folder) -> DataFrame:
-    """At most 40 ids of each caption, as the SQL of K02 to K06 and A23 has them; the `_whole` queries have all."""
-    return whole_rows(spark, folder).select("row_id", K.truncated(F.col("ids"), 40).alias("ids"))
+    """The byte tokens of each row's whole text."""
+    text = F.concat("caption", F.coalesce(F.concat(F.lit("\n### output:\n"), "retrieved_caption"), F.lit("")))
+    return train(spark, folder).filter("caption is not null").select("row_id", K.byte_ids(text).alias("ids"))
 
 
 @C.add(f"with {_ROWS}, l as (select *, {_LABELS} as labels from k) select row_id, round(len(list_filter(labels, lambda x: x <> -100)) / nullif(len(labels), 0), 6) as share from l")
@@ -246,11 +243,6 @@ def a23_unmasked_share(spark, folder):
     return token_rows(spark, folder).select("row_id", K.unmasked_share(K.labels(F.col("ids"), HEADER)).alias("share"))
 
 
-@C.add(f"with {_WHOLE}, l as (select *, {_LABELS} as labels from k) select row_id, round(len(list_filter(labels, lambda x: x <> -100)) / nullif(len(labels), 0), 6) as share from l")
-def a23_unmasked_share_whole(spark, folder):
-    return whole_rows(spark, folder).select("row_id", K.unmasked_share(K.labels(F.col("ids"), HEADER)).alias("share"))
-
-
 @C.add(f"with {LOSSES} select run, max(step) as step, arg_max(event_type, step) as event_type, arg_max(value, step) as value from losses group by run")
 def a24_final_step(spark, folder):
     last = losses(spark, folder).groupBy("run").agg(F.max_by(F.struct("step", "event_type", "value"), "step").alias("x"))
@@ -367,40 +359,22 @@ def k03_labels(spark, folder):
     return token_rows(spark, folder).select("row_id", K.labels(F.col("ids"), HEADER).alias("labels"))
 
 
-@C.add(f"with {_ROWS} select row_id, ids from cut")
+@C.add(f"with {_ROWS} select row_id, ids[1:512] as ids from ids")
 def k04_truncated(spark, folder):
-    return token_rows(spark, folder)
+    """At most 512 tokens (the limit is the feature)."""
+    return token_rows(spark, folder).select("row_id", K.truncated(F.col("ids"), 512).alias("ids"))
 
 
-@C.add(f"with {_ROWS} select row_id, list_concat(ids, list_transform(range(greatest(40 - len(ids), 0)), lambda x: 0::int)) as ids from cut")
+@C.add(f"with {_ROWS}, w as (select *, max(len(ids)) over (partition by row_id // 16) as width from ids) select row_id, list_concat(ids, list_transform(range(width - len(ids)), lambda x: 0::int)) as ids from w")
 def k05_padded(spark, folder):
-    return token_rows(spark, folder).select("row_id", K.padded(F.col("ids"), F.lit(40)).alias("ids"))
+    """Batches of sixteen, each padded to its longest row."""
+    rows = token_rows(spark, folder)
+    return rows.select("row_id", K.batched(F.col("ids"), F.floor(F.col("row_id") / 16)).alias("ids"))
 
 
-@C.add(f"with {_ROWS} select row_id, greatest(256, 300 - len(ids) - 64) as budget from cut")
+@C.add(f"with {_ROWS} select row_id, greatest(256, 1024 - len(ids) - 64) as budget from ids")
 def k06_generation_budget(spark, folder):
-    return token_rows(spark, folder).select("row_id", K.generation_budget(F.size("ids"), 300).alias("budget"))
-
-
-@C.add(f"with {_WHOLE} select row_id, k from k")
-def k02_after_header_whole(spark, folder):
-    return whole_rows(spark, folder).select("row_id", K.after_header(F.col("ids"), HEADER).alias("k"))
-
-
-@C.add(f"with {_WHOLE} select row_id, {_LABELS} as labels from k")
-def k03_labels_whole(spark, folder):
-    return whole_rows(spark, folder).select("row_id", K.labels(F.col("ids"), HEADER).alias("labels"))
-
-
-@C.add(f"with {_WHOLE} select row_id, list_concat(ids, list_transform(range(greatest(40 - len(ids), 0)), lambda x: 0::int)) as ids from ids")
-def k05_padded_whole(spark, folder):
-    return whole_rows(spark, folder).select("row_id", K.padded(F.col("ids"), F.lit(40)).alias("ids"))
-
-
-@C.add(f"with {_WHOLE} select row_id, greatest(256, 400 - len(ids) - 64) as budget from ids")
-def k06_generation_budget_whole(spark, folder):
-    """At 400 the budget is above its least value for captions of fewer than 80 words."""
-    return whole_rows(spark, folder).select("row_id", K.generation_budget(F.size("ids"), 400).alias("budget"))
+    return token_rows(spark, folder).select("row_id", K.generation_budget(F.size("ids"), 1024).alias("budget"))
 
 
 @C.add("select vec_id, list_transform(embedding, lambda x: round(x::double / sqrt(list_dot_product(embedding::double[], embedding::double[])), 6)) as unit from embeddings")

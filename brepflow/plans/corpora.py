@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from brepflow.functions import text as T
 from brepflow.operators import corpus as K
 from brepflow.operators import retrieval as V
+from brepflow.operators import tokens
 from brepflow.plans.graphs import ENTITY
 from brepflow.operators import graph as G
 from brepflow.plans.registry import Catalog, quoted
@@ -214,18 +215,14 @@ def s16_trainer_state(spark, folder):
     return states.select("run", F.explode(S.log_rows(F.col("state"))).alias("x")).select("run", "x.step", "x.reward")
 
 
-_EPOCHS = rf"""line as (select doc_id, source, unnest(string_split(text, chr(10))) as line from documents where source = 'training_log'),
+_EPOCHS = rf"""line as (select doc_id, source, unnest(string_split(text, chr(10))) as line from documents),
 epochs as (select doc_id, regexp_extract(line, {quoted(S.EPOCH_LINE)}, 1)::int as epoch, regexp_extract(line, {quoted(S.EPOCH_LINE)}, 2)::double as minutes, regexp_extract(line, {quoted(S.EPOCH_LINE)}, 3)::double as avg,
   regexp_extract(line, {quoted(S.EPOCH_LINE)}, 4)::double as min, regexp_extract(line, {quoted(S.EPOCH_LINE)}, 5)::double as max from line where regexp_matches(line, {quoted(S.EPOCH_LINE)}))"""
 
 
-_EVERY_EPOCH = _EPOCHS.replace(" where source = 'training_log'", "")
-
-
-def epochs(spark, folder, every: bool = False) -> DataFrame:
-    """Epoch lines of the documents whose source is a training log, as the SQL has them, or of every document."""
-    documents = table(spark, folder, "documents")
-    lines = (documents if every else documents.filter("source = 'training_log'")).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+def epochs(spark, folder) -> DataFrame:
+    """Epoch lines of all documents, whatever their source."""
+    lines = table(spark, folder, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     return lines.select("doc_id", *(c.alias(k) for k, c in S.epoch_rows(F.col("line")).items())).filter("epoch is not null")
 
 
@@ -234,11 +231,6 @@ def s17_epoch_lines(spark, folder):
     return epochs(spark, folder)
 
 
-@C.add(f"with {_EVERY_EPOCH} select * from epochs")
-def s17_epoch_lines_whole(spark, folder):
-    return epochs(spark, folder, every=True)
-
-
 @C.add(f"with {SPLITS} select count(*) as n, count(*) - count(split) as n_unmatched, round(avg((split is null)::int), 6) as share, round(avg((split is null)::int), 6) > 0.05 as warn from train_with_rag t left join split_norm s on s.uid = replace(t.uid, '_', '/')")
 def s19_unmatched(spark, folder):
     return S.unmatched(K.routed(train(spark, folder), table(spark, folder, "split_manifest")))
@@ -312,14 +304,16 @@ def f09_blanked(spark, folder):
     return t.join(index, "key", "left").select("row_id", "id_retrieve", F.md5(K.retrieved_text(F.col("output"), 100)).alias("text"))
 
 
-@C.add(r"select row_id from train_with_rag where length(step) <= 4096 * 4 and len(list_filter(regexp_split_to_array(step, '\s+'), lambda x: x <> '')) <= 1000")
+@C.add("select row_id from train_with_rag where length(step) <= 2048 * 4 and octet_length(encode(step)) <= 2048 * 4 - 200")
 def f10_length_filter(spark, folder):
-    return train(spark, folder).filter(F.length("step") <= 4096 * 4).filter(F.size(T.words(F.col("step"))) <= 1000).select("row_id")
+    """Byte tokens; the bound on characters, which never drops more than that on tokens, goes first."""
+    return K.within_tokens(train(spark, folder), F.col("step"), 2048 * 4 - 200, tokens.byte_count, 2048 * 4).select("row_id")
 
 
-@C.add(r"select row_id, len(list_filter(regexp_split_to_array(step, '\s+'), lambda x: x <> '')) <= 600 as in_dist from train_with_rag")
+@C.add("select row_id, octet_length(encode(step)) <= 8192 as in_dist from train_with_rag")
 def f11_in_distribution(spark, folder):
-    return train(spark, folder).select("row_id", F.when(F.col("step").isNotNull(), F.size(T.words(F.col("step"))) <= 600).alias("in_dist"))
+    """Byte tokens of the truth within the longest completion."""
+    return train(spark, folder).select("row_id", (tokens.byte_count(F.col("step")) <= 8192).alias("in_dist"))
 
 
 @C.add("select row_id, length(step) <= (3000 * 3.5)::int as in_budget from train_with_rag")
@@ -356,8 +350,9 @@ def f15_first_of_each(spark, folder):
     return K.first_of_each(t.select("row_id", "step"), T.has_terminator(F.col("step")), 3, "row_id").select("row_id", "ok", "place")
 
 
-@C.add()
+@C.add("select row_id, uid from train_with_rag")
 def f17_shuffled(spark, folder):
+    """The SQL has the rows; that the order is the same in each run, and another one than that of the keys, is tested apart."""
     return K.shuffled(train(spark, folder).select("row_id", "uid"), "row_id")
 
 
@@ -440,13 +435,6 @@ def j09_common_epochs(spark, folder):
     return a.join(b, "epoch")
 
 
-@C.add(f"with {_EVERY_EPOCH}, a as (select epoch, min(avg) as a from epochs where doc_id % 2 = 0 group by 1), b as (select epoch, min(avg) as b from epochs where doc_id % 2 = 1 group by 1) select epoch, a, b from a join b using (epoch)")
-def j09_common_epochs_whole(spark, folder):
-    e = epochs(spark, folder, every=True)
-    a, b = (e.filter(F.col("doc_id") % 2 == k).groupBy("epoch").agg(F.min("avg").alias(n)) for k, n in ((0, "a"), (1, "b")))
-    return a.join(b, "epoch")
-
-
 @C.add(
     r"""with g as (select row_id, t as etype, count(*) as gt from (select row_id, unnest(regexp_extract_all(step, '(?m)^#\d+\s*=\s*(\w+)\s*\(', 1)) as t from train_with_rag) group by all),
     r as (select row_id, t as etype, count(*) as gen from (select row_id, unnest(regexp_extract_all(retrieved_step, '(?m)^#\d+\s*=\s*(\w+)\s*\(', 1)) as t from train_with_rag) group by all),
@@ -494,12 +482,6 @@ def o08_epoch_intersection(spark, folder):
     return e.filter("doc_id % 2 = 0").select("epoch").intersect(e.filter("doc_id % 2 = 1").select("epoch"))
 
 
-@C.add(f"with {_EVERY_EPOCH} select distinct epoch from epochs where doc_id % 2 = 0 intersect select epoch from epochs where doc_id % 2 = 1")
-def o08_epoch_intersection_whole(spark, folder):
-    e = epochs(spark, folder, every=True)
-    return e.filter("doc_id % 2 = 0").select("epoch").intersect(e.filter("doc_id % 2 = 1").select("epoch"))
-
-
 @C.add("select vec_id, (select count(distinct [round(embedding[3 * p + 1], 0), round(embedding[3 * p + 2], 0), round(embedding[3 * p + 3], 0)]) from (select unnest(range(21)) as p)) as n_points from embeddings")
 def o09_distinct_points(spark, folder):
     p = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.transform(F.slice(F.col("embedding"), i * 3 + 1, F.lit(3)), lambda x: F.round(x.cast("double"), 0) + F.lit(0.0)))

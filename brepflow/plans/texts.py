@@ -74,8 +74,18 @@ C.add(
       when not contains(if(p0 > 0, s[1:p0 - 1], s), 'ENDSEC;') then if(p0 > 0, s[1:p0 - 1] || 'ENDSEC;' || chr(10) || s[p0:], s) else s end) as repaired from q""",
     "t12_repair_header",
 )(lambda spark, folder: train(spark, folder).select("row_id", F.md5(T.repair_header(F.col("step"))).alias("repaired")))
-_per_row("t13_round_floats", None, lambda s: {"rounded": F.md5(floats.round_floats(s))})
-_per_row("t14_round_floats_unguarded", None, lambda s: {"rounded": F.md5(floats.round_floats_unguarded(s))})
+_REAL = r"-?(?:\d+\.\d*|\.\d+)(?:[Ee][+-]?\d+)?"
+
+
+def rounded(guard: bool) -> str:
+    """DuckDB: the step with each real outside literals at six decimals, its exponent kept."""
+    tokens = r"(?s)'[^']*(?:''[^']*)*'|" + (f"#{_REAL}|" if guard else "") + _REAL + r"|[^'#\d.\-]+|."
+    mantissa = "printf('%.6f', regexp_extract(t, '^[^Ee]*')::double) || if(regexp_matches(t, '[Ee]'), 'E' || regexp_extract(t, '[Ee](.*)$', 1), '')"
+    return f"md5(array_to_string(list_transform(regexp_extract_all(step, {quoted(tokens)}), lambda t: if(regexp_full_match(t, {quoted(_REAL)}), {mantissa}, t)), ''))"
+
+
+_per_row("t13_round_floats", rounded(True) + " as rounded", lambda s: {"rounded": F.md5(floats.round_floats(s))})
+_per_row("t14_round_floats_unguarded", rounded(False) + " as rounded", lambda s: {"rounded": F.md5(floats.round_floats_unguarded(s))})
 _per_row("t15_file_name", "replace(uid, '/', '_') || '.step' as name", lambda s: {"name": T.file_name(F.col("uid"))})
 _per_row("t16_normal_uid", "replace(uid, '_', '/') as normal", lambda s: {"normal": T.normal_uid(F.col("uid"))})
 _per_row(

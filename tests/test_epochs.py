@@ -8,8 +8,8 @@ def test_logs_without_a_source_keep_their_lines(spark, small, duck, tmp_path):
     rows = [(2, text, None), (3, text, "training_log"), (5, "no epoch", None), (7, None, None)]
     spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
-    lines = got("s17_epoch_lines_whole")
+    lines = got("s17_epoch_lines")
     assert {r.doc_id for r in lines} == {2, 3}
     of = {r.epoch for r in lines}
-    assert {r.epoch for r in got("j09_common_epochs_whole")} == of == {r.epoch for r in got("o08_epoch_intersection_whole")}
-    assert {r.doc_id for r in got("a21_error_bars_whole")} == {2, 3}
+    assert {r.epoch for r in got("j09_common_epochs")} == of == {r.epoch for r in got("o08_epoch_intersection")}
+    assert {r.doc_id for r in got("a21_error_bars")} == {2, 3}
