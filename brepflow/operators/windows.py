@@ -6,18 +6,51 @@ import heapq
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def trailing_mean(x: Column, by: WindowSpec, width: int = 100) -> Column:
-    """Mean of the last ``width`` rows; a shorter prefix counts as it is."""
-    return F.round(F.avg(x).over(by.rowsBetween(-(width - 1), 0)), 8)
+def stretch(order: Column, steps: int = 1 << 16) -> Column:
+    """The part of a run in which a row lies: stretches of so many steps of a whole-number order column."""
+    return F.floor(order / steps)
 
 
-def running_rate(x: Column, by: WindowSpec) -> Column:
-    """W02"""
-    return F.round(F.avg(x.cast("double")).over(by.rowsBetween(Window.unboundedPreceding, 0)), 6)
+def _opening(sums: DataFrame, run: str, columns: list[str]) -> DataFrame:
+    """Of each part, the sums over the parts of its run before it: a row for each part is all that a run puts together."""
+    before = Window.partitionBy(run).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(F.col(run).alias("_run"), F.col("_part").alias("_of"), *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_before_{c}") for c in columns))
+
+
+def _with_opening(cut: DataFrame, opening: DataFrame, run: str) -> DataFrame:
+    return cut.join(opening, F.col(run).eqNullSafe(F.col("_run")) & (F.col("_part") == F.col("_of"))).drop("_run", "_of")
+
+
+def trailing_mean(log: DataFrame, run: str, order: list[str], part: Column, value: str, width: int = 100, block: int = 1 << 16) -> DataFrame:
+    """The log with ``mean`` over the last ``width`` rows; a shorter prefix counts as it is.
+
+    ``part`` cuts a run along its order. Rows are numbered by parts; blocks of ``block`` rows then get the last
+    ``width - 1`` rows of the block before them, so no task orders a whole run.
+    """
+    if block < width:
+        raise ValueError("a block must hold a window")
+    cut = log.withColumn("_part", part)
+    opening = _opening(cut.groupBy(run, "_part").agg(F.count("*").alias("n")), run, ["n"])
+    number = F.row_number().over(Window.partitionBy(run, "_part").orderBy(*order)) - 1
+    numbered = _with_opening(cut.withColumn("_i", number), opening, run).withColumn("_i", F.col("_i") + F.col("_before_n"))
+    own, late = F.floor(F.col("_i") / block), F.pmod("_i", F.lit(block)) > block - width
+    lent = numbered.withColumn("_block", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
+    by = Window.partitionBy(run, "_block").orderBy("_i").rowsBetween(-(width - 1), 0)
+    means = lent.withColumn("mean", F.round(F.avg(value).over(by), 8))
+    return means.filter(F.col("_block") == own).drop("_part", "_i", "_before_n", "_block")
+
+
+def running_rate(log: DataFrame, run: str, order: list[str], part: Column, holds: Column) -> DataFrame:
+    """The log with ``rate``, the share of rows so far that hold: sums of parts, then sums within a part."""
+    cut = log.withColumns({"_part": part, "_c": holds.cast("int"), "_one": F.lit(1)})
+    opening = _opening(cut.groupBy(run, "_part").agg(F.sum("_c").alias("c"), F.sum("_one").alias("n")), run, ["c", "n"])
+    inside = Window.partitionBy(run, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rate = (F.col("_before_c") + F.sum("_c").over(inside)) / (F.col("_before_n") + F.sum("_one").over(inside))
+    return _with_opening(cut, opening, run).withColumn("rate", F.round(rate, 6)).drop("_part", "_c", "_one", "_before_c", "_before_n")
 
 
 def _medians(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,18 +82,26 @@ def running_medians(log: DataFrame, run: str, order: str, value: str) -> DataFra
     return rows.repartition("run").sortWithinPartitions("run", "idx").mapInArrow(_medians, f"run {kinds[run]}, idx {kinds[order]}, median double")
 
 
-def zero_streaks(log: DataFrame, run: str, order: list[str], counts: Column, resets: Column, warn: int, fatal: int) -> DataFrame:
+def zero_streaks(log: DataFrame, run: str, order: str, part: Column, counts: Column, resets: Column, warn: int, fatal: int) -> DataFrame:
     """The streak at each row, and the rows that warn (exactly at ``warn``) or are fatal (from ``fatal`` on).
 
-    Rows that neither count nor reset are kept with the streak as it stands. Runs are the
-    partitions: one run's log is ordered in one task, as its steps were written by one process.
+    Rows that neither count nor reset are kept with the streak as it stands. A run is cut into parts; a part without a
+    reset hands the streak before it on, with its own counts added, so a run's parts need one row each.
     """
-    by = Window.partitionBy(run).orderBy(*order)
-    since = F.sum(resets.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    islands = log.withColumn("_island", F.coalesce(since, F.lit(0)))
-    inside = Window.partitionBy(run, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    streak = F.coalesce(F.sum(counts.cast("int")).over(inside), F.lit(0))
-    out = islands.withColumn("streak", streak).drop("_island")
+    cut = log.withColumns({"_part": part, "_c": F.coalesce(counts.cast("int"), F.lit(0)), "_r": F.coalesce(resets.cast("int"), F.lit(0))})
+    inside = Window.partitionBy(run, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    cut = cut.withColumn("_island", F.sum("_r").over(inside))
+    of_island = Window.partitionBy(run, "_part", "_island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    cut = cut.withColumn("_streak", F.sum("_c").over(of_island))
+    ends = cut.groupBy(run, "_part").agg(F.max("_island").alias("resets"), F.max_by("_streak", order).alias("tail"))
+    so_far = Window.partitionBy(run).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    # parts since the last one that resets: its tail, and all counts of the parts after it
+    group = F.sum((F.col("resets") > 0).cast("int")).over(so_far)
+    since = Window.partitionBy(run, "_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    after = ends.withColumn("_group", group).withColumn("after", F.sum("tail").over(since))
+    opening = after.select(F.col(run).alias("_run"), F.col("_part").alias("_of"), F.coalesce(F.lag("after").over(Window.partitionBy(run).orderBy("_part")), F.lit(0)).alias("_before"))
+    streak = F.col("_streak") + F.when(F.col("_island") == 0, F.col("_before")).otherwise(0)
+    out = _with_opening(cut, opening, run).withColumn("streak", streak).drop("_part", "_c", "_r", "_island", "_streak", "_before")
     level = F.when(~F.coalesce(counts, F.lit(False)), "none").when(F.col("streak") >= fatal, "fatal").when(F.col("streak") == warn, "warn").otherwise("none")
     return out.withColumn("alarm", level)
 

@@ -64,8 +64,11 @@ def a03_average_entity_count(spark, folder):
 
 @C.add(f"with {SCORES} select run, count_if({FINITE}) as n, coalesce(round(median(scd) filter ({FINITE}), 6), 'inf'::double) as mscd from scores group by run")
 def a04_median_scd(spark, folder):
-    scd = F.col("scd")
-    return scores(spark, folder).groupBy("run").agg(F.count_if(M.finite(scd)).alias("n"), F.round(M.median_finite(scd), 6).alias("mscd"))
+    scd = F.when(M.finite(F.col("scd")), F.col("scd"))
+    rows = scores(spark, folder).select("run", scd.alias("scd"))
+    medians = M.group_quantiles(rows, "run", "scd", {"mscd": 0.5})
+    counts = rows.groupBy("run").agg(F.count("scd").alias("n"))
+    return counts.join(medians, "run", "left").select("run", "n", F.coalesce(F.round("mscd", 6), F.lit(float("inf"))).alias("mscd"))
 
 
 @C.add(
@@ -143,12 +146,14 @@ def a14_generation_diagnosis(spark, folder):
     round(max(scd) filter ({FINITE}), 6) as most from scores group by status"""
 )
 def a15_scd_distribution(spark, folder):
-    scd = F.when(M.finite(F.col("scd")), F.col("scd"))
-    at = {"median": 0.5, "p25": 0.25, "p75": 0.75, "p90": 0.9}
-    return scores(spark, folder).groupBy("status").agg(
-        F.count(scd).alias("n_ok"), F.count_if(scd.isNull()).alias("n_failed"), *(M.percentile(scd, p).alias(k) for k, p in at.items()),
-        F.round(F.avg(scd), 6).alias("mean"), F.round(F.min(scd), 6).alias("least"), F.round(F.max(scd), 6).alias("most"),
-    )
+    rows = scores(spark, folder).select("status", F.when(M.finite(F.col("scd")), F.col("scd")).alias("scd"))
+    quantiles = M.group_quantiles(rows, "status", "scd", {"median": 0.5, "p25": 0.25, "p75": 0.75, "p90": 0.9})
+    scd = F.col("scd")
+    plain = rows.groupBy("status").agg(
+        F.count(scd).alias("n_ok"), F.count_if(scd.isNull()).alias("n_failed"), F.round(F.avg(scd), 6).alias("mean"), F.round(F.min(scd), 6).alias("least"), F.round(F.max(scd), 6).alias("most")
+    )
+    names = ("median", "p25", "p75", "p90")
+    return plain.join(quantiles, "status", "left").select(*plain.columns, *(F.round(x, 6).alias(x) for x in names))
 
 
 @C.add(
@@ -176,7 +181,9 @@ def a17_reward_summary(spark, folder):
     reward = R.sane(R.geometric_reward(scd))
     by = scores(spark, folder).select("run", "status", scd.alias("scd"), reward.alias("reward"))
     stages = by.groupBy("run", "status").agg(F.count("*").alias("n")).groupBy("run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("status", "n"))), lambda x: F.concat_ws("=", x["status"], x["n"])), ", ").alias("stages"))
-    return by.groupBy("run").agg(F.count_if(F.col("reward") > 0).alias("n_nonzero"), F.round(F.avg("reward"), 6).alias("mean"), F.round(F.median("scd"), 6).alias("median_scd")).join(stages, "run")
+    medians = M.group_quantiles(by, "run", "scd", {"median_scd": 0.5}).select("run", F.round("median_scd", 6).alias("median_scd"))
+    plain = by.groupBy("run").agg(F.count_if(F.col("reward") > 0).alias("n_nonzero"), F.round(F.avg("reward"), 6).alias("mean"))
+    return plain.join(medians, "run", "left").join(stages, "run")
 
 
 @C.add(f"with f as (select source, {N_ENTITIES.format('step')} as n, if(contains(step, 'END-ISO-10303-21;') and {N_ENTITIES.format('step')} >= 138, 0.2, 0.0) as r from train_with_rag) select source, count_if(r > 0) as n_nonzero, round(avg(r), 6) as mean, round(avg(n), 6) as mean_entities from f group by source")
@@ -198,10 +205,13 @@ def a19_epoch_summary(spark, folder):
     arg_max(lr, step) as last_lr, arg_max(value, step) as last_loss from losses group by run"""
 )
 def a20_run_peaks(spark, folder):
-    return losses(spark, folder).groupBy("run").agg(
-        M.percentile(F.col("value"), 0.95).alias("p95"), F.max("value").alias("most"), F.round(F.avg("value"), 6).alias("mean"), F.max("lr").alias("peak_lr"),
+    log = losses(spark, folder)
+    p95 = M.group_quantiles(log, "run", "value", {"p95": 0.95}).select("run", F.round("p95", 6).alias("p95"))
+    plain = log.groupBy("run").agg(
+        F.max("value").alias("most"), F.round(F.avg("value"), 6).alias("mean"), F.max("lr").alias("peak_lr"),
         F.max_by("step", F.struct("lr", -F.col("step"))).alias("peak_step"), F.max_by("lr", "step").alias("last_lr"), F.max_by("value", "step").alias("last_loss"),
     )
+    return plain.join(p95, "run", "left")
 
 
 @C.add(f"with {_EPOCHS} select doc_id, epoch, round(avg - min, 6) as below, round(max - avg, 6) as above from epochs")
@@ -260,8 +270,8 @@ def a25_tally(spark, folder):
 
 @C.add(f"with {LOSSES} select run, step, round(avg(value) over (partition by run order by ts, step rows between 99 preceding and current row), 8) as mean from losses")
 def w01_trailing_mean(spark, folder):
-    by = Window.partitionBy("run").orderBy("ts", "step")
-    return losses(spark, folder).select("run", "step", W.trailing_mean(F.col("value"), by).alias("mean"))
+    day = F.date_trunc("day", "ts")
+    return W.trailing_mean(losses(spark, folder), "run", ["ts", "step"], day, "value").select("run", "step", "mean")
 
 
 _RUNNING = f"""{SCORES}, w as (select run, idx, round(avg((scd is not null)::int) over o, 6) as rr, round(median(if({FINITE}, scd, null)) over o, 6) as mscd from scores
@@ -276,8 +286,8 @@ def running(spark, folder) -> DataFrame:
 
 @C.add(f"with {_RUNNING} select run, idx, rr from w")
 def w02_running_rate(spark, folder):
-    by = Window.partitionBy("run").orderBy("idx")
-    return scores(spark, folder).select("run", "idx", W.running_rate(F.col("scd").isNotNull(), by).alias("rr"))
+    found = W.running_rate(scores(spark, folder), "run", ["idx"], W.stretch(F.col("idx")), F.col("scd").isNotNull())
+    return found.select("run", "idx", F.col("rate").alias("rr"))
 
 
 @C.add(f"with {_RUNNING} select run, idx, mscd from w")
@@ -313,7 +323,7 @@ def channels(spark, folder) -> DataFrame:
 @C.add(f"with {_CHANNELS}" + _STREAK.format("run", "c", 5, 8))
 def w05_zero_streaks(spark, folder):
     log = channels(spark, folder)
-    return W.zero_streaks(log, "run", ["step"], F.col("counts"), F.col("resets"), 5, 8).select("run", "step", "streak", "alarm")
+    return W.zero_streaks(log, "run", "step", W.stretch(F.col("step")), F.col("counts"), F.col("resets"), 5, 8).select("run", "step", "streak", "alarm")
 
 
 @C.add((f"with {_CHANNELS}" + _STREAK.format("run", "c", 5, 8)).replace("select run, step, streak", "select run::varchar as run, step as seq, streak"))
@@ -330,7 +340,7 @@ def w05_streaming_alarms(spark, folder):
 @C.add(f"with {LOSSES}, c as (select *, loss = 0 as counts, not isnan(loss) and loss <> 0 as resets from losses)" + _STREAK.format("run", "c", 2, 3).replace("case when not counts", "case when isnan(loss) then 'stop' when not counts"))
 def w06_loss_guard(spark, folder):
     log, loss = losses(spark, folder), F.col("loss")
-    out = W.zero_streaks(log, "run", ["step"], loss == 0, ~F.isnan(loss) & (loss != 0), 2, 3)
+    out = W.zero_streaks(log, "run", "step", W.stretch(F.col("step")), loss == 0, ~F.isnan(loss) & (loss != 0), 2, 3)
     return out.select("run", "step", "streak", F.when(F.isnan(loss) | (F.abs(loss) == float("inf")), "stop").otherwise(F.col("alarm")).alias("alarm"))
 
 

@@ -120,7 +120,7 @@ def test_streaks(spark):
     rows = [("r", i, *x) for i, x in enumerate([(0.0, 0.0)] * 4 + [(None, None), (0.0, None), (0.0, 0.0), (1.0, 0.0), (0.0, 0.0)])]
     log = spark.createDataFrame(rows, "run string, i int, p double, s double")
     some, fires = F.col("p").isNotNull() | F.col("s").isNotNull(), (F.coalesce("p", F.lit(0.0)) != 0) | (F.coalesce("s", F.lit(0.0)) != 0)
-    out = windows.zero_streaks(log, "run", ["i"], some & ~fires, fires, 5, 8).orderBy("i").collect()
+    out = windows.zero_streaks(log, "run", "i", windows.stretch(F.col("i"), 3), some & ~fires, fires, 5, 8).orderBy("i").collect()
     assert [r.streak for r in out] == [1, 2, 3, 4, 4, 5, 6, 0, 1]
     assert [r.alarm for r in out].count("warn") == 1 and out[5].alarm == "warn"
 
@@ -230,7 +230,7 @@ def test_streaming_alarms_equal_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     got = [(r.seq, r.streak, r.alarm) for r in spark.table("alarms").orderBy("seq").collect()]
-    batch = windows.zero_streaks(log, "run", ["seq"], F.col("counts"), F.col("resets"), 5, 6).orderBy("seq").collect()
+    batch = windows.zero_streaks(log, "run", "seq", windows.stretch(F.col("seq"), 2), F.col("counts"), F.col("resets"), 5, 6).orderBy("seq").collect()
     assert got == [(r.seq, r.streak, r.alarm) for r in batch]
 
 
