@@ -199,6 +199,15 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _CONTENT + "select field, ra as row_id_a, rb as row_id_b from measured where c >= 0.8 * greatest(na, nb)",
+        "p2_groups": _CONTENT.replace("with plain", "with recursive plain", 1) + """, edge as (
+          select field, ra as a, rb as b, c = na and na = nb as same from measured where c >= 0.8 * greatest(na, nb)
+        ), both_ways as (select * from edge union all select field, b, a, same from edge
+        ), reach as (
+          select field, row_id as a, row_id as b from size union select r.field, r.a, e.b from reach r join both_ways e on e.field = r.field and e.a = r.b
+        ), links as (select field, a, count(*) as n_links, min(if(same, b, a)) as least from both_ways group by all
+        ), grouped as (select field, a, min(b) as group_id from reach group by all)
+        select g.field, g.a as row_id, least(g.a, coalesce(l.least, g.a)) as class_id, group_id, coalesce(n_links, 0)::bigint as n_links
+        from grouped g left join links l on l.field = g.field and l.a = g.a""",
         "p3_found": _CONTENT + _SPLIT + "select distinct field, ra as row_id_a, rb as row_id_b from hit",
         "p4_found": """select t.row_id, s.field from train_with_rag t, (values ('step'), ('retrieved_step')) s(field)
           join size_specs z on z.target = 'train_with_rag.' || s.field where length(if(s.field = 'step', step, retrieved_step)) > max_size""",
