@@ -21,6 +21,7 @@ MINIMAL_HEADER = (
 SYSTEM = "You are a CAD model generation assistant trained to produce STEP (.step) files based on textual descriptions. "
 WITH_RETRIEVAL = "Given the following object description and relevant retrieved CAD data, generate a STEP file that accurately represents the described object."
 WITHOUT_RETRIEVAL = "Given the following object description, generate a STEP file that accurately represents the described object."
+LEGACY_SYSTEM = "Given the object description and relevant CAD data, generate the corresponding STEP file."
 #: Entity types that a topology summary leaves out; fixed values.
 HEADER_TYPES = (
     "APPLICATION_PROTOCOL_DEFINITION", "APPLICATION_CONTEXT", "SHAPE_DEFINITION_REPRESENTATION", "PRODUCT_DEFINITION_SHAPE",
@@ -159,6 +160,11 @@ def prompt(caption: Column, retrieved: Column) -> Column:
     return F.when(F.coalesce(retrieved, F.lit("")) == "", plain).otherwise(chat_prompt(caption, retrieved))
 
 
+def legacy_prompt(system: str, caption: Column, retrieved: Column) -> Column:
+    """The prompt with role marks of the first format."""
+    return F.concat(F.lit(f"<|system|>\n{system}\n<|user|>\ncaption: "), caption, F.lit("\nretrieved step file:\n"), retrieved, F.lit("\n<|assistant|>\n"))
+
+
 def last_line(text: Column) -> Column:
     """The last line that is not blank, trimmed; null if there is none."""
     return F.try_element_at(F.filter(F.transform(lines(text), trim_space), lambda x: x != ""), F.lit(-1))

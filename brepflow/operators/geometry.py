@@ -8,18 +8,36 @@ is bundled, and a text whose mesh cannot be made has the status ``backend_missin
 from __future__ import annotations
 
 import multiprocessing
+import re
+import struct
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brepflow.functions.text import has_terminator
+from brepflow.session import stage
+
 #: Limits of the geometric reward, and the parts of the others; fixed values.
 LOW, HIGH, PARSE_REWARD, FORMAT_REWARD, MIN_FORMAT_ENTITIES, MIN_TRIANGLES, MIN_POINTS = 0.01, 0.50, 0.3, 0.2, 138, 4, 10
 MeshBackend = Callable[[str], "np.ndarray | None"]
 
 
+@dataclass(frozen=True)
+class RewardConfig:
+    """What a geometric reward depends on; fixed values."""
+
+    n_points: int = 2000
+    delta_low: float = LOW
+    delta_high: float = HIGH
+    bidirectional: bool = True
+    scale_prenorm: bool = True
+    deflection: float | None = None
+
+
 def points(v: Column, n: int = 21) -> Column:
     """The first 3n numbers of a vector as n points."""
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.transform(F.slice(v, i * 3 + 1, F.lit(3)), lambda x: x.cast("double")))
@@ -130,9 +148,10 @@ def cross(p: Column, q: Column, r: Column) -> list[Column]:
     return [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
 
 
-def geometric_reward(scd: Column) -> Column:
-    """1 up to LOW, 0 from HIGH on, linear between."""
-    return F.when(scd <= LOW, 1.0).when(scd >= HIGH, 0.0).otherwise((HIGH - scd) / (HIGH - LOW))
+def geometric_reward(scd: Column, config: RewardConfig = RewardConfig()) -> Column:
+    """1 up to the low limit, 0 from the high one on, linear between."""
+    low, high = config.delta_low, config.delta_high
+    return F.when(scd <= low, 1.0).when(scd >= high, 0.0).otherwise((high - scd) / (high - low))
 
 
 def parse_reward(terminated: Column, triangles: Column, distinct_points: Column) -> Column:
@@ -155,9 +174,9 @@ def fail_stage(terminated: Column, pred_points: Column, pred_triangles: Column,
     )
 
 
-def full_reward(stage: Column, scd: Column) -> Column:
+def full_reward(stage: Column, scd: Column, config: RewardConfig = RewardConfig()) -> Column:
     """The geometric reward where all stages hold; NaN where the other side failed; else 0."""
-    return F.when(stage == "ok", geometric_reward(scd)).when(stage.isin("gt_parse", "gt_degenerate", "scd_nonfinite"), float("nan")).otherwise(0.0)
+    return F.when(stage == "ok", geometric_reward(scd, config)).when(stage.isin("gt_parse", "gt_degenerate", "scd_nonfinite"), float("nan")).otherwise(0.0)
 
 
 def sane(x: Column) -> Column:
@@ -252,3 +271,91 @@ def clouds(texts: DataFrame, backend: MeshBackend | None, n: int = 2000) -> Data
     distinct = texts.select("text").filter("text is not null").withColumn("text_hash", F.sha2("text", 256)).dropDuplicates(["text_hash"])
     seeded = distinct.withColumn("seed", F.conv(F.substring("text_hash", 1, 8), 16, 10).cast("bigint"))
     return seeded.mapInArrow(run, "text_hash string, status string, n_triangles int, cloud array<array<double>>")
+
+
+_POINT = re.compile(r"CARTESIAN_POINT\s*\(\s*'[^']*'\s*,\s*\(([^()]*)\)", re.I)
+
+
+def point_fan(text: str) -> np.ndarray | None:
+    """A stand-in back end where no CAD kernel is at hand: triangles of each three consecutive points of a text, None for fewer."""
+    found = [p.split(",") for p in _POINT.findall(text)]
+    try:
+        p = np.array([[float(x) for x in q] for q in found if len(q) == 3])
+    except ValueError:
+        return None
+    return np.stack([p[:-2], p[1:-1], p[2:]], axis=1) if len(p) >= 3 else None
+
+
+def scored_texts(pairs: DataFrame, backend: MeshBackend | None, config: RewardConfig = RewardConfig(), share: float = 1.0) -> DataFrame:
+    """R01, R02, R04, R07 to R09, R11, R13, R15 chained over (id, pred, gt): (id, stage, n_triangles, scd, reward, parse).
+
+    Each distinct text is meshed and sampled once, by its content's seed. A pair's clouds are brought to the truth's
+    centroid and, with ``scale_prenorm``, to its RMS scale, registered by ICP and compared; only clouds of
+    ``n_points`` points meet by a join on the texts' hashes.
+    """
+    texts = pairs.select(F.explode(F.array("pred", "gt")).alias("text"))
+    made = stage(clouds(texts, backend, config.n_points), "clouds")
+    keyed = pairs.select("id", has_terminator(F.col("pred")).alias("terminated"), F.sha2("pred", 256).alias("pred_hash"), F.sha2("gt", 256).alias("gt_hash"))
+    side = lambda name: made.select(F.col("text_hash").alias(f"{name}_hash"), F.col("n_triangles").alias(f"{name}_triangles"), F.col("cloud").alias(name))
+    both = keyed.join(side("pred"), "pred_hash", "left").join(side("gt"), "gt_hash", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scd: list[float | None] = []
+            distinct: list[tuple[int | None, int | None]] = []
+            for a, b in zip(batch.column("pred").to_pylist(), batch.column("gt").to_pylist()):
+                x, y = (None if c is None else np.array(c, float) for c in (a, b))
+                distinct.append(tuple(None if c is None else len(np.unique(c[:64], axis=0)) for c in (x, y)))
+                scd.append(None if x is None or y is None else _aligned_scd(x, y, config, share))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c) for c in ("id", "terminated", "pred_triangles", "gt_triangles")), pa.array(scd, pa.float64()),
+                    *(pa.array([d[k] for d in distinct], pa.int32()) for k in range(2)),
+                ],
+                ["id", "terminated", "pred_triangles", "gt_triangles", "scd", "pred_points", "gt_points"],
+            )
+
+    kind = dict(pairs.dtypes)["id"]
+    columns = ("id", "terminated", "pred_triangles", "gt_triangles", "pred", "gt")
+    schema = f"id {kind}, terminated boolean, pred_triangles int, gt_triangles int, scd double, pred_points int, gt_points int"
+    found = both.select(*columns).mapInArrow(run, schema)
+    c = F.col
+    failed = fail_stage(c("terminated"), c("pred_points"), c("pred_triangles"), c("gt_points"), c("gt_triangles"), c("scd"))
+    parse = parse_reward(c("terminated"), F.coalesce("pred_triangles", F.lit(0)), F.coalesce("pred_points", F.lit(0)))
+    out = found.select("id", failed.alias("stage"), F.coalesce("pred_triangles", F.lit(0)).alias("n_triangles"), "scd", F.coalesce(parse, F.lit(0.0)).alias("parse"))
+    return out.withColumn("reward", full_reward(c("stage"), c("scd"), config))
+
+
+def _aligned_scd(x: np.ndarray, y: np.ndarray, config: RewardConfig, share: float) -> float:
+    """The scaled Chamfer distance after registration; infinite for a truth without extent."""
+    x, y = x - x.mean(0), y - y.mean(0)
+    own, scale = (float(np.sqrt((c**2).sum(1).mean())) for c in (x, y))
+    if scale < 1e-8:
+        return float("inf")
+    if config.scale_prenorm and own >= 1e-8:
+        x = x * (scale / own)
+    limit = share * scale
+    x = registered(x, y, (limit, limit / 2, limit / 4))
+    return (blocked_mean(x, y) + (blocked_mean(y, x) if config.bidirectional else 0.0)) / scale**2
+
+
+def stl(triangles: DataFrame, column: str = "triangles") -> DataFrame:
+    """The rows' triangles as binary STL files: (id, stl): a head of 80 bytes, their number, and 50 bytes for each; null for null."""
+    facet = np.dtype([("normal", "<f4", 3), ("corners", "<f4", (3, 3)), ("more", "<u2")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[bytes | None] = []
+            for mesh in batch.column(column).to_pylist():
+                if mesh is None:
+                    out.append(None)
+                    continue
+                t = np.array(mesh or np.empty((0, 3, 3)), np.float64)
+                normal = np.cross(t[:, 1] - t[:, 0], t[:, 2] - t[:, 0])
+                size = np.linalg.norm(normal, axis=1, keepdims=True)
+                rows = np.zeros(len(t), facet)
+                rows["normal"], rows["corners"] = np.divide(normal, size, out=np.zeros_like(normal), where=size > 0), t
+                out.append(bytes(80) + struct.pack("<I", len(t)) + rows.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "stl"])
+
+    return triangles.select("id", column).mapInArrow(run, f"id {dict(triangles.dtypes)['id']}, stl binary")

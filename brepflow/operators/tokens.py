@@ -6,10 +6,11 @@ own id) need neither a vocabulary nor Python.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MASK = -100
@@ -77,3 +78,17 @@ def generation_budget(prompt_tokens: Column, most: int) -> Column:
 def unmasked_share(row: Column) -> Column:
     """A23"""
     return F.round(F.try_divide(F.size(F.filter(row, lambda x: x != MASK)), F.size(row)), 6)
+
+
+def formatted(spark: SparkSession, folder: str, parameters: tuple[str, ...], make: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
+    """The rows that ``make`` gives, kept in ``folder`` under the key of the parameters; and whether they were there.
+
+    The writer's success mark is the ready flag: rows without it were left by a run that failed, and are made anew.
+    """
+    key = hashlib.sha256("|".join(parameters).encode()).hexdigest()
+    path = f"{folder.rstrip('/')}/{key}"
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    ready = mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+    if not ready:
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path), ready

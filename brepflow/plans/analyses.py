@@ -14,7 +14,8 @@ from brepflow.operators import windows as W
 from brepflow.plans.corpora import _EPOCHS, N_ENTITIES, epochs
 from brepflow.plans.registry import Catalog
 from brepflow.plans.texts import train, trimmed
-from brepflow.session import scratch, table
+from brepflow.session import scratch, spread, table
+from brepflow.sources import files as S
 from brepflow.streaming.alarms import streak_alarms
 
 C = Catalog()
@@ -359,6 +360,17 @@ def k01_truncated_retrieval(spark, folder):
     return train(spark, folder).filter("retrieved_step is not null").select("row_id", F.array_join(F.slice(T.words(F.col("retrieved_step")), 1, 50), " ").alias("cut"))
 
 
+@C.add("select row_id, md5(concat_ws('|', caption, retrieved_caption)) as prompt, true as reused from train_with_rag")
+def k07_formatted(spark, folder):
+    """Prompts formatted once and read again under their parameters' key; other parameters have another key."""
+    base = scratch(spark, "formatted")
+    make = lambda: train(spark, folder).select("row_id", F.md5(F.concat_ws("|", "caption", "retrieved_caption")).alias("prompt"))
+    _, fresh = K.formatted(spark, base, (folder, "512", "v1"), make)
+    rows, reused = K.formatted(spark, base, (folder, "512", "v1"), make)
+    _, other = K.formatted(spark, base, (folder, "256", "v1"), make)
+    return rows.withColumn("reused", F.lit(reused and not fresh and not other))
+
+
 @C.add(f"with {_ROWS} select row_id, k from k")
 def k02_after_header(spark, folder):
     return token_rows(spark, folder).select("row_id", K.after_header(F.col("ids"), HEADER).alias("k"))
@@ -438,6 +450,30 @@ def r02_sampled_points(spark, folder):
     return R.sampled_points(c.withColumn("seed", F.col("id")), 64).select("id", F.size("cloud").alias("n"), F.md5(F.to_json("cloud")).alias("cloud"))
 
 
+@C.add("select vec_id as id, 84 + 50 * 7 as n_bytes, 7::bigint as n_triangles from embeddings")
+def s21_stl(spark, folder):
+    """The seven triangles of each cloud as STL files; the number of triangles is read from the files."""
+    c = clouds(spark, folder).select("id", F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.slice(F.col("cloud"), i * 3 + 1, F.lit(3))).alias("triangles"))
+    return R.stl(c).select("id", F.octet_length("stl").alias("n_bytes"), F.conv(F.substring(F.hex("stl"), 161, 2), 16, 10).cast("bigint").alias("n_triangles"))
+
+
+@C.add("select n_points, delta_low, delta_high, bidirectional, scale_prenorm, deflection from (values (500, 0.02::double, 0.25::double, true, true, null::double)) v(n_points, delta_low, delta_high, bidirectional, scale_prenorm, deflection)")
+def r16_reward_config(spark, folder):
+    """A reward's settings read from a nested configuration over their defaults."""
+    config = S.load_config("rl:\n  reward:\n    n_points: 500\n    delta_low: '0.02'\n    delta_high: 0.25\n")
+    given = {k.removeprefix("rl.reward."): v for k, v in config.items()}
+    made = R.RewardConfig(int(given["n_points"]), float(given["delta_low"]), float(given["delta_high"]))
+    return spark.createDataFrame([tuple(vars(made).values())], "n_points int, delta_low double, delta_high double, bidirectional boolean, scale_prenorm boolean, deflection double")
+
+
+@C.add()
+def r13_scored_texts(spark, folder):
+    """Whole scoring of each text against its retrieved one; triangles of consecutive points stand for the mesh that no kernel makes here."""
+    pairs = spread(train(spark, folder).select(F.col("row_id").alias("id"), F.col("step").alias("pred"), F.col("retrieved_step").alias("gt")), "id")
+    found = R.scored_texts(pairs, R.point_fan, R.RewardConfig(n_points=128))
+    return found.select("id", "stage", "n_triangles", F.round("scd", 6).alias("scd"), "parse", F.round("reward", 6).alias("reward"))
+
+
 @C.add()
 def r07_registered(spark, folder):
     found = R.registered_pairs(cloud_pairs(spark, folder))

@@ -130,6 +130,26 @@ def s13_format_marker(spark, folder):
     return spark.createDataFrame(rows, "style string, accepted boolean")
 
 
+@C.add(
+    f"""select row_number() over (order by row_id) as place, caption, coalesce(contains(step, 'END-ISO-10303-21;'), false) as complete, coalesce({N_ENTITIES.format('step')}, 0) as n_generated,
+    coalesce({N_ENTITIES.format('retrieved_step')}, 0) as n_gt from train_with_rag order by row_id limit 20"""
+)
+def s20_case_report(spark, folder):
+    """A report of the first twenty cases (the limit is the feature), read back from its JSON."""
+    to = scratch(spark, "report")
+    cases = train(spark, folder).orderBy("row_id").limit(20).select("caption", F.col("step").alias("generated"), F.col("retrieved_step").alias("gt"))
+    S.write_case_report("Cases", cases, to)
+    back = spark.read.schema("cases array<struct<caption:string,complete:boolean,n_generated:bigint,n_gt:bigint>>").json(f"{to}.json", multiLine=True)
+    return back.select(F.posexplode("cases").alias("place", "c")).select((F.col("place") + 1).cast("bigint").alias("place"), "c.*")
+
+
+@C.add("select * from (values ('a.b', 'x y'), ('a.c.0', '1'), ('a.c.1', '2'), ('a.d', 'it''s # one'), ('a.e', 'fallback/z'), ('n', '4'), ('l.0', 'p'), ('l.1', 'q: r')) v(key, value)")
+def s23_config(spark, folder):
+    """A nested configuration with lists, quotes, comments, the environment and an override."""
+    text = "a:\n  b: x y  # plain\n  c: [1, 2]\n  d: 'it''s # one'\n  e: ${oc.env:BREPFLOW_NOT_SET,fallback}/z\nn: 3\nl:\n  - p\n  - \"q: r\"\n"
+    return spark.createDataFrame(list(S.load_config(text, {"n": "4"}).items()), "key string, value string")
+
+
 _MISSING = ", ".join(map(quoted, S.MISSING))
 
 

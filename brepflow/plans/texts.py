@@ -133,6 +133,11 @@ C.add(
     from u left join top using (row_id)""",
     "t25_topology",
 )(lambda spark, folder: T.topology(train(spark, folder)))
+@C.add(f"select row_id, md5({quoted(f'<|system|>{chr(10)}{T.LEGACY_SYSTEM}{chr(10)}<|user|>{chr(10)}caption: ')} || caption || {quoted(chr(10) + 'retrieved step file:' + chr(10))} || retrieved_step || {quoted(chr(10) + '<|assistant|>' + chr(10))}) as prompt from train_with_rag")
+def t22_legacy_prompt(spark, folder):
+    return train(spark, folder).select("row_id", F.md5(T.legacy_prompt(T.LEGACY_SYSTEM, F.col("caption"), F.col("retrieved_step"))).alias("prompt"))
+
+
 _per_row("t26_content_seed", "('0x' || substr(sha256(step), 1, 8))::bigint as seed", lambda s: {"seed": T.content_seed(s)})
 _per_row(
     "t27_cache_key", "sha256(concat_ws('|', '2000', 'None', step)) as key",

@@ -15,6 +15,7 @@ from pyarrow.fs import FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brepflow.functions import text as T
 from brepflow.sources import shared
 
 CAPTIONS = "uid string, abstract string, beginner string, intermediate string, expert string"
@@ -234,27 +235,94 @@ def unmatched(routed: DataFrame) -> DataFrame:
     return routed.agg(F.count("*").alias("n"), F.count_if(F.col("split") == "unmatched").alias("n_unmatched"), share.alias("share"), (share > 0.05).alias("warn"))
 
 
+_QUOTED = re.compile(r"""\s*(?:"((?:[^"\\]|\\.)*)"|'((?:[^']|'')*)')\s*(?:#.*)?\Z""")
+_ENV = re.compile(r"\$\{oc\.env:(\w+)(?:,([^}]*))?\}")
+
+
+def _scalar(text: str) -> str:
+    """A value without its quotes or its comment; the environment is read outside single quotes."""
+    if m := _QUOTED.match(text):
+        if m.group(1) is None:
+            return m.group(2).replace("''", "'")
+        text = re.sub(r"\\(.)", r"\1", m.group(1))
+    else:
+        text = re.sub(r"(?:^|\s)#.*", "", text).strip()
+    return os.path.expandvars(_ENV.sub(lambda m: os.environ.get(m.group(1), m.group(2) or ""), text))
+
+
 def load_config(text: str, overrides: dict[str, str] | None = None) -> dict[str, str]:
-    """Dotted keys of ``key: value`` lines indented by level, ``${oc.env:NAME}`` and ``$NAME`` expanded; overrides win."""
+    """Dotted keys of a nested configuration; overrides win.
+
+    ``key: value`` lines indented by level; items of a list (``- item`` lines or ``[a, b]``) have their places as
+    keys; ``${oc.env:NAME,default}`` and ``$NAME`` are read from the environment.
+    """
     out: dict[str, str] = {}
     path: list[tuple[int, str]] = []
+    places: dict[str, int] = {}
     for line in text.splitlines():
-        body = line.split(" #")[0].rstrip()
-        if not body.strip() or body.lstrip().startswith("#") or ":" not in body:
+        body = line.strip()
+        if not body or body.startswith("#"):
             continue
-        indent = len(body) - len(body.lstrip())
-        key, _, value = body.strip().partition(":")
-        path = [p for p in path if p[0] < indent] + [(indent, key)]
-        if value.strip():
-            plain = re.sub(r"\$\{oc\.env:(\w+)(?:,([^}]*))?\}", lambda m: os.environ.get(m.group(1), m.group(2) or ""), value.strip().strip("'\""))
-            out[".".join(k for _, k in path)] = os.path.expandvars(plain)
+        indent = len(line) - len(line.lstrip())
+        if body.startswith("- "):
+            path = [p for p in path if p[0] < indent or not p[1].isdigit() and p[0] == indent]
+            parent = ".".join(k for _, k in path)
+            place = places.get(parent, 0)
+            places[parent] = place + 1
+            out[f"{parent}.{place}"] = _scalar(body[2:])
+            continue
+        key, colon, value = body.partition(":")
+        if not colon:
+            continue
+        path = [p for p in path if p[0] < indent] + [(indent, key.strip())]
+        name = ".".join(k for _, k in path)
+        value = value.strip()
+        if value.startswith("[") and value.endswith("]"):
+            out |= {f"{name}.{i}": _scalar(x) for i, x in enumerate(filter(None, map(str.strip, value[1:-1].split(","))))}
+        elif value and not value.startswith("#"):
+            out[name] = _scalar(value)
     return out | (overrides or {})
 
 
+def _escaped(x: object) -> str:
+    return str(x).replace("&", "&amp;").replace("<", "&lt;")
+
+
 def report(title: str, rows: DataFrame) -> str:
     """An HTML table of (few, aggregated) rows."""
-    escape = lambda x: str(x).replace("&", "&amp;").replace("<", "&lt;")
-    head = "".join(f"<th>{escape(c)}</th>" for c in rows.columns)
-    body = "".join("<tr>" + "".join(f"<td>{escape(v)}</td>" for v in r) + "</tr>" for r in rows.collect())
-    return f"<h1>{escape(title)}</h1><table><tr>{head}</tr>{body}</table>"
+    head = "".join(f"<th>{_escaped(c)}</th>" for c in rows.columns)
+    body = "".join("<tr>" + "".join(f"<td>{_escaped(v)}</td>" for v in r) + "</tr>" for r in rows.collect())
+    return f"<h1>{_escaped(title)}</h1><table><tr>{head}</tr>{body}</table>"
 
+
+def write_case_report(title: str, cases: DataFrame, path: str) -> dict:
+    """An inference report of few cases, as ``path``.json and ``path``.html; returns its summary.
+
+    ``cases`` are rows of (caption, generated, gt). Each case has its caption, whether it is complete, the entities on
+    both sides, and the types of both sides with their counts; counting is done by the executors.
+    """
+    types = lambda c: T.type_counts(F.col(f"{c}_types"))
+    found = cases.select(
+        "caption", F.coalesce(T.has_terminator(F.col("generated")), F.lit(False)).alias("complete"),
+        *(F.coalesce(T.entity_count(F.col(c)), F.lit(0)).alias(f"n_{c}") for c in ("generated", "gt")),
+        *(F.coalesce(T.entity_types(F.col(c)), F.array().cast("array<string>")).alias(f"{c}_types") for c in ("generated", "gt")),
+    )
+    rows = found.select("caption", "complete", "n_generated", "n_gt", types("generated").alias("generated"), types("gt").alias("gt")).collect()
+    listed_cases = []
+    for r in rows:
+        sides = [{t["type"]: t["n"] for t in side} for side in (r["generated"], r["gt"])]
+        topology = [{"type": t, "generated": sides[0].get(t, 0), "gt": sides[1].get(t, 0)} for t in sorted({*sides[0], *sides[1]})]
+        listed_cases.append({"caption": r["caption"], "complete": r["complete"], "n_generated": r["n_generated"], "n_gt": r["n_gt"], "topology": topology})
+    n = len(rows)
+    summary = {"n": n, "completion_rate": sum(r["complete"] for r in rows) / n if n else 0.0, "mean_entities": sum(r["n_generated"] for r in rows) / n if n else 0.0}
+    parts = [f"<h1>{_escaped(title)}</h1>", f"<p>{n} cases, completion rate {summary['completion_rate']:.3f}, {summary['mean_entities']:.1f} entities on average</p>"]
+    for i, case in enumerate(listed_cases, 1):
+        lines = "".join(f"<tr><td>{_escaped(t['type'])}</td><td>{t['generated']}</td><td>{t['gt']}</td></tr>" for t in case["topology"])
+        state = "complete" if case["complete"] else "cut off"
+        parts.append(f"<h2>Case {i} ({state})</h2><p>{_escaped(case['caption'] or '')}</p><table><tr><th>type</th><th>generated</th><th>truth</th></tr>{lines}</table>")
+    fs, to = shared.opened(shared.qualified(cases.sparkSession, path))
+    fs.create_dir(to.rpartition("/")[0], recursive=True)
+    for suffix, content in ((".json", json.dumps({"title": title, "summary": summary, "cases": listed_cases}, ensure_ascii=False)), (".html", "\n".join(parts))):
+        with fs.open_output_stream(to + suffix) as f:
+            f.write(content.encode())
+    return summary
