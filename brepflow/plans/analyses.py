@@ -345,6 +345,20 @@ def w06_loss_guard(spark, folder):
     return out.select("run", "step", "streak", F.when(F.isnan(loss) | (F.abs(loss) == float("inf")), "stop").otherwise(F.col("alarm")).alias("alarm"))
 
 
+@C.add((f"with {LOSSES}, c as (select *, loss = 0 as counts, not isnan(loss) and loss <> 0 as resets from losses)" + _STREAK.format("run", "c", 2, 3).replace("case when not counts", "case when isnan(loss) then 'stop' when not counts")).replace("select run, step, streak", "select run::varchar as run, step as seq, streak"))
+def w06_streaming_guard(spark, folder):
+    """The loss guard over a stream of the log, stops included."""
+    source, sink = scratch(spark, "losses"), scratch(spark, "guard")
+    loss = F.col("loss")
+    log = losses(spark, folder).select(
+        F.col("run").cast("string").alias("run"), F.col("step").alias("seq"), (loss == 0).alias("counts"), (~F.isnan(loss) & (loss != 0)).alias("resets"), (F.isnan(loss) | (F.abs(loss) == float("inf"))).alias("stops")
+    )
+    log.write.parquet(source)
+    stream = streak_alarms(spark.readStream.schema(log.schema).parquet(source), 2, 3)
+    stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(sink)
+
+
 @C.add("select user_id % 7 as run, max(event_id) as step, 'run/checkpoint-' || max(event_id) as latest from events group by 1")
 def w07_latest_checkpoint(spark, folder):
     paths = table(spark, folder, "events").select((F.col("user_id") % 7).alias("run"), F.concat(F.lit("run/checkpoint-"), F.col("event_id")).alias("path"))
