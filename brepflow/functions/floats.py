@@ -12,19 +12,33 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SKIP_OR_FLOAT = re.compile(r"('[^']*(?:''[^']*)*')|(-?(?:\d+\.\d*|\.\d+))([Ee][+-]?\d+)?")
+_REAL = r"-?(?:\d+\.\d*|\.\d+)(?:[Ee][+-]?\d+)?"
+_LITERAL = r"'[^']*(?:''[^']*)*'"
+#: Cuts a text into what is kept and, at the odd places, literals and reals (with the ``#`` before them, where that guards them).
+_CUT = {True: re.compile(f"({_LITERAL}|#?{_REAL})"), False: re.compile(f"({_LITERAL}|{_REAL})")}
+#: Numbers that a process remembers; forgetting costs time only.
+_MEMO_MOST = 500_000
+_memo: dict[str, str] = {}
+
+
+def _normal(token: str) -> str:
+    """A real at six decimals, its exponent kept; literals and guarded reals as they are."""
+    if token[0] in "'#":
+        return token
+    found = _memo.get(token)
+    if found is None:
+        mantissa, mark, exponent = token.replace("e", "E").partition("E")
+        if len(_memo) >= _MEMO_MOST:
+            _memo.clear()
+        found = _memo[token] = f"{round(float(mantissa), 6):.6f}" + mark + exponent
+    return found
 
 
 def normalise(text: str, guard: bool = True) -> str:
-    """Each real at six decimals, its exponent kept. With ``guard``, not directly after ``#``."""
-
-    def one(m: re.Match) -> str:
-        if m.group(1) is not None or (guard and m.start() and text[m.start() - 1] == "#"):
-            return m.group(0)
-        exponent = m.group(3)
-        return f"{round(float(m.group(2)), 6):.6f}" + (f"E{exponent[1:]}" if exponent else "")
-
-    return _SKIP_OR_FLOAT.sub(one, text)
+    """Each real at six decimals, its exponent kept. With ``guard``, not directly after ``#``. Numbers repeat, so each is formatted once."""
+    parts = _CUT[guard].split(text)
+    parts[1::2] = map(_normal, parts[1::2])
+    return "".join(parts)
 
 
 def _udf(guard: bool):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brepflow.functions import floats
 from brepflow.functions import text as T
 from brepflow.plans.registry import Catalog, quoted
-from brepflow.session import table
+from brepflow.session import spread, table
 
 C = Catalog()
 TOKENS = f"regexp_extract_all(step, {quoted(T.TOKEN)})"
@@ -27,11 +27,13 @@ def train(spark, folder) -> DataFrame:
     return table(spark, folder, "train_with_rag")
 
 
-def _per_row(query: str, sql: str | None, columns) -> None:
-    """A query of row_id and the columns that ``columns`` makes of the step, over all texts."""
+def _per_row(query: str, sql: str | None, columns, slow: bool = False) -> None:
+    """A query of row_id and the columns that ``columns`` makes of the step, over all texts; ``slow`` ones are spread over the cores first."""
 
     def run(spark, folder):
-        return train(spark, folder).select("row_id", *(c.alias(k) for k, c in columns(F.col("step")).items()))
+        texts = train(spark, folder)
+        texts = spread(texts.select("row_id", "step"), "row_id") if slow else texts
+        return texts.select("row_id", *(c.alias(k) for k, c in columns(F.col("step")).items()))
 
     C.add(sql and f"select row_id, {sql} from train_with_rag", query)(run)
 
@@ -84,8 +86,8 @@ def rounded(guard: bool) -> str:
     return f"md5(array_to_string(list_transform(regexp_extract_all(step, {quoted(tokens)}), lambda t: if(regexp_full_match(t, {quoted(_REAL)}), {mantissa}, t)), ''))"
 
 
-_per_row("t13_round_floats", rounded(True) + " as rounded", lambda s: {"rounded": F.md5(floats.round_floats(s))})
-_per_row("t14_round_floats_unguarded", rounded(False) + " as rounded", lambda s: {"rounded": F.md5(floats.round_floats_unguarded(s))})
+_per_row("t13_round_floats", rounded(True) + " as rounded", lambda s: {"rounded": F.md5(floats.round_floats(s))}, slow=True)
+_per_row("t14_round_floats_unguarded", rounded(False) + " as rounded", lambda s: {"rounded": F.md5(floats.round_floats_unguarded(s))}, slow=True)
 _per_row("t15_file_name", "replace(uid, '/', '_') || '.step' as name", lambda s: {"name": T.file_name(F.col("uid"))})
 _per_row("t16_normal_uid", "replace(uid, '_', '/') as normal", lambda s: {"normal": T.normal_uid(F.col("uid"))})
 _per_row(
