@@ -106,3 +106,9 @@ def test_long_runs_take_few_steps(word, library):
 @given(st.text(alphabet="ab-= ", min_size=1, max_size=80))
 def test_runs_equal_the_library(text):
     assert bpe.encoder(bpe.TOKENIZERS, bpe.NAME)([text])[0] == packing._counter(bpe.TOKENIZERS, bpe.NAME).encode_ordinary(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.characters(max_codepoint=127), max_size=60))
+def test_any_ascii_text(text):
+    assert bpe.encoder(bpe.TOKENIZERS, bpe.NAME)([text])[0] == packing._counter(bpe.TOKENIZERS, bpe.NAME).encode_ordinary(text)
