@@ -56,13 +56,6 @@ def references(text: str) -> tuple[list[int], list[int], list[int]]:
     return [n for n, _ in distinct], [m for _, m in distinct], list(map(int, defined))
 
 
-def unresolved(text: str) -> list[tuple[int, int]]:
-    """(statement, missing instance) for each reference that no statement of the text defines."""
-    sources, targets, defined = references(text)
-    missing = set(targets).difference(defined)
-    return sorted((n, m) for n, m in zip(sources, targets) if m in missing)
-
-
 def _literal_placeholders(text: str) -> tuple[str, list[str]]:
     kept: list[str] = []
 
