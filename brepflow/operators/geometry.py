@@ -63,10 +63,6 @@ def rms(cloud: Column, centre: list[Column]) -> Column:
     return F.sqrt(square / F.size(cloud))
 
 
-def centred(cloud: Column, centre: list[Column]) -> Column:
-    return F.transform(cloud, lambda p: F.array(*(p[k] - centre[k] for k in range(3))))
-
-
 def nearest_mean(a: Column, b: Column) -> Column:
     """Mean over a of the squared distance to the nearest point of b."""
 
