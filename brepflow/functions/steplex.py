@@ -19,22 +19,53 @@ from itertools import repeat
 #: A literal (with doubled quotes) or a comment; the group keeps one quote of a literal.
 LITERAL_OR_COMMENT = re.compile(r"(')[^']*(?:''[^']*)*(?:'|\Z)|/\*.*?(?:\*/|\Z)", re.S)
 _COMMENT_ONLY = re.compile(r"('[^']*(?:''[^']*)*(?:'|\Z))|/\*.*?(?:\*/|\Z)", re.S)
-_SECTION = re.compile(r"(?:\A|(?<=[;\s]))DATA\s*(?:\([^;]*\)\s*)?;(.*?)(?:(?<=[;\s])ENDSEC\s*;|\Z)", re.S | re.I)
+_DATA, _ENDSEC = re.compile(r"DATA\s*(?:\([^;]*\)\s*)?;"), re.compile(r"ENDSEC\s*;")
 _START_REF_OR_STOP = re.compile(r"(?:\A|(?<=;))#(\d+)=|#(\d+)(?!\d*=)|;")
 _FILE_STATEMENT = re.compile(
     r"(?:\A|(?<=;))\s*#\s*(\d+)\s*=\s*DOCUMENT_FILE\s*\(\s*'([^']*(?:''[^']*)*)'", re.I
 )
 
 
+def _found(upper: str, word: str, rest: re.Pattern, at: int) -> re.Match | None:
+    """The next keyword that stands at the start, or after a ``;`` or white space, and goes on as ``rest`` says."""
+    i = upper.find(word, at)
+    while i >= 0:
+        if (not i or upper[i - 1] == ";" or upper[i - 1].isspace()) and (m := rest.match(upper, i)):
+            return m
+        i = upper.find(word, i + 1)
+    return None
+
+
 def data_body(masked: str) -> str:
-    """The DATA sections of a text whose literals and comments are masked."""
-    found = _SECTION.findall(masked)
-    return "".join(found) if found else masked
+    """The DATA sections of a text whose literals and comments are masked; the text itself where there is none."""
+    upper = masked.upper()
+    if len(upper) != len(masked):  # characters of several capitals: places would not agree
+        upper = "".join(c if len(u := c.upper()) != 1 else u for c in masked)
+    parts: list[str] = []
+    at = 0
+    while opens := _found(upper, "DATA", _DATA, at):
+        closes = _found(upper, "ENDSEC", _ENDSEC, opens.end())
+        parts.append(masked[opens.end() : closes.start() if closes else len(masked)])
+        if not closes:
+            break
+        at = closes.end()
+    return "".join(parts) if parts else masked
+
+
+def bare(text: str) -> str:
+    """The text without comments and literal contents; one quote stays of each literal."""
+    if "/*" in text:
+        return LITERAL_OR_COMMENT.sub(r"\1", text)
+    parts = text.split("'")  # what lies outside literals is at the even places, but for doubled quotes
+    out = "'".join(parts[::2]) + ("'" if len(parts) % 2 == 0 else "")
+    while "''" in out:
+        out = out.replace("''", "'")
+    return out
 
 
 def compact(text: str) -> str:
     """The DATA statements without literal contents, comments and white space."""
-    return "".join(data_body(LITERAL_OR_COMMENT.sub(r"\1", text)).split())
+    return "".join(data_body(bare(text)).split())
 
 
 def references(text: str) -> tuple[list[int], list[int], list[int]]:

@@ -1,6 +1,8 @@
 """The STEP lexer against small cases."""
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from brepflow.functions import steplex as S
 
@@ -32,3 +34,34 @@ def test_odd_texts_have_no_orphans(text):
 def test_file_references_read_the_first_argument():
     text = body("#1=document_file('0000_00000007','',$);", "#2 = DOCUMENT_FILE ( 'it''s' , #1);", "#3=X('DOCUMENT_FILE(''a'')');", "/* #4=DOCUMENT_FILE('z'); */", "#5=DOCUMENT_FILE($);")
     assert S.file_references(text) == [(1, "0000_00000007"), (2, "it's")]
+
+
+def plain_bare(text: str) -> str:
+    """Literals and comments taken off character by character."""
+    out, i = [], 0
+    while i < len(text):
+        if text[i] == "'":
+            out.append("'")
+            i += 1
+            while i < len(text) and (text[i] != "'" or text[i : i + 2] == "''"):
+                i += 2 if text[i] == "'" else 1
+            i += 1
+        elif text[i : i + 2] == "/*":
+            end = text.find("*/", i + 2)
+            i = len(text) if end < 0 else end + 2
+        else:
+            out.append(text[i])
+            i += 1
+    return "".join(out)
+
+
+@settings(max_examples=1000, deadline=None)
+@given(st.lists(st.sampled_from(["'", "''", "/*", "*/", "/", "*", "a;", " ", "#1=B("]), max_size=14).map("".join))
+def test_bare_texts(text):
+    assert S.bare(text) == plain_bare(text)
+
+
+def test_sections_by_keyword_only():
+    text = "ISO;\nXDATA; #9=Z();\ndata ('a',(1)) ; #1=A();\nEndSec ;\n#8=Y(); DATA;#2=B();"
+    assert "".join(S.data_body(text).split()) == "#1=A();#2=B();"
+    assert S.data_body("ß DATA;#1=A(ß);ENDSEC;") == "#1=A(ß);"
