@@ -30,7 +30,7 @@ PARITY = ("b0", "b1", "b2", "b3")
 _SEED = {"step": 1, "caption": 2}
 _REF = re.compile(r"#\d+")
 _NUMBER = re.compile(r"[+-]?(?:\d+\.\d*|\.\d+)(?:E[+-]?\d+)?")
-_WITH_POINT = re.compile(r"[^;]*(?:\d\.|\.\d)[^;]*(?=;)")
+_DECIMAL = re.compile(r"\d\.|\.\d")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,7 +61,8 @@ class ContentHasher:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            found = _WITH_POINT.findall(_REF.sub("", compact(text).upper()))
+            parts = _REF.sub("", compact(text).upper()).split(";")[:-1]
+            found = [p for p in parts if "." in p and _DECIMAL.search(p)]
             if not found:
                 continue
             joined = ";".join(found)
