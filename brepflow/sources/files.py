@@ -11,6 +11,7 @@ import os
 import re
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyarrow.fs import FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,26 +62,30 @@ def read_steps(spark: SparkSession, folder: str, first: int | None = None, recur
     return out.orderBy("path").limit(first) if first is not None else out
 
 
-def write_steps(texts: DataFrame, folder: str, skip_existing: bool = False) -> None:
-    """(rel_path, text) as files, each written beside its place and then moved there.
+def write_steps(texts: DataFrame, folder: str, skip_existing: bool = False) -> int:
+    """(rel_path, text) as files, each written beside its place and then moved there; returns how many were written.
 
     Workers write through the folder's own file system (local, HDFS, object stores), which all executors must
     reach. With ``skip_existing`` a file that is there is left as it is. A null text is an empty file.
     """
     root = shared.qualified(texts.sparkSession, folder)
 
-    def put(rows: Iterator) -> None:
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = shared.opened(root)
-        for r in rows:
-            path = f"{base}/{r['rel_path']}"
-            if skip_existing and fs.get_file_info(path).type == FileType.File:
-                continue
-            fs.create_dir(path.rpartition("/")[0], recursive=True)
-            with fs.open_output_stream(f"{path}.tmp") as f:
-                f.write((r["text"] or "").encode())
-            fs.move(f"{path}.tmp", path)
-
-    texts.select("rel_path", "text").foreachPartition(put)
+        for batch in batches:
+            n = 0
+            for rel_path, text in zip(batch.column("rel_path").to_pylist(), batch.column("text")):
+                path = f"{base}/{rel_path}"
+                if skip_existing and fs.get_file_info(path).type == FileType.File:
+                    continue
+                fs.create_dir(path.rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(f"{path}.tmp") as f:
+                    f.write(text.as_buffer() or b"")
+                fs.move(f"{path}.tmp", path)
+                n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return texts.select("rel_path", "text").mapInArrow(put, "n bigint").agg(F.sum("n")).first()[0] or 0
 
 
 def path_uid(path: Column) -> Column:
