@@ -71,13 +71,14 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_file_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    """All pieces of STEP files above the limit of steps, read in ranges of 4 KB: the texts of the table as a folder of files."""
+    """All pieces of large STEP files, read in ranges of 32 KB: each file has a hundred consecutive texts of the table."""
     to = scratch(spark, "files")
-    texts = table(spark, folder, "train_with_rag").select(F.concat("row_id", F.lit(".step")).alias("rel_path"), F.col("step").alias("text"))
-    files.write_steps(texts.filter("text is not null"), to)
+    texts = table(spark, folder, "train_with_rag").select("row_id", "step").filter("step is not null")
+    hundred = texts.groupBy(F.floor(F.col("row_id") / 100).alias("file")).agg(F.array_sort(F.collect_list(F.struct("row_id", "step"))).alias("r"))
+    files.write_steps(hundred.select(F.concat("file", F.lit(".step")).alias("rel_path"), F.array_join(F.col("r.step"), "\n").alias("text")), to)
     spans = splitting.of_files(files.listed(spark, to, "*.step"), *_specs(spark, folder)["train_with_rag.step"])
-    row_id = F.regexp_extract("field", r"(\d+)\.step$", 1).cast("bigint")
-    return splitting.pieces(spans, 4096).select(row_id.alias("row_id"), "piece_no", "n_pieces", "start", "n_chars", "n_repeated", "text")
+    number = F.regexp_extract("field", r"(\d+)\.step$", 1).cast("bigint")
+    return splitting.pieces(spans, 1 << 15).select(number.alias("file"), "piece_no", "n_pieces", "start", "n_chars", "n_repeated", "text")
 
 
 def p5_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -212,7 +213,10 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": """select t.row_id, s.field from train_with_rag t, (values ('step'), ('retrieved_step')) s(field)
           join size_specs z on z.target = 'train_with_rag.' || s.field where length(if(s.field = 'step', step, retrieved_step)) > max_size""",
         "p4_pieces": _PIECES + "select * from laid",
-        "p4_file_pieces": _PIECES + "select * exclude (field) from laid where field = 'step'",
+        "p4_file_pieces": """with recursive value as (
+          select row_id // 100 as row_id, 'file' as field, string_agg(step, chr(10) order by row_id) as v, max_size, coalesce(overlap, 0) as overlap
+          from train_with_rag, size_specs where target = 'train_with_rag.step' and step is not null group by all
+        ), """ + _PIECES[_PIECES.index("long as (") :] + "select * exclude (row_id, field), row_id as file from laid",
         "p6_rules": "select count(*) as n_documents, 0::bigint as n_split_needlessly, 0::bigint as n_above_capacity, 0::bigint as n_apart_together from documents where text <> ''",
         "p3_counts": _CONTENT + _SPLIT + """, held as (
           select field, split, source, count(distinct row_id) as n_rows from member, (values ('step'), ('caption')) f(field)
