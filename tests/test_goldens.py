@@ -154,7 +154,16 @@ def test_top_one_excludes_itself_in_any_blocking(spark):
     want = dict(enumerate(scores.argmax(1).tolist()))
     for rows in (7, 4096):
         assert {r.id: r.best_id for r in retrieval.top_one(t, t, rows).collect()} == want
+        assert {r.id: r.best_id for r in retrieval.top_one(t, t, rows, broadcast_bytes=0).collect()} == want
     assert retrieval.top_one(t.limit(1), t.limit(1)).count() == 0
+    assert retrieval.top_one(t, t.limit(0)).count() == retrieval.top_one(t.limit(0), t, broadcast_bytes=0).count() == 0
+
+
+def test_top_one_leaves_out_other_lengths_and_ties_go_to_the_smaller_id(spark):
+    rows = [(1, [1.0, 0.0]), (5, [1.0, 0.0]), (3, [1.0, 0.0]), (7, [9.0]), (8, [9.0, 9.0, 9.0])]
+    t = spark.createDataFrame(rows, "id bigint, v array<double>")
+    for most in (0, 1 << 20):
+        assert {r.id: r.best_id for r in retrieval.top_one(t, t, 2, broadcast_bytes=most).collect()} == {1: 3, 3: 1, 5: 1}
 
 
 def test_routing_precedence_and_index(spark):
