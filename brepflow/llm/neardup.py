@@ -33,6 +33,8 @@ from brepflow.session import stage
 THRESHOLD = 0.8
 #: Classes of a band key that one task joins with the key's classes.
 HOT = 2_000
+#: Rows of a class that one task meets with the rows of another, or of the same.
+HOT_ROWS = 2_000
 #: Edges that union-find unites at a time; the stars of one portion and the next are joined across partitions anyway.
 PORTION = 500_000
 #: Bands and rows of a band, by field.
@@ -106,12 +108,29 @@ def similar_classes(contents: DataFrame, threshold: float = THRESHOLD) -> DataFr
     return verified(possible(candidates(distinct, threshold), distinct, larger, threshold), distinct, larger, threshold)
 
 
+def expanded(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Class pairs (a, b) as pairs of rows: each row of ``left`` (a, x) with each of ``right`` (b, y).
+
+    The rows of a class are dealt out to parts of about ``HOT_ROWS``, and each two parts meet by themselves, so a class
+    that holds a third of all rows is spread over as many tasks as its pairs are worth.
+    """
+    out, sides = pairs, []
+    for rows, key, of in ((left, "a", "x"), (right, "b", "y")):
+        parts = rows.groupBy(key).agg(F.ceil(F.count("*") / HOT_ROWS).cast("int").alias("parts"))
+        dealt = rows.join(parts, key).withColumn(f"part_{key}", F.pmod(F.xxhash64(of), F.col("parts")).cast("int")).drop("parts")
+        out = out.join(parts, key).withColumn(f"part_{key}", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        sides.append((dealt, [key, f"part_{key}"]))
+    for dealt, by in sides:
+        out = out.join(dealt, by)
+    return out.drop("part_a", "part_b")
+
+
 def row_pairs(contents: DataFrame, pairs: DataFrame) -> DataFrame:
     """(field, row_id_a, row_id_b) of the class pairs and of the rows of one class."""
     rows = contents.select("cid", "row_id").distinct()
     several = contents.groupBy("field", "cid").agg(F.min("row_id").alias("lo"), F.max("row_id").alias("hi")).filter("lo < hi")
     both = pairs.select("field", "a", "b").unionByName(several.selectExpr("field", "cid as a", "cid as b"))
-    out = both.join(rows.selectExpr("cid as a", "row_id as x"), "a").join(rows.selectExpr("cid as b", "row_id as y"), "b")
+    out = expanded(both, rows.selectExpr("cid as a", "row_id as x"), rows.selectExpr("cid as b", "row_id as y"))
     return out.filter("a <> b or x < y").filter("x <> y").select(
         "field", F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b")
     ).distinct()

@@ -9,7 +9,7 @@ contents. Hashes are ranked by their count over all training contents, so units
 every record holds are looked up only where nothing rarer is left. No hit is dropped or
 capped: the result is exact.
 
-Equal contents are one class on either side. The engine broadcasts the evaluation hashes
+Equal contents are one class on either side; large classes are split when they are expanded to rows. The engine broadcasts the evaluation hashes
 where their measured size allows, and otherwise partitions them, splitting hot ones.
 
 Defined cases: rows whose uid is null or in no array of the manifest are in no split; null or
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brepflow.llm.content import PARITY
-from brepflow.llm.neardup import THRESHOLD, verified
+from brepflow.llm.neardup import THRESHOLD, expanded, verified
 from brepflow.operators.orphans import same_uid
 from brepflow.session import stage
 
@@ -67,9 +67,10 @@ def cross_split_pairs(contents: DataFrame, members: DataFrame, threshold: float
     kept = stage(contents.drop(*PARITY).join(members.select("row_id", "split"), "row_id"), "split-contents")
     pairs = contained_classes(kept, threshold)
     rows = kept.select("cid", "row_id", "split").distinct()
-    left = rows.filter("split <> 'train'").selectExpr("cid as a", "row_id as eval_row", "split")
-    right = rows.filter("split = 'train'").selectExpr("cid as b", "row_id as train_row")
-    return pairs.join(left, "a").join(right, "b").filter("eval_row <> train_row").select("field", "eval_row", "train_row", "split").distinct()
+    left = rows.filter("split <> 'train'").selectExpr("cid as a", "row_id as x", "split")
+    right = rows.filter("split = 'train'").selectExpr("cid as b", "row_id as y")
+    met = expanded(pairs, left, right).filter("x <> y")
+    return met.select("field", F.col("x").alias("eval_row"), F.col("y").alias("train_row"), "split").distinct()
 
 
 def cross_split_counts(pairs: DataFrame, members: DataFrame) -> DataFrame:

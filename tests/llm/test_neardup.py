@@ -176,6 +176,18 @@ def test_components_of_chains_and_stars(spark):
     assert neardup.components(e.filter("a > 99999")).count() == 0
 
 
+def test_hot_classes_are_split(spark, monkeypatch):
+    t = spark.createDataFrame(corpus(4), SCHEMA)
+    whole = {tuple(r) for r in neardup.near_duplicate_pairs(content.contents(t)).collect()}
+    monkeypatch.setattr(neardup, "HOT_ROWS", 2)
+    assert {tuple(r) for r in neardup.near_duplicate_pairs(content.contents(t)).collect()} == whole and whole
+    rows = [(i, f"0000_{i:08d}", "s", None, "one two three four five six seven eight", "", "") for i in range(30)]
+    manifest = spark.createDataFrame([("a", [f"0000/{i:08d}" for i in range(20)], [f"0000/{i:08d}" for i in range(20, 30)], None)], MANIFEST)
+    copies = spark.createDataFrame(rows, SCHEMA)
+    assert neardup.near_duplicate_pairs(content.contents(copies)).count() == 30 * 29 // 2
+    assert overlap.cross_split_pairs(content.contents(copies), overlap.rows_in_splits(copies, manifest)).count() == 200
+
+
 def test_hot_class_gives_all_pairs(spark):
     rows = [(i, "u", "s", None, "one two three four five six seven eight", "", "") for i in range(30)]
     assert neardup.near_duplicate_pairs(content.contents(spark.createDataFrame(rows, SCHEMA))).count() == 30 * 29 // 2
