@@ -44,6 +44,12 @@ def truncated(ids: Column, most: int) -> Column:
     return F.slice(ids, 1, most)
 
 
+def cut_text(text: Column, most: int) -> Column:
+    """The text's longest prefix of at most so many byte tokens that ends with a whole character."""
+    cut = [F.substring(F.encode(text, "UTF-8"), 1, n).cast("string") for n in range(most, max(most - 4, -1), -1)]
+    return F.coalesce(*(F.when(F.is_valid_utf8(c), c) for c in cut))
+
+
 def after_header(ids: Column, header: list[int]) -> Column:
     """The index after the first occurrence of the header, or -1."""
     n = len(header)

@@ -368,10 +368,10 @@ def w07_latest_checkpoint(spark, folder):
 # ---- token rows
 
 
-@C.add(r"select row_id, array_to_string(list_filter(regexp_split_to_array(retrieved_step, '\s+'), lambda w: w <> '')[1:50], ' ') as cut from train_with_rag where retrieved_step is not null")
+@C.add("select row_id, left(retrieved_caption, list_max(list_filter(range(0, 201), lambda k: octet_length(encode(left(retrieved_caption, k))) <= 200))) as cut from train_with_rag where retrieved_caption is not null")
 def k01_truncated_retrieval(spark, folder):
-    """With the built-in tokenizer (white space); another one is a function of the caller."""
-    return train(spark, folder).filter("retrieved_step is not null").select("row_id", F.array_join(F.slice(T.words(F.col("retrieved_step")), 1, 50), " ").alias("cut"))
+    """At most 200 byte tokens of the retrieved text (the limit is the feature)."""
+    return train(spark, folder).filter("retrieved_caption is not null").select("row_id", K.cut_text(F.col("retrieved_caption"), 200).alias("cut"))
 
 
 @C.add("select row_id, md5(concat_ws('|', caption, retrieved_caption)) as prompt, true as reused from train_with_rag")

@@ -36,3 +36,13 @@ def test_shuffle_is_stable_and_no_order_of_keys(spark):
     t = spark.createDataFrame([(f"u{i:03d}",) for i in range(200)], "uid string")
     one, two = ([r.uid for r in corpus.shuffled(x).collect()] for x in (t, t.repartition(7)))
     assert one == two != sorted(one) and sorted(one) == [f"u{i:03d}" for i in range(200)]
+
+
+def test_texts_are_cut_between_characters(spark):
+    from pyspark.sql import functions as F
+
+    from brepflow.operators import tokens
+
+    t = spark.createDataFrame([("aé😀b",), ("",), (None,), ("😀",)], "x string")
+    for most, wanted in ((0, ["", "", None, ""]), (2, ["a", "", None, ""]), (3, ["aé", "", None, ""]), (6, ["aé", "", None, "😀"]), (7, ["aé😀", "", None, "😀"]), (99, ["aé😀b", "", None, "😀"])):
+        assert [r.c for r in t.select(tokens.cut_text(F.col("x"), most).alias("c")).collect()] == wanted
