@@ -93,13 +93,10 @@ def present_keys(keys: DataFrame, intervals: DataFrame) -> DataFrame:
     Starts count +1 and ends -1; a key is present where the running sum is above zero. The sum is that of the minutes
     before and of the minute's instants so far.
     """
-    held = intervals.filter("uid is not null and start is not null and (end is null or end > start)").distinct()
-    changes = held.select("uid", F.col("start").alias("at"), F.lit(1).alias("d")).unionByName(
-        held.filter("end is not null").select("uid", F.col("end").alias("at"), F.lit(-1).alias("d"))
-    )
-    points = changes.groupBy("uid", "at").agg(F.sum("d").alias("d"), F.lit(False).alias("asked")).unionByName(
-        keys.select("uid", "at").dropna().distinct().select("uid", "at", F.lit(0).cast("bigint").alias("d"), F.lit(True).alias("asked"))
-    )
+    held = intervals.filter("uid is not null and start is not null and (end is null or end > start)")  # repeated ones count alike at both ends
+    change = lambda rows, at, d, asked: rows.select("uid", F.col(at).alias("at"), F.lit(d).alias("d"), F.lit(asked).alias("asked"))
+    every = change(held, "start", 1, False).unionByName(change(held.filter("end is not null"), "end", -1, False)).unionByName(change(keys.dropna(subset=["uid", "at"]), "at", 0, True))
+    points = every.groupBy("uid", "at").agg(F.sum("d").alias("d"), F.bool_or("asked").alias("asked"))
     points = points.withColumn("minute", F.date_trunc("minute", "at"))
     minutes = points.groupBy("uid", "minute").agg(F.sum("d").alias("of_minute"))
     before = Window.partitionBy("uid").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
